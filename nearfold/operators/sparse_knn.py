@@ -19,13 +19,20 @@ neighbours are completed with zero scores (`pad_to_k`).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nearfold.operators.blocks import (
+    BLOCK_ROWS,
+    SLACK,
+    across_blocks,
+    best_of,
+    block_count,
+    pairs_frame,
+    within_blocks,
+)
 from nearfold.operators.catalog import top_k_per_group
 from nearfold.operators.grouping import (
     PLACES,
@@ -36,17 +43,12 @@ from nearfold.operators.grouping import (
 )
 from nearfold.scale import bounded_broadcast, salted_join, stable
 
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 8192
-# Slack on bounds: half a rounding step plus floating-point noise.
-SLACK = 1e-6
-PAIR_SCHEMA = "a long, b long, score double, rank int"
-
 
 class BlockIndex:
     """Inverted index over one block of packed rows."""
 
-    def __init__(self, ids, terms, weights):
+    def __init__(self, ids, columns):
+        terms, weights = columns
         order = np.argsort(np.asarray(ids), kind="stable")
         self.ids = np.asarray(ids)[order]
         sizes = np.array([len(terms[i]) for i in order], dtype=np.int64)
@@ -92,8 +94,11 @@ class BlockIndex:
             )
         return out
 
-    def best(self, ids, terms, weights, k: int, floor) -> pd.DataFrame:
-        """K best rows per query, itself left out, none below its floor."""
+    def best(self, ids, columns, k: int, floor) -> pd.DataFrame:
+        """K best rows per query with a positive score, itself left out, none below
+        its floor."""
+        terms, weights = columns
+        floor = np.maximum(floor, 10.0**-PLACES / 2)
         found = []
         for at in range(0, len(ids), 256):
             part = slice(at, at + 256)
@@ -102,35 +107,10 @@ class BlockIndex:
                 self_at = np.searchsorted(self.ids, a)
                 if self_at < len(self.ids) and self.ids[self_at] == a:
                     row[self_at] = 0.0
-                found.append((a, *best_of(row, self.ids, k, max(low, 10.0 ** -PLACES / 2))))
+                found.append((a, *best_of(row, self.ids, k, low)))
         return pairs_frame(found)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int, floor: float):
-    """Ids and scores of the k best at or above `floor`; ids ascend, so ties do too."""
-    if len(scores) > k:
-        floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
-    at = np.flatnonzero(scores >= floor)
-    at = at[np.argsort(-scores[at], kind="stable")[:k]]
-    return ids[at], scores[at]
-
-
-def pairs_frame(found: list) -> pd.DataFrame:
-    sizes = [len(b) for _, b, _ in found]
-    if not sum(sizes):
-        return pd.DataFrame({"a": [], "b": [], "score": [], "rank": []}).astype(
-            {"a": "int64", "b": "int64", "rank": "int32"}
-        )
-    return pd.DataFrame(
-        {
-            "a": np.repeat([a for a, _, _ in found], sizes),
-            "b": np.concatenate([b for _, b, _ in found]),
-            "score": np.concatenate([s for _, _, s in found]),
-            "rank": np.concatenate([np.arange(1, n + 1) for n in sizes]).astype("int32"),
-        }
-    )
-
-
 def block_of_anchor(rows: DataFrame, n_blocks: int, block_rows: int) -> DataFrame:
     """Add `block`: rows with the same heaviest term together, long runs split."""
     anchored = rows.withColumn(
@@ -149,17 +129,6 @@ def block_of_anchor(rows: DataFrame, n_blocks: int, block_rows: int) -> DataFram
     )
 
 
-def within_blocks(rows: DataFrame, k: int) -> DataFrame:
-    """Each row's K best inside its own block."""
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        terms, weights = pdf["terms"].tolist(), pdf["weights"].tolist()
-        index = BlockIndex(pdf["id"], terms, weights)
-        return index.best(pdf["id"].to_numpy(), terms, weights, k, np.zeros(len(pdf)))
-
-    return rows.groupBy("block").applyInPandas(search, PAIR_SCHEMA)
-
-
 def useful_blocks(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     """(id, floor, block) for other blocks that may hold a score at or above floor."""
     floor = F.greatest(F.col("bound") - 2 * SLACK, F.lit(0.0))
@@ -206,65 +175,17 @@ def useful_blocks(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
-def across_blocks(rows: DataFrame, visits: DataFrame, k: int, n_blocks: int) -> DataFrame:
-    """K best of each row in every block it visits."""
-    visits = stable(visits)
-    chunks = visits.groupBy("block").agg(
-        F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks")
-    )
-    chunks = bounded_broadcast(chunks, n_blocks)
-    queries = (
-        visits.join(chunks, "block")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        .join(rows.select("id", "terms", "weights"), "id")
-        .select("block", "chunk", "id", "floor", "terms", "weights")
-        .toDF("block", "chunk", "a", "floor", "terms", "weights")
-    )
-    targets = (
-        rows.join(chunks, "block")
-        .select(
-            "block",
-            F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"),
-            "id",
-            "terms",
-            "weights",
-        )
-        .toDF("to_block", "to_chunk", "to_id", "to_terms", "to_weights")
-    )
-
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pairs_frame([])
-        index = BlockIndex(
-            right["to_id"], right["to_terms"].tolist(), right["to_weights"].tolist()
-        )
-        return index.best(
-            left["a"].to_numpy(),
-            left["terms"].tolist(),
-            left["weights"].tolist(),
-            k,
-            left["floor"].to_numpy() - SLACK,
-        )
-
-    return (
-        queries.groupBy("block", "chunk")
-        .cogroup(targets.groupBy("to_block", "to_chunk"))
-        .applyInPandas(search, PAIR_SCHEMA)
-    )
-
-
 def group_edges(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
     """(a, b, score): K best other rows of every row, positive scores only."""
     n = rows.count()
-    # Enough blocks to keep every core busy, none larger than memory allows.
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    n_blocks = max(1, -(-n // block_rows), min(cores, n // 512))
+    n_blocks = block_count(rows, n, block_rows)
     blocked = stable(block_of_anchor(rows, n_blocks, -(-n // n_blocks)))
-    near = within_blocks(blocked, k)
+    near = within_blocks(blocked, ["terms", "weights"], BlockIndex, k)
     if n_blocks > 1:
         near = stable(near)
         bounds = near.where(F.col("rank") == k).select("a", F.col("score").alias("bound"))
-        far = across_blocks(blocked, useful_blocks(blocked, bounds), k, n_blocks)
+        visits = useful_blocks(blocked, bounds)
+        far = across_blocks(blocked, visits, ["terms", "weights"], BlockIndex, k, n_blocks)
         near = near.unionByName(far)
     return top_k_per_group(near.drop("rank"), "a", k, ranked(neighbour="b")).drop("rank")
 
