@@ -21,21 +21,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def films(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as raw films; unlabelled ones have no status and no adult flag."""
+    """Documents as raw films; unlabelled ones have no status and no adult flag.
+
+    The event of the same number lends a release date (a date, a bare number or
+    nothing) and a rating.
+    """
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels")
-    return docs.join(labels, "doc_id", "left").select(
-        F.col("doc_id").alias("id"),
-        F.substring("text", 1, 60).alias("title"),
-        F.lit(None).cast("string").alias("tagline"),
-        F.col("text").alias("overview"),
-        F.col("lang").alias("genres"),
-        F.concat("lang", F.lit(", "), "source").alias("keywords"),
-        F.col("n_chars").alias("vote_count"),
-        F.when(F.col("quality") == 1, "Released")
-        .when(F.col("quality") == 0, "Rumored")
-        .alias("status"),
-        (F.col("toxic") == 1).alias("adult"),
+    events = table(spark, sf_dir, "events")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    return (
+        docs.join(labels, "doc_id", "left")
+        .join(events.withColumnRenamed("event_id", "doc_id"), "doc_id", "left")
+        .select(
+            F.col("doc_id").alias("id"),
+            F.substring("text", 1, 60).alias("title"),
+            F.lit(None).cast("string").alias("tagline"),
+            F.col("text").alias("overview"),
+            F.col("lang").alias("genres"),
+            F.concat("lang", F.lit(", "), "source").alias("keywords"),
+            F.when(F.col("event_type") == "error", F.col("user_id").cast("string"))
+            .when(F.col("event_type") != "click", day)
+            .alias("release_date"),
+            F.col("user_id").alias("runtime"),
+            F.col("value").alias("vote_average"),
+            F.col("n_chars").alias("vote_count"),
+            F.when(F.col("quality") == 1, "Released")
+            .when(F.col("quality") == 0, "Rumored")
+            .alias("status"),
+            (F.col("toxic") == 1).alias("adult"),
+            F.when(F.col("quality") == 1, F.concat(F.lit("/"), "source")).alias("poster_path"),
+        )
     )
 
 

@@ -54,7 +54,9 @@ def overview_short(c: Column) -> Column:
 
 
 def score_decimal(c: Column) -> Column:
-    return F.round(c, SCORE_PLACES).cast("decimal(5,4)")
+    """Rounded on the binary value, not on its shortest decimal text."""
+    shift = 10.0**SCORE_PLACES
+    return (F.round(c * shift) / shift).cast("decimal(5,4)")
 
 
 def finite_or_null(c: Column) -> Column:
