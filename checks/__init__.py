@@ -6,6 +6,6 @@ def registry() -> dict:
     import importlib
 
     out = {}
-    for part in ("sources_and_text", "similarity"):
+    for part in ("sources_and_text", "similarity", "evaluation", "serving"):
         out.update(importlib.import_module(f"checks.{part}").QUERIES)
     return out

@@ -27,9 +27,9 @@ def process_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), NOT_WORD, " "))
 
 
-def document_text(*fields: Column) -> Column:
-    """Cleaned fields joined by spaces and lowercased."""
-    return collapse_whitespace(F.lower(F.concat_ws(" ", *[collapse_whitespace(f) for f in fields])))
+def document_text(*cleaned: Column) -> Column:
+    """Cleaned fields joined by single spaces and lowercased; blank ones leave no gap."""
+    return F.lower(F.concat_ws(" ", *[F.nullif(f, F.lit("")) for f in cleaned]))
 
 
 def tokenize(c: Column) -> Column:

@@ -38,21 +38,22 @@ def catalog_filter(raw: DataFrame, settings: dict | None = None) -> DataFrame:
     return raw
 
 
-def build_document(df: DataFrame, fields=DOCUMENT_FIELDS) -> DataFrame:
+def build_document(df: DataFrame, fields=DOCUMENT_FIELDS, cleaned: bool = False) -> DataFrame:
     """Add `document`. Held-out label columns must never be among `fields`."""
-    return df.withColumn("document", document_text(*[F.col(f) for f in fields]))
+    parts = [F.col(f) if cleaned else collapse_whitespace(F.col(f)) for f in fields]
+    return df.withColumn("document", document_text(*parts))
 
 
 def dedup_keep_max(
     df: DataFrame, key: str = "id", best: str = "vote_count", tie: list[Column] | None = None
 ) -> DataFrame:
-    """One row per key: the highest `best`, ties settled by `tie` (or the whole row).
+    """One row per key: the highest `best`, ties settled by `tie` (or a hash of the row).
 
     Built on max_by so map-side aggregation shrinks a hot key before the shuffle.
     """
     rest = [c for c in df.columns if c != key]
     row = F.struct(*[F.col(c) for c in rest])
-    order = F.struct(F.col(best).alias("best"), *(tie or [row]))
+    order = F.struct(F.col(best).alias("best"), *(tie or [F.xxhash64(*rest)]))
     picked = df.groupBy(key).agg(F.max_by(row, order).alias("row"))
     return picked.select(key, "row.*").select(*df.columns)
 
@@ -62,7 +63,7 @@ def prepare(
 ) -> DataFrame:
     """Raw films to the catalog: filter, clean, document, one row per id."""
     kept = clean_fields(catalog_filter(raw, settings))
-    return build_document(dedup_keep_max(kept), fields)
+    return build_document(dedup_keep_max(kept), fields, cleaned=True)
 
 
 def top_k_per_group(

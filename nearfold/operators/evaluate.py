@@ -67,7 +67,8 @@ def random_baseline(queries: DataFrame, ids: DataFrame, k: int, seed: int) -> Da
     the whole catalog.
     """
     numbered = with_offsets(ids.select("id"), ["id"], name="at")
-    others = numbered.select(F.count(F.lit(1)) - 1).scalar()
+    n_others = numbered.select(F.count(F.lit(1)) - 1).scalar()
+    others = F.col("others")
 
     def add(picked: Column, slot: Column) -> Column:
         top = others - k + slot
@@ -79,6 +80,7 @@ def random_baseline(queries: DataFrame, ids: DataFrame, k: int, seed: int) -> Da
     drawn = (
         queries.select("id")
         .join(numbered, "id")
+        .withColumn("others", n_others)
         .select("id", F.col("at").alias("own"), F.posexplode(picks).alias("slot", "pick"))
         .select(
             F.col("id").alias("movie_id"),

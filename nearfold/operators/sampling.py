@@ -32,7 +32,11 @@ def bin_number(value: Column, edges: Column) -> Column:
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     edges = bin_edges(df, column, bins).scalar()
-    return df.withColumn("bin", bin_number(F.col(column).cast("double"), edges))
+    return (
+        df.withColumn("__edges", edges)
+        .withColumn("bin", bin_number(F.col(column).cast("double"), F.col("__edges")))
+        .drop("__edges")
+    )
 
 
 def bin_allocation(binned: DataFrame, n: int) -> DataFrame:
