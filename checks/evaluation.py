@@ -166,8 +166,8 @@ EVAL = {"n_queries": 200, "query_min_vote_count": 50, "seed": 42}
 
 @query("score_run", SCORE_ROWS)
 def score_run(spark, sf):
-    catalog = A.vector_films(spark, sf)
-    rows, _ = E.score_run(catalog, {"dense": dense_edges(spark, sf)}, K, EVAL)
+    catalog = A.vector_films(spark, sf).persist()
+    rows, _ = E.score_run(catalog, {"dense": dense_edges(spark, sf).persist()}, K, EVAL)
     return rows.select("method", places("keyword_jaccard_at_k"), places("genre_precision_at_k"))
 
 

@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from nearfold.scale import bounded_broadcast, stable
 
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 4096
+# With no more blocks than this, working out which ones to skip costs more than
+# visiting them all.
+FEW_BLOCKS = 16
 # Slack on bounds: half a rounding step plus floating-point noise.
 SLACK = 1e-6
 PAIR_SCHEMA = "a long, b long, score double, rank int"
@@ -24,7 +26,25 @@ PAIR_SCHEMA = "a long, b long, score double, rank int"
 def block_count(rows: DataFrame, n: int, block_rows: int) -> int:
     """Enough blocks to keep every core busy, none larger than memory allows."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-n // block_rows), min(cores, n // 512))
+    return max(1, -(-n // block_rows), min(cores, n // min(2048, block_rows)))
+
+
+def with_floor(rows: DataFrame, bounds: DataFrame, lowest: float) -> DataFrame:
+    """Add `floor`: the score a row's further neighbours must reach. Rows without
+    K neighbours so far take `lowest`."""
+    held = bounds.select(F.col("a").alias("id"), "bound")
+    floor = F.greatest(F.col("bound") - 2 * SLACK, F.lit(lowest))
+    joined = rows.join(held, "id", "left")
+    return joined.withColumn("floor", F.coalesce(floor, F.lit(lowest))).drop("bound")
+
+
+def every_block(rows: DataFrame, bounds: DataFrame, lowest: float, n_blocks: int) -> DataFrame:
+    """(id, floor, block) for all other blocks, when they are few."""
+    all_blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
+    others = F.filter(all_blocks, lambda b: b != F.col("home"))
+    return with_floor(rows.select("id", F.col("block").alias("home")), bounds, lowest).select(
+        "id", "floor", F.explode(others).alias("block")
+    )
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int, floor: float):

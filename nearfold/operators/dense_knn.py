@@ -16,12 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.operators.blocks import (
-    BLOCK_ROWS,
-    SLACK,
+    FEW_BLOCKS,
     across_blocks,
     best_of,
     block_count,
+    every_block,
     pairs_frame,
+    with_floor,
     within_blocks,
 )
 from nearfold.operators.catalog import top_k_per_group
@@ -34,6 +35,7 @@ from nearfold.operators.grouping import (
 )
 from nearfold.scale import salted_join, stable
 
+BLOCK_ROWS = 16_384
 MAX_PIVOTS = 256
 ANGLE_SLACK = 1e-6
 
@@ -122,10 +124,7 @@ def near_blocks(placed: DataFrame, bounds: DataFrame, pivots: np.ndarray) -> Dat
                 }
             )
 
-    floor = F.coalesce(F.col("bound") - 2 * SLACK, F.lit(-1.0))
-    asked = placed.join(bounds, F.col("id") == F.col("a"), "left").select(
-        "id", "vec", "block", floor.alias("floor")
-    )
+    asked = with_floor(placed.select("id", "vec", "block"), bounds, -1.0)
     visits = asked.mapInPandas(reachable, "id long, home long, floor double, cell int")
     blocks = placed.select("cell", "block").distinct()
     return (
@@ -135,20 +134,30 @@ def near_blocks(placed: DataFrame, bounds: DataFrame, pivots: np.ndarray) -> Dat
     )
 
 
-def vector_edges(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
+def vector_edges(rows: DataFrame, k: int, block_rows: int, few_blocks: int) -> DataFrame:
     """(a, b, score): K best other rows of every non-zero row."""
     n = rows.count()
     n_blocks = block_count(rows, n, block_rows)
-    if n_blocks == 1:
-        return within_blocks(rows.withColumn("block", F.lit(0)), ["vec"], VectorBlock, k).drop("rank")
-    pivots = pivot_matrix(rows, min(n_blocks, MAX_PIVOTS))
-    placed = stable(place(rows, pivots, -(-n // n_blocks)))
-    near = stable(within_blocks(placed, ["vec"], VectorBlock, k))
-    bounds = near.where(F.col("rank") == k).select("a", F.col("score").alias("bound"))
-    far = across_blocks(
-        placed, near_blocks(placed, bounds, pivots), ["vec"], VectorBlock, k, n_blocks + len(pivots)
-    )
-    return near.unionByName(far).drop("rank")
+    few = n_blocks <= few_blocks
+    if few:
+        placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
+    else:
+        pivots = pivot_matrix(rows, min(n_blocks, MAX_PIVOTS))
+        placed = place(rows, pivots, -(-n // n_blocks))
+    placed = stable(placed)
+    near = within_blocks(placed, ["vec"], VectorBlock, k)
+    if n_blocks > 1:
+        near = stable(near)
+        bounds = near.where(F.col("rank") == k).select("a", F.col("score").alias("bound"))
+        if few:
+            visits = every_block(placed, bounds, -1.0, n_blocks)
+        else:
+            visits = near_blocks(placed, bounds, pivots)
+            # Each cell may add one block that is not full.
+            n_blocks += len(pivots)
+        far = across_blocks(placed, visits, ["vec"], VectorBlock, k, n_blocks)
+        near = near.unionByName(far)
+    return near.drop("rank")
 
 
 def zero_edges(reps: DataFrame, zeros: DataFrame, k: int) -> DataFrame:
@@ -164,7 +173,9 @@ def zero_edges(reps: DataFrame, zeros: DataFrame, k: int) -> DataFrame:
     return both.where(F.col("a") != F.col("b"))
 
 
-def knn_dense(vectors: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def knn_dense(
+    vectors: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS, few_blocks: int = FEW_BLOCKS
+) -> DataFrame:
     """(movie_id, rank, neighbour_id, score): exact top-K cosine, score to 6 places.
 
     `vectors` is (id, vec). Every row gets min(k, n-1) neighbours; ties go to the
@@ -173,12 +184,12 @@ def knn_dense(vectors: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS) ->
     rows = stable(
         vectors.select("id", unit_vector(F.col("vec").cast("array<double>")).alias("vec"))
     )
-    grouped = group_equal(rows, ["vec"], k)
+    grouped = stable(group_equal(rows, ["vec"]))
     members = first_members(grouped, k)
     is_zero = F.forall("vec", lambda x: x == 0)
     reps = stable(rows.join(members.select(F.col("rep").alias("id"), "group"), "id"))
     zeros = reps.where(is_zero).select("id")
-    pairs = vector_edges(reps.where(~is_zero).select("id", "vec"), k, block_rows)
+    pairs = vector_edges(reps.where(~is_zero).select("id", "vec"), k, block_rows, few_blocks)
     pairs = pairs.unionByName(zero_edges(reps, zeros, k))
     pairs = top_k_per_group(pairs, "a", k, ranked(neighbour="b")).drop("rank")
     own = F.when(F.col("zero"), F.lit(0.0)).otherwise(F.lit(1.0))

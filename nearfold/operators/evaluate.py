@@ -212,7 +212,8 @@ def score_run(
     costs: DataFrame | None = None,
     check: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """Score each method and a random baseline.
+    """Score each method and a random baseline. Edges are read several times:
+    pass stored or cached ones.
 
     Returns (rows, summary): one row per method with METRIC_COLUMNS, and one row
     of run-level counts. `costs` holds (method, fit_seconds, artifact_mb, ...).
@@ -225,20 +226,7 @@ def score_run(
     queries = queries.persist()
     scored = dict(edges_by_method)
     scored[RANDOM_METHOD] = random_baseline(queries, catalog, k, s["seed"])
-    table = None
-    for method, edges in scored.items():
-        keyword = keyword_jaccard_at_k(edges, catalog, queries, s["n_queries"]).select(
-            F.lit(method).alias("method"),
-            F.col("score").alias("keyword_jaccard_at_k"),
-            F.col("n_scored").alias("n_keyword_queries"),
-        )
-        genre = genre_precision_at_k(edges, catalog, queries, s["n_queries"]).select(
-            F.lit(method).alias("method"),
-            F.col("score").alias("genre_precision_at_k"),
-            F.col("n_scored").alias("n_genre_queries"),
-        )
-        row = keyword.join(genre, "method")
-        table = row if table is None else table.unionByName(row)
+    table = score_methods(scored, catalog, queries, k, s["n_queries"])
     # One row per method.
     table = table.persist()
     if costs is not None:
@@ -268,6 +256,49 @@ def score_run(
     )
 
 
+def score_methods(
+    edges_by_method: dict[str, DataFrame],
+    catalog: DataFrame,
+    queries: DataFrame,
+    k: int,
+    n_queries: int,
+) -> DataFrame:
+    """(method, both metrics, queries scored by each): every method and both
+    label columns in one pass over the edges and one over the catalog."""
+    asked = bounded_broadcast(queries.select(F.col("id").alias("movie_id")), n_queries)
+    edges = None
+    for method, rows in edges_by_method.items():
+        part = rows.select(F.lit(method).alias("method"), "movie_id", "neighbour_id")
+        part = part.join(asked, "movie_id", "left_semi")
+        edges = part if edges is None else edges.unionByName(part)
+    # At most k edges per method and query, so these ids are few.
+    named = edges.select(F.col("neighbour_id").alias("id")).unionByName(queries.select("id")).distinct()
+    named = bounded_broadcast(named, n_queries * (k * len(edges_by_method) + 1))
+    labels = catalog.join(named, "id", "left_semi").select(
+        "id", label_set(F.col("keywords")).alias("keywords"), label_set(F.col("genres")).alias("genres")
+    )
+    own = labels.toDF("movie_id", "own_keywords", "own_genres")
+    theirs = labels.toDF("neighbour_id", "keywords", "genres")
+    none = F.array().cast("array<string>")
+    keyword = jaccard(F.col("own_keywords"), F.coalesce("keywords", none))
+    genre = shares_label(F.col("own_genres"), F.coalesce("genres", none))
+    per_query = (
+        edges.join(own, "movie_id")
+        .join(theirs, "neighbour_id", "left")
+        .groupBy("method", "movie_id")
+        .agg(
+            F.avg(F.when(F.size("own_keywords") > 0, keyword)).alias("keyword"),
+            F.avg(F.when(F.size("own_genres") > 0, genre)).alias("genre"),
+        )
+    )
+    return per_query.groupBy("method").agg(
+        F.avg("keyword").alias("keyword_jaccard_at_k"),
+        F.count("keyword").alias("n_keyword_queries"),
+        F.avg("genre").alias("genre_precision_at_k"),
+        F.count("genre").alias("n_genre_queries"),
+    )
+
+
 def latest_common_run(runs: DataFrame, methods: list[str], sample: bool) -> DataFrame:
     """One row (run_date): the latest run of the wanted kind that every method has."""
     pattern = r"^\d{4}-\d{2}-\d{2}-sample$" if sample else r"^\d{4}-\d{2}-\d{2}$"

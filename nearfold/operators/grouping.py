@@ -16,7 +16,7 @@ from nearfold.scale import salted_join
 PLACES = 6
 
 
-def group_equal(rows: DataFrame, content: list[str], k: int) -> DataFrame:
+def group_equal(rows: DataFrame, content: list[str]) -> DataFrame:
     """(id, group): `group` is a digest of the vector's exact content."""
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in content])
     return rows.select("id", F.sha2(text, 256).alias("group"))

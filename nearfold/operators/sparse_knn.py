@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.operators.blocks import (
-    BLOCK_ROWS,
+    FEW_BLOCKS,
     SLACK,
     across_blocks,
     best_of,
     block_count,
+    every_block,
     pairs_frame,
+    with_floor,
     within_blocks,
 )
 from nearfold.operators.catalog import top_k_per_group
@@ -44,6 +46,9 @@ from nearfold.operators.grouping import (
 from nearfold.scale import bounded_broadcast, salted_join, stable
 
 
+BLOCK_ROWS = 4096
+
+
 class BlockIndex:
     """Inverted index over one block of packed rows."""
 
@@ -131,7 +136,6 @@ def block_of_anchor(rows: DataFrame, n_blocks: int, block_rows: int) -> DataFram
 
 def useful_blocks(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     """(id, floor, block) for other blocks that may hold a score at or above floor."""
-    floor = F.greatest(F.col("bound") - 2 * SLACK, F.lit(0.0))
     total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w * w)
     start = F.struct(total.alias("left"), F.lit(0).alias("n"))
 
@@ -142,11 +146,7 @@ def useful_blocks(rows: DataFrame, bounds: DataFrame) -> DataFrame:
             (acc["n"] + open_).alias("n"),
         )
 
-    cut = (
-        rows.join(bounds, F.col("id") == F.col("a"), "left")
-        .withColumn("floor", F.coalesce(floor, F.lit(0.0)))
-        .withColumn("cut", F.aggregate("weights", start, step))
-    )
+    cut = with_floor(rows, bounds, 0.0).withColumn("cut", F.aggregate("weights", start, step))
     rest = F.sqrt(F.greatest(F.col("cut.left"), F.lit(0.0)))
     probes = cut.select(
         "id",
@@ -175,7 +175,7 @@ def useful_blocks(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
-def group_edges(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
+def group_edges(rows: DataFrame, k: int, block_rows: int, few_blocks: int) -> DataFrame:
     """(a, b, score): K best other rows of every row, positive scores only."""
     n = rows.count()
     n_blocks = block_count(rows, n, block_rows)
@@ -184,7 +184,10 @@ def group_edges(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
     if n_blocks > 1:
         near = stable(near)
         bounds = near.where(F.col("rank") == k).select("a", F.col("score").alias("bound"))
-        visits = useful_blocks(blocked, bounds)
+        if n_blocks <= few_blocks:
+            visits = every_block(blocked, bounds, 0.0, n_blocks)
+        else:
+            visits = useful_blocks(blocked, bounds)
         far = across_blocks(blocked, visits, ["terms", "weights"], BlockIndex, k, n_blocks)
         near = near.unionByName(far)
     return top_k_per_group(near.drop("rank"), "a", k, ranked(neighbour="b")).drop("rank")
@@ -221,7 +224,12 @@ def pad_to_k(edges: DataFrame, ids: DataFrame, k: int) -> DataFrame:
 
 
 def knn_sparse(
-    rows: DataFrame, ids: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS, pad: bool = True
+    rows: DataFrame,
+    ids: DataFrame,
+    k: int = 10,
+    block_rows: int = BLOCK_ROWS,
+    few_blocks: int = FEW_BLOCKS,
+    pad: bool = True,
 ) -> DataFrame:
     """(movie_id, rank, neighbour_id, score): exact top-K cosine, score to 6 places.
 
@@ -229,9 +237,9 @@ def knn_sparse(
     every id, with or without a row. Ties go to the smaller id.
     """
     rows = stable(rows)
-    grouped = group_equal(rows, ["terms", "weights"], k)
+    grouped = stable(group_equal(rows, ["terms", "weights"]))
     members = stable(first_members(grouped, k))
     reps = rows.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
-    pairs = group_edges(reps, k, block_rows)
+    pairs = group_edges(reps, k, block_rows, few_blocks)
     edges = expand_groups(pairs, members, grouped, k, F.lit(1.0))
     return pad_to_k(edges, ids, k) if pad else edges
