@@ -26,7 +26,9 @@ def query(name, oracle=None):
 
 
 def dense_edges(spark, sf):
-    return dense_knn.knn_dense(A.dense_vectors(spark, sf), K)
+    """Neighbours among the vectors that belong to a film."""
+    ids = A.vector_films(spark, sf).select("id")
+    return dense_knn.knn_dense(A.dense_vectors(spark, sf).join(ids, "id", "left_semi"), K)
 
 
 def labelled(spark, sf):
@@ -35,7 +37,7 @@ def labelled(spark, sf):
     return catalog, dense_edges(spark, sf), E.sample_queries(catalog, 200, 50, 42)
 
 
-LABELLED = f"WITH {S.DENSE_EDGES}, {S.VECTOR_FILMS}, {S.QUERIES_200}"
+LABELLED = f"WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {S.QUERIES_200}"
 KEYWORDS = f"keys AS (SELECT id, {S.label_set('keywords')} AS l FROM vfilms)"
 GENRES = f"kinds AS (SELECT id, {S.label_set('genres')} AS l FROM vfilms)"
 JACCARD = "CASE WHEN len(list_distinct(list_concat(q.l, t.l))) = 0 THEN 0.0 ELSE len(list_intersect(q.l, t.l)) / len(list_distinct(list_concat(q.l, t.l))) END"
@@ -63,7 +65,7 @@ def edges_x_labels(spark, sf):
 
 @query(
     "run_matches_catalog",
-    f"""WITH {S.DENSE_EDGES}, {S.FILMS}, cat AS (SELECT id FROM films WHERE status = 'Released')
+    f"""WITH {S.FILM_EDGES}, {S.FILMS}, cat AS (SELECT id FROM films WHERE status = 'Released')
     SELECT 'query not in catalog' AS problem, id FROM (SELECT DISTINCT movie_id AS id FROM dense_edges) WHERE id NOT IN (SELECT id FROM cat)
     UNION ALL SELECT 'catalog id without edges', id FROM cat WHERE id NOT IN (SELECT movie_id FROM dense_edges)
     UNION ALL SELECT 'neighbour not in catalog', id FROM (SELECT DISTINCT neighbour_id AS id FROM dense_edges) WHERE id NOT IN (SELECT id FROM cat)""",
@@ -148,7 +150,7 @@ def latency_percentiles(spark, sf):
 
 @query(
     "neighbour_lists",
-    f"WITH {S.DENSE_EDGES} SELECT movie_id, string_agg(CAST(neighbour_id AS VARCHAR), '|' ORDER BY rank) AS neighbours FROM dense_edges GROUP BY 1",
+    f"WITH {S.FILM_EDGES} SELECT movie_id, string_agg(CAST(neighbour_id AS VARCHAR), '|' ORDER BY rank) AS neighbours FROM dense_edges GROUP BY 1",
 )
 def neighbour_lists(spark, sf):
     lists = E.neighbour_lists(dense_edges(spark, sf))

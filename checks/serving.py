@@ -41,7 +41,7 @@ def vector_records(spark, sf):
 
 @query(
     "assemble_records",
-    f"""WITH {S.DENSE_EDGES}, {S.VECTOR_FILMS}, {SHOWN},
+    f"""WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {SHOWN},
     lists AS (SELECT movie_id, {SIMILAR} AS neighbours FROM dense_edges GROUP BY 1)
     SELECT id AS movie_id, title, year, rating AS vote_average, poster_path, genres, neighbours
     FROM shown LEFT JOIN lists ON movie_id = key""",
@@ -61,7 +61,7 @@ def assemble_records(spark, sf):
 
 @query(
     "hydrate_batch",
-    f"""WITH {S.DENSE_EDGES}, {S.VECTOR_FILMS}, {SHOWN},
+    f"""WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {SHOWN},
     asked AS (SELECT CAST(movie_id AS VARCHAR) AS request, list_concat(
       list(CAST(neighbour_id AS VARCHAR) ORDER BY rank), ['none', CAST(movie_id AS VARCHAR), CAST(movie_id AS VARCHAR)]) AS ids
       FROM dense_edges GROUP BY movie_id),
@@ -82,7 +82,7 @@ def hydrate_batch(spark, sf):
 
 @query(
     "similar_lookup",
-    f"""WITH {S.DENSE_EDGES}, {S.VECTOR_FILMS}, {SHOWN}, asked AS (SELECT DISTINCT doc_id FROM labels)
+    f"""WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {SHOWN}, asked AS (SELECT DISTINCT doc_id FROM labels)
     SELECT CAST(movie_id AS VARCHAR) AS query_id, rank, id, title, year, rating, coalesce(genres, '') AS genres,
       CAST(CAST(round(score, 4) AS DECIMAL(5, 4)) AS VARCHAR) AS score
     FROM dense_edges JOIN shown ON key = neighbour_id WHERE rank <= 6 AND movie_id IN (SELECT doc_id FROM asked)""",

@@ -79,6 +79,11 @@ dense_edges AS (SELECT movie_id, CAST(rank AS INTEGER) AS rank, neighbour_id, sc
           round(list_dot_product(a.v, b.v) / (a.norm * b.norm), 6) AS score
         FROM units a, units b WHERE a.id <> b.id)) WHERE rank <= 10)"""
 
+# Only vectors that belong to a document.
+FILM_EDGES = DENSE_EDGES.replace(
+    "FROM embeddings)", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents))"
+)
+
 VECTOR_FILMS = FILMS + """,
 vfilms AS (SELECT * REPLACE (CASE WHEN status IS NOT NULL THEN keywords END AS keywords)
            FROM films WHERE id IN (SELECT vec_id FROM embeddings))"""
