@@ -76,3 +76,18 @@ def top_k_per_group(
     """
     window = W.partitionBy(group).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
+
+
+def top_k_of_large_groups(
+    df: DataFrame, group: str, k: int, order: list[Column], salt_by: str, rank: str = "rank"
+) -> DataFrame:
+    """`top_k_per_group` for k beyond what Catalyst limits map-side (1000 rows).
+
+    Each group is first cut to k rows in every salt, so no task sorts a whole
+    hot group.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = df.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(parts)))
+    within = W.partitionBy(group, "__salt").orderBy(*order)
+    cut = salted.withColumn("__n", F.row_number().over(within)).where(F.col("__n") <= k)
+    return top_k_per_group(cut.drop("__salt", "__n"), group, k, order, rank)

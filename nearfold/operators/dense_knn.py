@@ -36,6 +36,8 @@ from nearfold.operators.grouping import (
 from nearfold.scale import salted_join, stable
 
 BLOCK_ROWS = 16_384
+# Cells a task should hold for one block.
+BLOCK_CELLS = 4_000_000
 MAX_PIVOTS = 256
 ANGLE_SLACK = 1e-6
 
@@ -136,7 +138,9 @@ def near_blocks(placed: DataFrame, bounds: DataFrame, pivots: np.ndarray) -> Dat
 
 def vector_edges(rows: DataFrame, k: int, block_rows: int, few_blocks: int) -> DataFrame:
     """(a, b, score): K best other rows of every non-zero row."""
-    n = rows.count()
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
+    n = size.n
+    block_rows = max(1, min(block_rows, BLOCK_CELLS // max(size.width or 1, 1)))
     n_blocks = block_count(rows, n, block_rows)
     few = n_blocks <= few_blocks
     if few:
@@ -185,7 +189,7 @@ def knn_dense(
         vectors.select("id", unit_vector(F.col("vec").cast("array<double>")).alias("vec"))
     )
     grouped = stable(group_equal(rows, ["vec"]))
-    members = first_members(grouped, k)
+    members = stable(first_members(grouped, k))
     is_zero = F.forall("vec", lambda x: x == 0)
     reps = stable(rows.join(members.select(F.col("rep").alias("id"), "group"), "id"))
     zeros = reps.where(is_zero).select("id")

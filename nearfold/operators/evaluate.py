@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.labels import jaccard, label_set, shares_label
 from nearfold.functions.values import finite_or_null
-from nearfold.scale import bounded_broadcast, exact_quantiles, with_offsets
+from nearfold.scale import bounded_broadcast, exact_quantiles, salted_join, with_offsets
 from nearfold.settings import DEFAULTS
 
 RANDOM_METHOD = "random"
@@ -105,10 +105,10 @@ def edges_x_labels(
     if n_queries is not None:
         own = bounded_broadcast(own, n_queries)
     theirs = labels.select(F.col("id").alias("neighbour_id"), "labels")
+    asked = edges.select("movie_id", "neighbour_id").join(own, "movie_id")
+    # A film may be a neighbour of very many others.
     return (
-        edges.select("movie_id", "neighbour_id")
-        .join(own, "movie_id")
-        .join(theirs, "neighbour_id", "left")
+        salted_join(asked, theirs, "neighbour_id", "movie_id", "left")
         .withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
         .select("movie_id", "neighbour_id", "query_labels", "labels")
     )

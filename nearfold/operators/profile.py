@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from nearfold.functions.labels import jaccard, keyword_set
 from nearfold.operators.catalog import filter_conditions
 from nearfold.operators.evaluate import draw
-from nearfold.scale import with_offsets
+from nearfold.scale import bounded_broadcast, with_offsets
 
 
 def null_rates(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -78,6 +78,6 @@ def random_pair_jaccard(
     )
     left = numbered.select(F.col("at").alias("i"), F.col("labels").alias("a"))
     right = numbered.select(F.col("at").alias("j"), F.col("labels").alias("b"))
-    scored = F.broadcast(pairs).join(left, "i")
-    scored = F.broadcast(scored).join(right, "j").select(jaccard(F.col("a"), F.col("b")).alias("s"))
+    scored = bounded_broadcast(pairs, n_pairs).join(left, "i")
+    scored = scored.join(right, "j").select(jaccard(F.col("a"), F.col("b")).alias("s"))
     return scored.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("s").alias("mean_jaccard"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions import values as V
 from nearfold.functions.labels import genre_list
+from nearfold.scale import salted_join
 
 MAX_RESULTS = 20
 
@@ -144,7 +145,8 @@ def hydrate_batch(requests: DataFrame, records: DataFrame) -> DataFrame:
     # first cut to the ids asked for.
     asked = wanted.select("movie_id").distinct()
     found = records.join(asked, "movie_id", "left_semi")
-    return wanted.join(found, "movie_id").select("request", "pos", *records.columns)
+    joined = salted_join(wanted, found, "movie_id", "request")
+    return joined.select("request", "pos", *records.columns)
 
 
 def missing_ids(requests: DataFrame, records: DataFrame) -> DataFrame:
@@ -165,7 +167,8 @@ def similar_lookup(asked: DataFrame, records: DataFrame, method: str, n: int = 1
     )
     wanted = lists.select("query_id", "pos", F.col("e.id").alias("id"), F.col("e.score").alias("score"))
     shown = display_projection(records)
-    return wanted.join(shown, "id").select(
+    # A film may be a neighbour of very many others.
+    return salted_join(wanted, shown, "id", "query_id").select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), *shown.columns, "score"
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from nearfold.operators.catalog import top_k_of_large_groups
 from nearfold.operators.evaluate import seeded_order
 from nearfold.scale import exact_quantiles
 
@@ -58,8 +59,7 @@ def stratified_sample(
     in one task.
     """
     binned = quantile_bins(df.select(key, column), column, bins).select(key, "bin")
-    ranked = W.partitionBy("bin").orderBy(*seeded_order(seed, key))
-    drawn = binned.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= n)
+    drawn = top_k_of_large_groups(binned, "bin", n, seeded_order(seed, key), key, "place")
     # One row per bin.
     shares = F.broadcast(bin_allocation(binned, n).select("bin", "wanted"))
     part = drawn.join(shares, "bin").where(F.col("place") <= F.col("wanted")).select(key, "bin")

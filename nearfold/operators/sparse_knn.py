@@ -47,6 +47,10 @@ from nearfold.scale import bounded_broadcast, salted_join, stable
 
 
 BLOCK_ROWS = 4096
+# (term, weight) entries a task should hold for one block.
+BLOCK_ENTRIES = 4_000_000
+# Terms in more than one of this many rows of a block are multiplied densely.
+HEAVY_SHARE = 8
 
 
 class BlockIndex:
@@ -66,7 +70,7 @@ class BlockIndex:
             flat[by_term], return_index=True, return_counts=True
         )
         # Terms in many rows of the block go through one dense product.
-        self.heavy = np.flatnonzero(self.count * 16 > len(order))
+        self.heavy = np.flatnonzero(self.count * HEAVY_SHARE > len(order))
         self.slot = np.full(len(self.terms), -1)
         self.slot[self.heavy] = np.arange(len(self.heavy))
         self.dense = np.zeros((len(self.heavy), len(order)))
@@ -177,7 +181,10 @@ def useful_blocks(rows: DataFrame, bounds: DataFrame) -> DataFrame:
 
 def group_edges(rows: DataFrame, k: int, block_rows: int, few_blocks: int) -> DataFrame:
     """(a, b, score): K best other rows of every row, positive scores only."""
-    n = rows.count()
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("entries")).first()
+    n, entries = size.n, size.entries or 0
+    # Long documents make smaller blocks.
+    block_rows = max(1, min(block_rows, BLOCK_ENTRIES * max(n, 1) // max(entries, 1)))
     n_blocks = block_count(rows, n, block_rows)
     blocked = stable(block_of_anchor(rows, n_blocks, -(-n // n_blocks)))
     near = within_blocks(blocked, ["terms", "weights"], BlockIndex, k)
@@ -240,6 +247,6 @@ def knn_sparse(
     grouped = stable(group_equal(rows, ["terms", "weights"]))
     members = stable(first_members(grouped, k))
     reps = rows.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
-    pairs = group_edges(reps, k, block_rows, few_blocks)
+    pairs = stable(group_edges(reps, k, block_rows, few_blocks))
     edges = expand_groups(pairs, members, grouped, k, F.lit(1.0))
     return pad_to_k(edges, ids, k) if pad else edges

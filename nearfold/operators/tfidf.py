@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from nearfold.functions.text import drop_stop_words, ngrams, tokenize
-from nearfold.scale import bounded_broadcast, with_offsets
+from nearfold.scale import lookup_join, with_offsets
 from nearfold.settings import DEFAULTS
 
 
@@ -75,10 +75,8 @@ def packed_rows(counts: DataFrame, vocab: DataFrame, vocab_cap: int | None) -> D
     Terms outside the vocabulary are ignored; documents with none have no row.
     Equal documents get bit-equal arrays, because sums run in term order.
     """
-    small = vocab.select("term", "term_no", "idf")
-    if vocab_cap is not None:
-        small = bounded_broadcast(small, vocab_cap)
-    weighted = counts.join(small, "term").select(
+    known = vocab.select("term", "term_no", "idf")
+    weighted = lookup_join(counts, known, "term", "id", vocab_cap).select(
         "id", "term_no", ((F.log("tf") + 1) * F.col("idf")).alias("w")
     )
     packed = weighted.groupBy("id").agg(
@@ -99,9 +97,7 @@ def unpack_rows(packed: DataFrame, vocab: DataFrame, vocab_cap: int | None) -> D
     rows = packed.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
     rows = rows.select("id", F.col("e.terms").alias("term_no"), F.col("e.weights").alias("weight"))
     names = vocab.select("term_no", "term")
-    if vocab_cap is not None:
-        names = bounded_broadcast(names, vocab_cap)
-    return rows.join(names, "term_no").select("id", "term", "weight")
+    return lookup_join(rows, names, "term_no", "id", vocab_cap).select("id", "term", "weight")
 
 
 def unigram_idf(vocab: DataFrame) -> DataFrame:

@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-# A table proven to hold at most this many narrow rows may be broadcast.
-BROADCAST_ROWS = 200_000
+# A table proven to be no larger than this may be broadcast.
+BROADCAST_BYTES = 64 * 1024 * 1024
+NARROW_ROW_BYTES = 100
 # A join key with more left rows than this is split over several tasks.
 HOT_KEY_ROWS = 200_000
-# Keys above total/HOT_KEYS rows: there can be no more than HOT_KEYS of them.
+# The most frequent keys that are salted. Any other key holds less than one
+# thousandth of the rows and is left to adaptive execution.
 HOT_KEYS = 1000
 
 
@@ -54,12 +56,18 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast `df` when its caller proves it holds at most `max_rows` narrow rows.
+def fits_broadcast(max_rows: int | None, row_bytes: int = NARROW_ROW_BYTES) -> bool:
+    return max_rows is not None and max_rows * row_bytes <= BROADCAST_BYTES
+
+
+def bounded_broadcast(
+    df: DataFrame, max_rows: int | None, row_bytes: int = NARROW_ROW_BYTES
+) -> DataFrame:
+    """Broadcast `df` when its caller proves it holds at most `max_rows` such rows.
 
     Above the limit the join strategy is left to the size Spark measures.
     """
-    return F.broadcast(df) if max_rows <= BROADCAST_ROWS else df
+    return F.broadcast(df) if fits_broadcast(max_rows, row_bytes) else df
 
 
 def salted_join(
@@ -73,15 +81,14 @@ def salted_join(
     """Join where a few `key` values may hold a large share of `left`.
 
     Keys above the limit are spread over salts on the left and their right rows
-    repeated once per salt. At most HOT_KEYS keys qualify, so that list is small.
+    repeated once per salt. The list of such keys has at most HOT_KEYS rows.
     """
     sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
-    total = sizes.select(F.coalesce(F.sum("__rows"), F.lit(0))).scalar()
-    limit = F.greatest(F.lit(float(hot_rows)), total / HOT_KEYS)
     hot = F.broadcast(
-        sizes.where(F.col("__rows") > limit).select(
-            key, F.ceil(F.col("__rows") / limit).cast("int").alias("__salts")
-        )
+        sizes.where(F.col("__rows") > hot_rows)
+        .orderBy(F.desc("__rows"))
+        .limit(HOT_KEYS)
+        .select(key, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__salts"))
     )
     salts = F.coalesce(F.col("__salts"), F.lit(1))
     spread = left.join(hot, key, "left").withColumn(
@@ -95,6 +102,21 @@ def salted_join(
     ).drop("__salt")
 
 
+def lookup_join(
+    left: DataFrame,
+    right: DataFrame,
+    key: str,
+    salt_by: str,
+    max_rows: int | None,
+    how: str = "inner",
+    row_bytes: int = NARROW_ROW_BYTES,
+) -> DataFrame:
+    """Broadcast a lookup table that is proven small; salt the join otherwise."""
+    if fits_broadcast(max_rows, row_bytes):
+        return left.join(F.broadcast(right), key, how)
+    return salted_join(left, right, key, salt_by, how)
+
+
 def with_offsets(
     df: DataFrame, order: list[str], weight: Column | None = None, name: str = "offset"
 ) -> DataFrame:
