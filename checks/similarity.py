@@ -9,7 +9,7 @@ from checks.sources_and_text import every_film
 from nearfold import adapters as A
 from nearfold.operators import catalog as C
 from nearfold.operators import dense_knn, sparse_knn, tfidf, vectors
-from nearfold.scale import scratch_path
+from nearfold.scale import scratch_path, with_offsets
 from nearfold.settings import DEFAULTS
 from nearfold.sources.store import RunStore
 
@@ -112,14 +112,12 @@ med AS (SELECT median(idf) AS m FROM uni)"""
 
 
 def word_table(spark, sf, docs):
-    """(token, vec) over at most as many words as there are embeddings."""
+    """(token, vec): words numbered by frequency, joined to the embeddings."""
     freq = tfidf.term_doc_freq(tfidf.term_counts(docs, S.STOP, 1))
+    ordered = freq.select((-F.col("cf")).alias("order"), F.col("term").alias("token"))
+    numbered = with_offsets(ordered, ["order", "token"], name="id")
     vectors_ = A.dense_vectors(spark, sf)
-    n = vectors_.count()
-    top = freq.orderBy(F.desc("cf"), "term").limit(n)
-    numbered = top.agg(F.sort_array(F.collect_list(F.struct((-F.col("cf")).alias("c"), "term"))).alias("w"))
-    named = numbered.select(F.posexplode("w").alias("id", "w")).select("id", F.col("w.term").alias("token"))
-    return named.join(vectors_, "id").select("token", "vec"), n
+    return numbered.join(vectors_, "id").select("token", "vec"), vectors_.count()
 
 
 def word_model(spark, sf):

@@ -139,6 +139,7 @@ class TfidfEmbedder:
         self.vocab: DataFrame | None = None
         self.rows: DataFrame | None = None
         self.ids: DataFrame | None = None
+        self.held: list[DataFrame] = []
 
     def counts(self, docs: DataFrame) -> DataFrame:
         return term_counts(docs, self.stop_words, self.settings["ngram_max"])
@@ -150,8 +151,14 @@ class TfidfEmbedder:
         self.vocab = vocabulary(counts, n_docs, self.settings).persist()
         self.rows = packed_rows(counts, self.vocab, self.settings["max_features"])
         self.ids = docs.select("id")
+        self.held = [counts, self.vocab]
         return self
 
+    def release(self) -> None:
+        """Drop what `fit` cached, once rows and vocabulary are written."""
+        for held in self.held:
+            held.unpersist()
+
     def transform(self, docs: DataFrame) -> DataFrame:
         """Packed rows of new text under the fitted vocabulary."""
         return packed_rows(self.counts(docs), self.vocab, self.settings["max_features"])

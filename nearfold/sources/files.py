@@ -45,16 +45,18 @@ def scan_typed_csv(
     path: str,
     types: dict[str, str] | None = None,
     tokens: list[str] | None = None,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """The named columns only, typed; missing-value tokens become null.
 
-    Quoted cells may hold line breaks and doubled quotes, which keeps one file
-    in one task: convert large files to Parquet once.
+    Quoted cells may hold doubled quotes and, with `line_breaks`, line breaks,
+    which keeps each file in one task. Large files without any split better with
+    it off; others are best converted to Parquet once.
     """
     types = types or FILM_TYPES
     raw = (
         spark.read.option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", line_breaks)
         .option("escape", '"')
         .csv(path)
     )
