@@ -4,16 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from nearfold.functions.text import WHITESPACE
 from nearfold.operators.catalog import top_k_of_large_groups
 from nearfold.operators.evaluate import seeded_order
-from nearfold.scale import exact_quantiles
+from nearfold.scale import bounded_broadcast, exact_quantiles
 
 
 def top_voted(df: DataFrame, n: int, position: str | None = None) -> DataFrame:
-    """n rows by vote_count descending, then id, then their place in the file."""
-    order = [F.desc("vote_count"), F.asc("id")]
+    """n rows by vote_count descending, then id, then their place in the file.
+
+    Both may be text, as when a file is copied cell by cell.
+    """
+    order = [F.col("vote_count").cast("bigint").desc(), F.col("id").cast("bigint").asc()]
     if position:
         order.append(F.asc(position))
     return df.orderBy(*order).limit(n)
@@ -84,3 +89,17 @@ def union_samples(parts: list[DataFrame]) -> DataFrame:
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def sample_rows(
+    df: DataFrame, column: str, n: int, seed: int, key: str = "id", bins: int = 10
+) -> DataFrame:
+    """Whole rows of a stratified sample, white space in text columns collapsed.
+
+    `key` must be unique: where ids repeat, pass a column that numbers the rows.
+    """
+    keys = stratified_sample(df, column, n, seed, key, bins).select(key)
+    sample = df.join(bounded_broadcast(keys, n), key, "left_semi")
+    # Runs become one space; a missing cell stays missing.
+    texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
+    return sample.withColumns({c: F.regexp_replace(c, WHITESPACE, " ") for c in texts})

@@ -107,3 +107,35 @@ def test_compare_methods(spark, words, store):
     assert got["word2vec"].artifact_mb > 0 and got["word2vec"].peak_rss_mb is None
     with pytest.raises(ValueError, match="duplicate"):
         compare_methods([methods[0], methods[0]], docs, store, "2026-01-02", 3)
+
+
+def test_command_line(spark, words, tmp_path):
+    import json
+
+    from nearfold.__main__ import main
+    from nearfold.sources import files
+    from nearfold.sources.store import RunStore
+
+    raw, out = str(tmp_path / "films.csv"), str(tmp_path / "out")
+    files.write_csv(films(spark).withColumn("runtime", F.lit(90)).withColumn("budget", F.lit(1)), raw)
+    vectors = str(tmp_path / "words")
+    words.write.parquet(vectors)
+    settings = str(tmp_path / "settings.json")
+    with open(settings, "w") as f:
+        json.dump(SETTINGS, f)
+    common = ["--root", str(tmp_path / "runs"), "--input", raw, "--settings", settings]
+    assert main(["publish", *common, "--words", vectors, "--run-date", "2026-01-01"], spark) == 0
+    assert RunStore(spark, str(tmp_path / "runs")).pointer() == ("2026-01-01", "tfidf")
+    assert main(["score", *common], spark) == 0
+    assert main(["rollback", *common, "--run-date", "2026-01-01", "--dry-run"], spark) == 0
+    assert main(["rollback", *common, "--run-date", "2020-01-01"], spark) == 1
+    assert main(["titles", *common, "--out", out], spark) == 0
+    assert files.read_title_index(spark, out).count() == 12
+    for job in ("sample", "top"):
+        assert main([job, *common, "--out", out, "--rows", "7"], spark) == 0
+        text = files.scan_text_csv(spark, out)
+        assert text.count() == 7 and "budget" in text.columns and "__row" not in text.columns
+    assert {r.id for r in text.collect()} == {str(i) for i in range(5, 12)}
+    with open(settings, "w") as f:
+        json.dump({"quality": {"row_count_min": 10**9}}, f)
+    assert main(["publish", *common, "--words", vectors, "--run-date", "2026-01-08"], spark) == 1
