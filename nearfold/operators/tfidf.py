@@ -16,20 +16,24 @@ from nearfold.scale import lookup_join, with_offsets
 from nearfold.settings import DEFAULTS
 
 
-def token_table(docs: DataFrame, stop_words: list[str], text: str = "document") -> DataFrame:
-    """(id, tokens), hash-partitioned by id."""
-    return (
-        docs.select("id", F.col(text).alias("text"))
-        .repartition("id")
-        .select("id", drop_stop_words(tokenize(F.col("text")), stop_words).alias("tokens"))
-    )
+def token_table(docs: DataFrame, stop_words: list[str], clustered: bool = False) -> DataFrame:
+    """(id, tokens), hash-partitioned by id.
+
+    Pass `clustered` for documents that are so already, as `prepare` leaves them
+    (cached or not); stored tables have lost it.
+    """
+    texts = docs.select("id", "document")
+    if not clustered:
+        texts = texts.repartition("id")
+    kept = drop_stop_words(tokenize(F.col("document")), stop_words)
+    return texts.select("id", kept.alias("tokens"))
 
 
 def term_counts(
-    docs: DataFrame, stop_words: list[str], ngram_max: int = 2, text: str = "document"
+    docs: DataFrame, stop_words: list[str], ngram_max: int = 2, clustered: bool = False
 ) -> DataFrame:
-    """(id, term, tf)."""
-    tokens = token_table(docs, stop_words, text)
+    """(id, term, tf) of (id, document)."""
+    tokens = token_table(docs, stop_words, clustered)
     return (
         tokens.select("id", F.explode(ngrams(F.col("tokens"), ngram_max)).alias("term"))
         .groupBy("id", "term")
@@ -141,12 +145,12 @@ class TfidfEmbedder:
         self.ids: DataFrame | None = None
         self.held: list[DataFrame] = []
 
-    def counts(self, docs: DataFrame) -> DataFrame:
-        return term_counts(docs, self.stop_words, self.settings["ngram_max"])
+    def counts(self, docs: DataFrame, clustered: bool = False) -> DataFrame:
+        return term_counts(docs, self.stop_words, self.settings["ngram_max"], clustered)
 
-    def fit(self, docs: DataFrame) -> "TfidfEmbedder":
-        """`docs` holds (id, document), one row per id."""
-        counts = self.counts(docs).persist()
+    def fit(self, docs: DataFrame, clustered: bool = False) -> "TfidfEmbedder":
+        """`docs` holds (id, document), one row per id; see `token_table`."""
+        counts = self.counts(docs, clustered).persist()
         n_docs = docs.select(F.count(F.lit(1))).scalar()
         self.vocab = vocabulary(counts, n_docs, self.settings).persist()
         self.rows = packed_rows(counts, self.vocab, self.settings["max_features"])

@@ -190,3 +190,27 @@ def test_idf_table_is_checked(spark):
         checked_unigram_idf(spark.createDataFrame([("a b", 1.0)], "term string, idf double"))
     with pytest.raises(ValueError, match="empty"):
         checked_unigram_idf(spark.createDataFrame([], "term string, idf double"))
+
+
+def test_counting_needs_one_exchange_at_most(spark):
+    from nearfold.operators.catalog import dedup_keep_max
+    from nearfold.operators.tfidf import packed_rows, term_counts, vocabulary
+
+    docs = spark.createDataFrame([(i, "aa bb", i) for i in range(8)], "id long, document string, vote_count long")
+    unique = dedup_keep_max(docs).persist()
+    unique.count()
+
+    def exchanges(df):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+        return plan.count("Exchange hashpartitioning")
+
+    assert exchanges(term_counts(unique, [], 2, clustered=True)) == 0
+    counts = term_counts(docs, [], 2)
+    assert exchanges(counts) == 1
+    counts = counts.persist()
+    counts.count()
+    from pyspark.sql import functions as F
+
+    vocab = vocabulary(counts, F.lit(8), SETTINGS).persist()
+    vocab.count()
+    assert exchanges(packed_rows(counts, vocab, 100)) == 0
