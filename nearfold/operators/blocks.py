@@ -7,13 +7,19 @@ floor)` returning each query row's K best rows of that block.
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nearfold.scale import bounded_broadcast, stable
 
+# Tasks get this module's search code with the job, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 CHUNK_ROWS = 4096
 # With no more blocks than this, working out which ones to skip costs more than
 # visiting them all.

@@ -8,10 +8,12 @@ Blocks are multiplied with numpy in tasks that return K rows per query.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +37,9 @@ from nearfold.operators.grouping import (
 )
 from nearfold.scale import salted_join, stable
 
+# Tasks get this module's search code with the job, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 BLOCK_ROWS = 16_384
 # Cells a task should hold for one block.
 BLOCK_CELLS = 4_000_000

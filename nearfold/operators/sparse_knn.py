@@ -19,8 +19,11 @@ neighbours are completed with zero scores (`pad_to_k`).
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +48,9 @@ from nearfold.operators.grouping import (
 )
 from nearfold.scale import bounded_broadcast, salted_join, stable
 
+# Tasks get this module's search code with the job, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 BLOCK_ROWS = 4096
 # (term, weight) entries a task should hold for one block.
