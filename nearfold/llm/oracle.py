@@ -73,3 +73,29 @@ SELECT w.doc_id, CAST(w.n_words AS BIGINT) AS n_words, CAST(b.n_base AS BIGINT)
   coalesce(n.base_labels, '') AS base_labels, coalesce(l.labels, '') AS labels, coalesce(s.score, 0.0) AS score
 FROM wide w JOIN base b USING (doc_id) LEFT JOIN named n USING (doc_id)
 LEFT JOIN labels l USING (doc_id) LEFT JOIN scores s USING (doc_id)"""
+
+
+def mixing() -> str:
+    return r"""WITH sizes AS (SELECT doc_id, source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sizes GROUP BY source),
+ranked AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS r FROM totals),
+weighed AS (SELECT *, r % 3 + 1 AS w, 3 * source_size AS cap, CAST(3 * source_size AS DOUBLE) / (r % 3 + 1) AS full_at
+  FROM ranked),
+whole AS (SELECT CAST(sum(source_size) AS DOUBLE) AS all_size, sum(w) AS all_w FROM weighed),
+levels AS (SELECT weighed.*,
+    all_size - coalesce(sum(cap) OVER before, 0) AS level, CAST(all_w - coalesce(sum(w) OVER before, 0) AS DOUBLE) AS rest
+  FROM weighed, whole
+  WINDOW before AS (ORDER BY full_at, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+first AS (SELECT full_at AS at_full, r AS at_r, level AS at_level, rest AS at_rest FROM levels
+  WHERE full_at * rest >= level ORDER BY full_at, r LIMIT 1),
+targets AS (SELECT source, source_size, CASE WHEN at_r IS NULL OR (full_at, r) < (at_full, at_r)
+    THEN CAST(cap AS DOUBLE) ELSE w * at_level / at_rest END AS target
+  FROM levels LEFT JOIN first ON true),
+placed AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('20:' || doc_id), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sizes),
+budget AS (SELECT *, CAST(floor(target) AS BIGINT) // greatest(source_size, 1) AS turns,
+    CAST(floor(target) AS BIGINT) % greatest(source_size, 1) AS rest FROM targets)
+SELECT p.doc_id, p.source, p.size, b.source_size, b.target,
+  CAST(b.turns * p.size + greatest(0, least(p.size, b.rest - p.before)) AS BIGINT) AS taken
+FROM placed p JOIN budget b ON p.source IS NOT DISTINCT FROM b.source"""

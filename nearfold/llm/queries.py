@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import table
-from nearfold.llm import license_scan, oracle, token_store, url_rules
+from nearfold.llm import license_scan, mixing, oracle, pii, quality, secret_scan, token_store, url_rules
+from nearfold.llm.spans import joined, of_kinds
 from nearfold.scale import scratch_path
 
 
@@ -30,6 +31,21 @@ def op1_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.token_digests(found.unionByName(token_store.unindexed(spark, path)), path)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, sf_dir, "documents"))
+
+
+def _span_digests(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+    """Counts of the base kinds, the digest of their spans, and all spans."""
+    counts = [F.size(of_kinds(F.col("spans"), (k,))).cast("long").alias(f"n_{k}") for k in base]
+    digest = F.sha2(joined(of_kinds(F.col("spans"), base)), 256)
+    return found.select("doc_id", *counts, digest.alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(pii.find_pii(table(spark, sf_dir, "documents")), pii.BASE_KINDS)
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     scanned = license_scan.scan_licenses(table(spark, sf_dir, "documents"))
     return scanned.drop("spans")
@@ -41,8 +57,30 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE_KINDS)
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose crc32 of the id leaves 1 when divided by 3 are held out from training."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    machine = quality.train_quality(docs, labels, usable=fold != 1, metadata=("n_chars",))
+    scored = quality.score_quality(docs, machine, metadata=("n_chars",))
+    return scored.select(
+        "doc_id",
+        F.coalesce(fold == 1, F.lit(False)).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
+
+
 QUERIES = {
     "op1_token_ids": (op1_token_ids, None),
+    "op2_mix_sources": (op2_mix_sources, oracle.mixing()),
+    "op3_personal_data": (op3_personal_data, None),
     "op4_license_scan": (op4_license_scan, oracle.license_scan()),
     "op6_url_rules": (op6_url_rules, oracle.url_rules()),
+    "op8_secrets": (op8_secrets, None),
+    "op10_quality": (op10_quality, None),
 }
