@@ -99,3 +99,18 @@ budget AS (SELECT *, CAST(floor(target) AS BIGINT) // greatest(source_size, 1) A
 SELECT p.doc_id, p.source, p.size, b.source_size, b.target,
   CAST(b.turns * p.size + greatest(0, least(p.size, b.rest - p.before)) AS BIGINT) AS taken
 FROM placed p JOIN budget b ON p.source IS NOT DISTINCT FROM b.source"""
+
+
+def near_vectors(cosine: float) -> str:
+    return f"""WITH RECURSIVE vecs AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+units AS (SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS norm FROM vecs WHERE list_dot_product(v, v) > 0),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM units a JOIN units b
+  ON a.vec_id <> b.vec_id AND list_dot_product(a.v, b.v) / (a.norm * b.norm) >= {cosine}),
+walk AS (SELECT DISTINCT a AS node, a AS other FROM links
+  UNION SELECT w.node, l.b FROM walk w JOIN links l ON l.a = w.other),
+least AS (SELECT node, min(other) AS component_id FROM walk GROUP BY node),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, coalesce(l.component_id, e.vec_id) AS component_id,
+  coalesce(l.component_id, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.node = e.vec_id"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import table
-from nearfold.llm import license_scan, mixing, oracle, pii, quality, secret_scan, token_store, url_rules
+from nearfold.llm import license_scan, mixing, oracle, pii, quality, secret_scan, token_store, url_rules, vector_join
 from nearfold.llm.spans import joined, of_kinds
 from nearfold.scale import scratch_path
 
@@ -57,6 +57,10 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_join.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE_KINDS)
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op3_personal_data": (op3_personal_data, None),
     "op4_license_scan": (op4_license_scan, oracle.license_scan()),
     "op6_url_rules": (op6_url_rules, oracle.url_rules()),
+    "op7_near_vectors": (op7_near_vectors, oracle.near_vectors(vector_join.COSINE)),
     "op8_secrets": (op8_secrets, None),
     "op10_quality": (op10_quality, None),
 }
