@@ -114,3 +114,23 @@ counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
 SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, coalesce(l.component_id, e.vec_id) AS component_id,
   coalesce(l.component_id, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least l ON l.node = e.vec_id"""
+
+
+SHINGLES = r"""words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM words),
+shingles AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+half AS (SELECT a, b FROM common WHERE 100 * i >= 75 * (na + nb - i)),
+links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+walk AS (SELECT DISTINCT a AS node, a AS other FROM links
+  UNION SELECT w.node, l.b FROM walk w JOIN links l ON l.a = w.other),
+least AS (SELECT node, min(other) AS component_id FROM walk GROUP BY node)"""
+
+
+def near_documents() -> str:
+    return f"""WITH RECURSIVE {SHINGLES}
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN least l ON l.node = s.doc_id"""

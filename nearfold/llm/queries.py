@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import table
-from nearfold.llm import license_scan, mixing, oracle, pii, quality, secret_scan, token_store, url_rules, vector_join
+from nearfold.llm import license_scan, mixing, oracle, pii, quality, secret_scan, shingle_join, token_store
+from nearfold.llm import url_rules, vector_join
 from nearfold.llm.spans import joined, of_kinds
 from nearfold.scale import scratch_path
 
@@ -51,6 +52,10 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.drop("spans")
 
 
+def op5_near_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = url_rules.DOMAIN_RULES + url_rules.PATTERN_RULES
     judged = url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -84,6 +89,7 @@ QUERIES = {
     "op2_mix_sources": (op2_mix_sources, oracle.mixing()),
     "op3_personal_data": (op3_personal_data, None),
     "op4_license_scan": (op4_license_scan, oracle.license_scan()),
+    "op5_near_documents": (op5_near_documents, oracle.near_documents()),
     "op6_url_rules": (op6_url_rules, oracle.url_rules()),
     "op7_near_vectors": (op7_near_vectors, oracle.near_vectors(vector_join.COSINE)),
     "op8_secrets": (op8_secrets, None),
