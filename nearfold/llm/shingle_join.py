@@ -18,9 +18,11 @@ following steps, none of which writes out all pairs of a group.
      shared at most floor(|x| / 2) - 2r combinations of x's frequent tokens are broken (a token
      only x has breaks two, one only y has breaks one); one more than that are indexed.
    Of a linked pair the one whose prefix ends first shares a signature with the other.
-4. Each signature's group first compares every member with one member (the least in one of a few orders):
+4. Each signature's group first compares every member with its most typical one (fewest rare tokens):
    as many pairs as members. Linked classes are merged. Only groups that then still hold
-   different components are looked at again, and only pairs across components are compared.
+   different components are looked at again, and only across components: a task holds a group, or
+   two blocks of a long one, as bitmaps of the sets, which bound from below what each of two
+   sets has alone, and passes on the pairs that may still reach the threshold.
 5. Pairs are verified on the whole texts.
 
 Empty and null texts have no shingles and link with nothing. A null id takes no part in links, and
@@ -45,11 +47,11 @@ ship(__name__)
 
 WORDS = 5
 # A shingle counted so often in one turn of one task is frequent.
-OFTEN = 24
+OFTEN = 4
 # Shingles counted at a time, and bits of the map of frequent ones: both fixed.
 TURN, MAP_BITS = 2_000_000, 1 << 22
-# Orders in which the least member of a group is taken.
-ORDERS = 2
+# Bits of a set's bitmap, and members of a group that are compared in one task.
+BITMAP, BLOCK = 2_048, 4_096
 WORD_CACHE = 1 << 19
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
@@ -93,17 +95,23 @@ def _digest(tokens: np.ndarray) -> tuple[int, int]:
     return tuple(np.array([xxhash.xxh64_intdigest(raw, s) for s in (1, 2)], np.uint64).view(np.int64).tolist())
 
 
-def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of a sorted set; `frequent` is the bitmap, as bytes of 0 and 1."""
+def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, int]:
+    """Signatures of a sorted set and its rare tokens; `frequent` is the map, as bytes of 0 and 1."""
     n = len(tokens)
     often = frequent[(tokens % np.uint64(MAP_BITS)).astype(np.int64)] > 0
     rare = tokens[~often]
     may_lack = n // 4
     if len(rare) > may_lack:
-        return _scramble(rare[: may_lack + 1] + np.uint64(1))
+        return _scramble(rare[: may_lack + 1] + np.uint64(1)), len(rare)
     common = tokens[often][: n // 2 - 2 * len(rare) + 2]
     pairs = _scramble(_scramble(common[:-1] * np.uint64(_MIX[0])) + common[1:])
-    return np.concatenate([_scramble(rare + np.uint64(1)), pairs])
+    return np.concatenate([_scramble(rare + np.uint64(1)), pairs]), len(rare)
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    bits = np.zeros(BITMAP, np.uint8)
+    bits[(tokens % np.uint64(BITMAP)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
 
 
 def _in_common(a: np.ndarray, b: np.ndarray) -> int:
@@ -150,35 +158,38 @@ def frequent_map(rows: DataFrame) -> np.ndarray:
 
 
 def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, n, a, b, signs): the set's size and digest, and its signatures, once for each set and task."""
+    """(doc_id, n, rare, a, b, signs): the set's size, rare tokens and digest; its signatures once for each set and task."""
     marks = rows.sparkSession.sparkContext.broadcast(np.packbits(frequent_map(rows)).tobytes())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = np.unpackbits(np.frombuffer(marks.value, np.uint8)), set()
         for batch in portions(batches):
-            sizes, digests, signs = [], [], []
+            sizes, rares, digests, signs = [], [], [], []
             for raw in _raw(batch.column(1)):
                 tokens = shingles(raw)
                 sizes.append(len(tokens))
                 digests.append(_digest(tokens))
                 if not len(tokens) or digests[-1] in seen:
                     signs.append(None)
+                    rares.append(0)
                     continue
                 if len(seen) > 200_000:
                     seen.clear()
                 seen.add(digests[-1])
-                signs.append(signatures(tokens, frequent).view(np.int64))
+                found, rare = signatures(tokens, frequent)
+                signs.append(found.view(np.int64))
+                rares.append(rare)
             a, b = zip(*digests)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                    pa.array(signs, pa.list_(pa.int64())),
+                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()),
+                    pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signs, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "n", "a", "b", "signs"],
+                names=["doc_id", "n", "rare", "a", "b", "signs"],
             )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"doc_id {kind}, n long, a long, b long, signs array<long>")
+    return rows.mapInArrow(sign, f"doc_id {kind}, n long, rare long, a long, b long, signs array<long>")
 
 
 def shared_signatures(sets: DataFrame) -> DataFrame:
@@ -188,10 +199,10 @@ def shared_signatures(sets: DataFrame) -> DataFrame:
     """
     schema = pa.schema([("sign", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("centre", pa.int64())])
 
-    def emit(signs: np.ndarray, a: np.ndarray, n: np.ndarray, held: dict) -> pa.RecordBatch:
+    def emit(signs: np.ndarray, a: np.ndarray, sizes: np.ndarray, held: dict) -> pa.RecordBatch:
         """All rows of some whole groups, or of a part of the long one named in `held`."""
-        order = _scramble(a.view(np.uint64) + (signs % ORDERS).astype(np.uint64))
-        at = np.lexsort((order, signs))
+        n, rare = sizes >> 32, sizes & 0xFFFFFFFF
+        at = np.lexsort((a, rare, signs))
         signs, a, n = signs[at], a[at], n[at]
         fresh = np.append(True, (signs[1:] != signs[:-1]) | (a[1:] != a[:-1]))[: len(signs)]
         signs, a, n = signs[fresh], a[fresh], n[fresh]
@@ -224,22 +235,89 @@ def shared_signatures(sets: DataFrame) -> DataFrame:
         if len(tail[0]):
             yield emit(*tail, held)
 
-    signed = sets.where("signs IS NOT NULL").select(F.explode("signs").alias("sign"), "a", "n")
+    signed = sets.where("signs IS NOT NULL").select(
+        F.explode("signs").alias("sign"), "a", (F.shiftleft("n", 32) + F.col("rare")).alias("sizes")
+    )
     return signed.repartition("sign").sortWithinPartitions("sign").mapInArrow(
         star, "sign long, a long, n long, centre long"
     )
 
 
 def texts_of(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, text) of each member (doc_id, a): a text whose set has that digest."""
+    """(a, text, bits) of each member (doc_id, a): a text whose set has that digest, and the set's bitmap."""
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            kept = [_digest(shingles(t))[0] == a for a, t in zip(batch.column(0).to_pylist(), _raw(batch.column(1)))]
-            yield batch.filter(pa.array(kept, pa.bool_()))
+            kept, bits = [], []
+            for a, raw in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
+                tokens = shingles(raw)
+                kept.append(_digest(tokens)[0] == a)
+                bits.append(bitmap(tokens))
+            whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], names=["a", "text", "bits"])
+            yield whole.filter(pa.array(kept, pa.bool_()))
 
-    found = rows.join(members, "doc_id").select("a", "text").mapInArrow(same, "a long, text string")
-    return found.groupBy("a").agg(F.min("text").alias("text"))
+    found = rows.join(members, "doc_id").select("a", "text").mapInArrow(same, "a long, text string, bits binary")
+    return found.dropDuplicates(["a"])
+
+
+def across_parts(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of members of one group and different parts that their bitmaps do not rule out.
+
+    A group of more than BLOCK members is cut into blocks, and each two of them are a task's work.
+    """
+    counts = left.groupBy("sign").agg(F.count(F.lit(1)).alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")
+    dealt = (
+        left.join(counts, "sign").withColumn("blocks", blocks).withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .join(texts.select("a", "bits"), "a")
+        .select(
+            F.when(F.col("blocks") == 1, F.col("sign"))
+            .otherwise(F.xxhash64("sign", F.least("own", "other"), F.greatest("own", "other"))).alias("task"),
+            "a", "n", "part",
+            # In a task of two blocks only members of different blocks meet.
+            F.when(F.col("own") == F.col("other"), F.lit(0)).when(F.col("own") < F.col("other"), F.lit(1)).otherwise(F.lit(2)).alias("side"),
+            "bits",
+        )
+    )
+
+    def meet(task, a, n, part, side, bits) -> pa.RecordBatch:
+        words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(a), BITMAP // 64)
+        here, found = np.arange(len(a)), set()
+        for step in range(1, len(a)):
+            here = here[here + step < len(a)]
+            here = here[task[here] == task[here + step]]
+            if not len(here):
+                break
+            for at in range(0, len(here), 20_000):
+                i = here[at : at + 20_000]
+                j = i + step
+                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+                fit = (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (small * 100 >= large * percent)
+                i, j = i[fit], j[fit]
+                alone_i = np.bitwise_count(words[i] & ~words[j]).sum(axis=1, dtype=np.int64)
+                alone_j = np.bitwise_count(words[j] & ~words[i]).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n[i] - alone_i, n[j] - alone_j)
+                fit = 100 * most >= percent * (n[i] + n[j] - most)
+                one, two = a[i[fit]], a[j[fit]]
+                found.update(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()))
+        one, two = zip(*sorted(found)) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=["a", "b"])
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail = [np.zeros(0, np.int64) for _ in range(5)] + [np.zeros(0, object)]
+        for batch in portions(batches, 5, 8_000_000):
+            columns = [np.concatenate([t, c.to_numpy(zero_copy_only=False)]) for t, c in zip(tail, batch.columns)]
+            cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+            if cut:
+                yield meet(*(c[:cut] for c in columns))
+            tail = [c[cut:] for c in columns]
+        if len(tail[0]):
+            yield meet(*tail)
+
+    met = dealt.repartition("task").sortWithinPartitions("task").mapInArrow(stream, "a long, b long")
+    return met.distinct()
 
 
 def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
@@ -285,12 +363,7 @@ def near_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text
     )
     mixed = parts.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     left = stable(parts.join(mixed.select("sign"), "sign", "left_semi"))
-    one, two = left.alias("one"), left.alias("two")
-    near_size = F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent
-    across = (
-        one.join(two, "sign").where((F.col("one.part") < F.col("two.part")) & near_size)
-        .select(*pair("one.a", "two.a")).distinct().join(tried, ["a", "b"], "left_anti")
-    )
+    across = across_parts(left, texts, percent).join(tried, ["a", "b"], "left_anti")
     second = stable(verified(stable(across), texts, percent))
     joined = components(first.unionByName(second)).select(F.col("node").alias("a"), "component")
     rooted = classes.join(joined, "a", "left").withColumn("root", F.coalesce("component", "a")).drop("component")
