@@ -19,10 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.scale import stable, with_offsets
+from nearfold.scale import bounded_broadcast, stable, with_offsets
 
 WORDS = r"[^\x20\x09-\x0D]+"
 SEED = 20
+# More than a source's row takes: its name and some numbers.
+SOURCE_BYTES = 1_000
 MOST_REPEATS = 3
 
 
@@ -69,7 +71,11 @@ def source_targets(sizes: DataFrame, weight=cycle_123, share: float = 1.0, most:
     return levelled.select("source", "n_docs", "source_size", "weight", target.alias("target"))
 
 
-def mix_sources(
+def _draw(key: Column, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")))
+
+
+def mix_plan(
     docs: DataFrame,
     weight=cycle_123,
     share: float = 1.0,
@@ -78,27 +84,64 @@ def mix_sources(
     key: str = "doc_id",
     source: str = "source",
     text: str = "text",
-) -> DataFrame:
-    """Per row: doc_id, source, size, source_size, target, and taken, the words the mix takes (repeats counted)."""
+) -> tuple[DataFrame, DataFrame]:
+    """The documents placed in their random order, and a row for each source with its budget.
+
+    Placed: doc_id, of, size, draw, words_before (from the source's start). Sources: of, source_size,
+    target, turns (how often every document is taken) and rest (the words of the last turn).
+    """
     sizes = stable(docs.select(F.col(key).alias("doc_id"), F.col(source).cast("string").alias("source"),
                                word_count(F.col(text).cast("string")).alias("size")))
     targets = source_targets(sizes, weight, share, most)
-    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
     placed = with_offsets(
-        sizes.withColumn("last", F.col("source").isNull()).withColumn("draw", drawn),
+        sizes.withColumn("last", F.col("source").isNull()).withColumn("draw", _draw(F.col("doc_id"), seed)),
         ["last", "source", "draw", "doc_id", "size"], F.col("size"), "words_before",
     )
     # The words before a source's first document: one row for each source.
     firsts = placed.groupBy("source").agg(F.min("words_before").alias("source_start"))
-    per_source = targets.join(firsts, targets["source"].eqNullSafe(firsts["source"])).select(
-        targets["source"].alias("of"), "source_size", "target", "source_start"
+    turns = F.expr("CAST(floor(target) AS BIGINT) DIV greatest(source_size, 1)")
+    sources = stable(
+        targets.join(firsts, targets["source"].eqNullSafe(firsts["source"]))
+        .select(targets["source"].alias("of"), "source_size", "target", "source_start", turns.alias("turns"))
+        .withColumn("rest", F.floor("target").cast("long") - F.col("turns") * F.col("source_size"))
     )
-    budget = F.floor("target").cast("long")
-    whole = F.expr("CAST(floor(target) AS BIGINT) DIV greatest(source_size, 1)")
-    left = budget - whole * F.col("source_size")
-    inside = F.col("words_before") - F.col("source_start")
-    once_more = F.greatest(F.lit(0), F.least(F.col("size"), left - inside))
-    return placed.join(per_source, placed["source"].eqNullSafe(per_source["of"])).select(
+    return placed, sources
+
+
+def with_source(rows: DataFrame, sources: DataFrame, source: str) -> DataFrame:
+    """Rows with their source's budget; the sources are broadcast if their number shows that they fit."""
+    small = bounded_broadcast(sources, sources.count(), SOURCE_BYTES)
+    return rows.join(small, rows[source].eqNullSafe(small["of"]), "left")
+
+
+def mix_sources(docs: DataFrame, **options) -> DataFrame:
+    """Per row: doc_id, source, size, source_size, target, and taken, the words the mix takes (repeats counted)."""
+    placed, sources = mix_plan(docs, **options)
+    once_more = F.greatest(
+        F.lit(0), F.least(F.col("size"), F.col("rest") - (F.col("words_before") - F.col("source_start")))
+    )
+    return with_source(placed, sources, "source").select(
         "doc_id", "source", "size", "source_size", "target",
-        (whole * F.col("size") + once_more).cast("long").alias("taken"),
+        (F.col("turns") * F.col("size") + once_more).cast("long").alias("taken"),
+    )
+
+
+def repeat_documents(docs: DataFrame, seed: int = SEED, key: str = "doc_id", source: str = "source", **options) -> DataFrame:
+    """The rows of the mix: each document as often as it is taken, whole also where the budget ends in it.
+
+    A source's last turn ends at one place of its random order, so whether a document takes part in it
+    is seen from its own key: no text is shuffled.
+    """
+    placed, sources = mix_plan(docs, seed=seed, key=key, source=source, **options)
+    inside = F.col("words_before") - F.col("source_start")
+    cuts = (
+        with_source(placed, sources, "source").where(inside < F.col("rest"))
+        .groupBy("source").agg(F.max(F.struct("draw", "doc_id")).alias("cut"))
     )
+    budgets = sources.join(cuts, sources["of"].eqNullSafe(cuts["source"]), "left").select("of", "turns", "cut")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col(source).cast("string").alias("source"),
+                        _draw(F.col(key), seed).alias("draw"), F.col(key).alias("doc_id"))
+    met = with_source(keyed, stable(budgets), "source")
+    again = F.coalesce((F.struct("draw", "doc_id") <= F.col("cut")).cast("int"), F.lit(0))
+    times = (F.col("turns") + again).cast("int")
+    return met.select("row", F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).select("row.*")

@@ -265,3 +265,21 @@ def score_quality(
     )
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(score, f"doc_id {kind}, score double")
+
+
+def keep_good(
+    docs: DataFrame, machine: Machine, least: float = 0.5, metadata: tuple[str, ...] = (), text: str = "text"
+) -> DataFrame:
+    """The rows, as they are, with a score of at least `least`."""
+    layout, schema = Features(len(metadata)), docs.schema
+    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    at, more = docs.columns.index(text), [docs.columns.index(m) for m in metadata]
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in portions(batches, at):
+            columns = [batch.column(i).to_pylist() for i in (at, *more)]
+            margins = [model.margin(*layout.of(t or "", list(m))) for t, *m in zip(*columns)]
+            yield batch.filter(pa.array(sigmoid(np.array(margins, float)) >= least))
+
+    return docs.mapInArrow(keep, schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nearfold.llm.common import table
-from nearfold.llm import license_scan, mixing, oracle, pii, quality, secret_scan, shingle_join, token_store
+from nearfold.llm import decontaminate, license_scan, mixing, oracle, pii, quality, secret_scan, shingle_join, token_store
 from nearfold.llm import url_rules, vector_join
 from nearfold.llm.spans import joined, of_kinds
 from nearfold.scale import scratch_path
@@ -70,6 +70,10 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.BASE_KINDS)
 
 
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose crc32 of the id leaves 1 when divided by 3 are held out from training."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -93,5 +97,6 @@ QUERIES = {
     "op6_url_rules": (op6_url_rules, oracle.url_rules()),
     "op7_near_vectors": (op7_near_vectors, oracle.near_vectors(vector_join.COSINE)),
     "op8_secrets": (op8_secrets, None),
+    "op9_benchmark_leaks": (op9_benchmark_leaks, None),
     "op10_quality": (op10_quality, None),
 }

@@ -375,3 +375,14 @@ def near_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text
         F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
     )
 
+
+
+def one_of_each(docs: DataFrame, percent: int = 75, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows, as they are, of one document of each component: the least id. Rows without an id stay.
+
+    Of rows that share an id one stays.
+    """
+    found = near_documents(docs, percent, key, text)
+    kept = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(key)).distinct()
+    stay = docs.join(kept, key, "left_semi").dropDuplicates([key])
+    return stay.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
