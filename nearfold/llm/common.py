@@ -12,6 +12,8 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nearfold.scale import scratch_path
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -53,4 +55,11 @@ def portions(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = 2_000
             at = end
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows from a compressed table in the shared folder: computed once, readable after executors are lost."""
+    path = scratch_path(df.sparkSession, "table")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 ship(__name__)

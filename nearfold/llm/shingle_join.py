@@ -39,7 +39,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import id_and_text, kept_by_worker, portions, ship
+from nearfold.llm.common import id_and_text, portions, ship, written
 from nearfold.llm.components import components
 from nearfold.scale import stable
 
@@ -52,7 +52,6 @@ OFTEN = 4
 TURN, MAP_BITS = 2_000_000, 1 << 22
 # Bits of a set's bitmap, and members of a group that are compared in one task.
 BITMAP, BLOCK = 2_048, 4_096
-WORD_CACHE = 1 << 19
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -63,29 +62,23 @@ def _scramble(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    """64-bit hashes, each distinct word hashed once while the cache lasts."""
-    import xxhash
-
-    cache = kept_by_worker().setdefault("word hashes", {})
-    if len(cache) > WORD_CACHE:
-        cache.clear()
-    for w in set(words).difference(cache):
-        cache[w] = xxhash.xxh64_intdigest(w)
-    return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
-
-
 def shingles(text: bytes, n: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles of A-Z lower-cased white-space words."""
+    from xxhash import xxh64_intdigest
+
     words = text.lower().split()  # of bytes: A-Z and ASCII white space alone
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = _word_hashes(words)
+    hashes = np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
     width = min(n, len(words))
-    total = np.full(len(words) - width + 1, width, np.uint64)
+    rows = len(words) - width + 1
+    total = np.full(rows, width, np.uint64)
     for i in range(width):
-        total = _scramble(total * np.uint64(_MIX[0]) + hashes[i : len(words) - width + 1 + i])
-    return np.unique(total)
+        total *= np.uint64(_MIX[0])
+        total += hashes[i : i + rows]
+    total = _scramble(total)
+    total.sort()
+    return total[np.append(True, total[1:] != total[:-1])]
 
 
 def _digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -157,70 +150,99 @@ def frequent_map(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def shingle_sets(rows: DataFrame) -> DataFrame:
-    """(doc_id, n, rare, a, b, signs): the set's size, rare tokens and digest; its signatures once for each set and task."""
+def signed_rows(rows: DataFrame) -> DataFrame:
+    """A row for each signature of each set (once in a task), and a row for each document.
+
+    Both kinds share one layout, so that one pass and one shuffle carry them: sign, a (the set's digest),
+    sizes (n and the number of rare tokens), and for a document its id, the rest of the digest and the bitmap.
+    """
     marks = rows.sparkSession.sparkContext.broadcast(np.packbits(frequent_map(rows)).tobytes())
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, seen = np.unpackbits(np.frombuffer(marks.value, np.uint8)), set()
         for batch in portions(batches):
-            sizes, rares, digests, signs = [], [], [], []
+            signs, digests, sizes, times, bits = [], [], [], [], []
             for raw in _raw(batch.column(1)):
                 tokens = shingles(raw)
-                sizes.append(len(tokens))
                 digests.append(_digest(tokens))
-                if not len(tokens) or digests[-1] in seen:
-                    signs.append(None)
-                    rares.append(0)
-                    continue
-                if len(seen) > 200_000:
-                    seen.clear()
-                seen.add(digests[-1])
-                found, rare = signatures(tokens, frequent)
-                signs.append(found.view(np.int64))
-                rares.append(rare)
-            a, b = zip(*digests)
+                found, rare, map_of_set = np.zeros(0, np.uint64), 0, None
+                if len(tokens) and digests[-1] not in seen:
+                    if len(seen) > 200_000:
+                        seen.clear()
+                    seen.add(digests[-1])
+                    found, rare = signatures(tokens, frequent)
+                    map_of_set = bitmap(tokens)
+                signs.append(found)
+                sizes.append(len(tokens) << 32 | rare)
+                times.append(len(found))
+                bits.append(map_of_set)
+            a, b = (np.array(x, np.int64) for x in zip(*digests))
+            sizes = np.array(sizes, np.int64)
+            flat = np.concatenate(signs).view(np.int64)
+            # Documents go to any task, copies too.
+            anywhere = _scramble(a.view(np.uint64) + np.arange(len(a), dtype=np.uint64)).view(np.int64)
+            if len(flat):
+                none = pa.nulls(len(flat), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(flat), pa.array(np.repeat(a, times)), pa.array(np.repeat(sizes, times)), none, none,
+                     pa.nulls(len(flat), pa.binary())],
+                    names=NAMES,
+                )
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(rares, pa.int64()),
-                    pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(signs, pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n", "rare", "a", "b", "signs"],
+                [pa.array(anywhere), pa.array(a), pa.array(sizes), batch.column(0), pa.array(b), pa.array(bits, pa.binary())],
+                names=NAMES,
             )
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(sign, f"doc_id {kind}, n long, rare long, a long, b long, signs array<long>")
+    return rows.mapInArrow(sign, "sign long, a long, sizes long, doc_id long, b long, bits binary")
+
+
+NAMES = ["sign", "a", "sizes", "doc_id", "b", "bits"]
 
 
-def shared_signatures(sets: DataFrame) -> DataFrame:
-    """(sign, a, n, centre): the members of every signature's group that has more than one.
+def shared_signatures(signed: DataFrame) -> DataFrame:
+    """The rows of documents, and those of signatures that more than one set has, with the group's centre.
 
     Groups come sorted and are read as a stream; a group longer than TURN takes the centre of its first part.
+    Columns: sign (null: a document), a, n, centre, doc_id, b, bits.
     """
-    schema = pa.schema([("sign", pa.int64()), ("a", pa.int64()), ("n", pa.int64()), ("centre", pa.int64())])
+    schema = pa.schema(
+        [(c, pa.int64()) for c in ("sign", "a", "n", "centre", "doc_id", "b")] + [("bits", pa.binary())]
+    )
 
     def emit(signs: np.ndarray, a: np.ndarray, sizes: np.ndarray, held: dict) -> pa.RecordBatch:
         """All rows of some whole groups, or of a part of the long one named in `held`."""
         n, rare = sizes >> 32, sizes & 0xFFFFFFFF
         at = np.lexsort((a, rare, signs))
         signs, a, n = signs[at], a[at], n[at]
+        # A set that several tasks signed counts once: its rows are neighbours.
         fresh = np.append(True, (signs[1:] != signs[:-1]) | (a[1:] != a[:-1]))[: len(signs)]
         signs, a, n = signs[fresh], a[fresh], n[fresh]
         start = np.flatnonzero(np.append(True, signs[1:] != signs[:-1])[: len(signs)])
         sizes = np.diff(np.append(start, len(signs)))
         centre = np.repeat(a[start], sizes)
+        many = np.repeat(sizes, sizes) > 1
         for sign, c in held.items():
             centre[signs == sign] = c
-        many = np.repeat(sizes, sizes) > 1
-        for sign in held:
             many |= signs == sign
-        return pa.RecordBatch.from_arrays([pa.array(x[many]) for x in (signs, a, n, centre)], schema=schema)
+        none = pa.nulls(int(many.sum()), pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [*(pa.array(x[many]) for x in (signs, a, n, centre)), none, none, pa.nulls(len(none), pa.binary())],
+            schema=schema,
+        )
 
     def star(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         empty = np.zeros(0, np.int64)
         tail, held = (empty, empty, empty), {}
         for batch in batches:
-            columns = tuple(np.concatenate([t, c.to_numpy()]) for t, c in zip(tail, batch.columns))
+            is_document = pc.is_valid(batch.column(4))
+            documents = batch.filter(is_document)
+            none = pa.nulls(documents.num_rows, pa.int64())
+            n = pc.shift_right(documents.column(2), 32)
+            yield pa.RecordBatch.from_arrays(
+                [none, documents.column(1), n, none, *documents.columns[3:]], schema=schema
+            )
+            rest = batch.filter(pc.invert(is_document))
+            columns = tuple(np.concatenate([t, c.to_numpy()]) for t, c in zip(tail, rest.columns))
             cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
             if cut:
                 yield emit(*(c[:cut] for c in columns), held)
@@ -228,39 +250,89 @@ def shared_signatures(sets: DataFrame) -> DataFrame:
             tail = tuple(c[cut:] for c in columns)
             if len(tail[0]) > TURN:
                 part = emit(*tail, held)
+                held = {int(tail[0][0]): held.get(int(tail[0][0])) or int(tail[1][np.argmin(tail[2] & 0xFFFFFFFF)])}
                 if part.num_rows:
-                    held = {int(tail[0][0]): part.column(3)[0].as_py()}
-                yield part
+                    yield part
                 tail = (empty, empty, empty)
         if len(tail[0]):
             yield emit(*tail, held)
 
-    signed = sets.where("signs IS NOT NULL").select(
-        F.explode("signs").alias("sign"), "a", (F.shiftleft("n", 32) + F.col("rare")).alias("sizes")
-    )
     return signed.repartition("sign").sortWithinPartitions("sign").mapInArrow(
-        star, "sign long, a long, n long, centre long"
+        star, "sign long, a long, n long, centre long, doc_id long, b long, bits binary"
     )
 
 
+def _may_link(n_i, n_j, words_i, words_j, percent: int) -> np.ndarray:
+    """Whether two sets can reach the threshold, from their sizes and bitmaps.
+
+    A bit that only one of them has is a token, at least, that only it has.
+    """
+    alone_i = np.bitwise_count(words_i & ~words_j).sum(axis=1, dtype=np.int64)
+    alone_j = np.bitwise_count(words_j & ~words_i).sum(axis=1, dtype=np.int64)
+    most = np.minimum(n_i - alone_i, n_j - alone_j)
+    return 100 * most >= percent * (n_i + n_j - most)
+
+
+def _words(bits) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP // 64)
+
+
+def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps do not rule out a link."""
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in portions(batches, 3, 8_000_000):
+            n_a, n_b = (batch.column(i).to_numpy() for i in (2, 4))
+            fit = _may_link(n_a, n_b, _words(batch.column(3).to_pylist()), _words(batch.column(5).to_pylist()), percent)
+            yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
+
+    def side(name: str) -> DataFrame:
+        return maps.select(F.col("a").alias(name), F.col("n").alias(f"n_{name}"), F.col("bits").alias(f"bits_{name}"))
+
+    met = pairs.join(side("a"), "a").join(side("b"), "b")
+    return met.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(test, "a long, b long")
+
+
+def _drawn(ids: np.ndarray) -> np.ndarray:
+    return (_scramble(ids.view(np.uint64) + np.uint64(3)) % np.uint64(MAP_BITS)).astype(np.int64)
+
+
 def texts_of(rows: DataFrame, members: DataFrame) -> DataFrame:
-    """(a, text, bits) of each member (doc_id, a): a text whose set has that digest, and the set's bitmap."""
+    """(a, text) of each member (doc_id, a): a text whose set has that digest.
+
+    A map of fixed size over the ids wanted keeps most other texts out of the shuffle.
+    """
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(_drawn(batch.column(0).to_numpy())))], names=["bit"])
+
+    wanted = np.zeros(MAP_BITS, np.uint8)
+    for r in members.select("doc_id").mapInArrow(marks, "bit long").distinct().toLocalIterator():  # at most MAP_BITS
+        wanted[r["bit"]] = 1
+    sent = rows.sparkSession.sparkContext.broadcast(np.packbits(wanted).tobytes())
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.unpackbits(np.frombuffer(sent.value, np.uint8))
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            yield batch.filter(pa.array(wanted[_drawn(batch.column(0).to_numpy())] > 0))
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in portions(batches):
-            kept, bits = [], []
+            kept = []
             for a, raw in zip(batch.column(0).to_pylist(), _raw(batch.column(1))):
-                tokens = shingles(raw)
-                kept.append(_digest(tokens)[0] == a)
-                bits.append(bitmap(tokens))
-            whole = pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits, pa.binary())], names=["a", "text", "bits"])
-            yield whole.filter(pa.array(kept, pa.bool_()))
+                kept.append(a != last and _digest(shingles(raw))[0] == a)
+                last = a if kept[-1] else last
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
-    found = rows.join(members, "doc_id").select("a", "text").mapInArrow(same, "a long, text string, bits binary")
-    return found.dropDuplicates(["a"])
+    few = rows.mapInArrow(asked, rows.schema)
+    # A sort merge join brings the rows of an id together, of which one is kept.
+    return few.join(members.hint("merge"), "doc_id").select("a", "text").mapInArrow(same, "a long, text string")
 
 
-def across_parts(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def across_parts(left: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one group and different parts that their bitmaps do not rule out.
 
     A group of more than BLOCK members is cut into blocks, and each two of them are a task's work.
@@ -271,7 +343,7 @@ def across_parts(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     dealt = (
         left.join(counts, "sign").withColumn("blocks", blocks).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .join(texts.select("a", "bits"), "a")
+        .join(maps.select("a", "bits"), "a")
         .select(
             F.when(F.col("blocks") == 1, F.col("sign"))
             .otherwise(F.xxhash64("sign", F.least("own", "other"), F.greatest("own", "other"))).alias("task"),
@@ -283,7 +355,7 @@ def across_parts(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     )
 
     def meet(task, a, n, part, side, bits) -> pa.RecordBatch:
-        words = np.frombuffer(b"".join(bits), np.uint64).reshape(len(a), BITMAP // 64)
+        words = _words(bits)
         here, found = np.arange(len(a)), set()
         for step in range(1, len(a)):
             here = here[here + step < len(a)]
@@ -296,10 +368,7 @@ def across_parts(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
                 fit = (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (small * 100 >= large * percent)
                 i, j = i[fit], j[fit]
-                alone_i = np.bitwise_count(words[i] & ~words[j]).sum(axis=1, dtype=np.int64)
-                alone_j = np.bitwise_count(words[j] & ~words[i]).sum(axis=1, dtype=np.int64)
-                most = np.minimum(n[i] - alone_i, n[j] - alone_j)
-                fit = 100 * most >= percent * (n[i] + n[j] - most)
+                fit = _may_link(n[i], n[j], words[i], words[j], percent)
                 one, two = a[i[fit]], a[j[fit]]
                 found.update(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()))
         one, two = zip(*sorted(found)) if found else ((), ())
@@ -320,8 +389,11 @@ def across_parts(left: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return met.distinct()
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link. The set of `a` is kept while it stays the same."""
+def verified(pairs: DataFrame, classes: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, from whole texts. The set of `a` is kept while it stays the same."""
+    ends = pairs.select("a").union(pairs.select("b")).distinct()
+    members = written(ends.join(classes, "a").select(F.col("rep").alias("doc_id"), "a").distinct())
+    texts = written(texts_of(rows, members))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, tokens = None, None
@@ -344,27 +416,26 @@ def near_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text
     if percent < 75:
         raise ValueError("prefixes are long enough for 75 percent and more")
     rows = id_and_text(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sets = stable(shingle_sets(rows))
+    all_rows = written(shared_signatures(signed_rows(rows)))
+    sets = all_rows.where("sign IS NULL").select("doc_id", "n", "a", "b", "bits")
     usable = sets.where("n > 0 AND doc_id IS NOT NULL")
-    classes = stable(usable.groupBy("a", "b").agg(F.min("doc_id").alias("rep")))
-
-    groups = stable(shared_signatures(usable))
-    members = groups.select("a").distinct().join(classes, "a").select(F.col("rep").alias("doc_id"), "a").distinct()
-    texts = stable(texts_of(rows, members))
+    classes = stable(usable.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n")))
+    # Every set has its bitmap at least once; copies in other tasks bring equal ones.
+    maps = sets.where("bits IS NOT NULL").select("a", "n", "bits").dropDuplicates(["a"])
+    groups = all_rows.where("sign IS NOT NULL").select("sign", "a", "n", "centre")
 
-    def pair(one: str, two: str) -> list:
-        return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
-
-    tried = stable(groups.where("a <> centre").select(*pair("a", "centre")).distinct())
-    first = stable(verified(tried, texts, percent))
+    tried = written(
+        groups.where("a <> centre").select(F.least("a", "centre").alias("a"), F.greatest("a", "centre").alias("b")).distinct()
+    )
+    first = stable(verified(written(possible(tried, maps, percent)), classes, rows, percent))
     merged = components(first)
     parts = groups.join(merged.select(F.col("node").alias("a"), "component"), "a", "left").select(
         "sign", "a", "n", F.coalesce("component", "a").alias("part")
     )
     mixed = parts.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
-    left = stable(parts.join(mixed.select("sign"), "sign", "left_semi"))
-    across = across_parts(left, texts, percent).join(tried, ["a", "b"], "left_anti")
-    second = stable(verified(stable(across), texts, percent))
+    left = written(parts.join(mixed.select("sign"), "sign", "left_semi"))
+    across = across_parts(left, maps, percent).join(tried, ["a", "b"], "left_anti")
+    second = stable(verified(written(across), classes, rows, percent))
     joined = components(first.unionByName(second)).select(F.col("node").alias("a"), "component")
     rooted = classes.join(joined, "a", "left").withColumn("root", F.coalesce("component", "a")).drop("component")
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
