@@ -1,8 +1,17 @@
-"""Nearest neighbours inside and between blocks of rows.
-
-A block is the unit a task holds in memory. Searches are written as an index
-class built from one block, `Index(ids, columns)`, with `best(ids, columns, k,
-floor)` returning each query row's K best rows of that block.
+"""Nearest neighbours between blocks of rows: one plan at every size.
+
+Rows are numbered and cut where the running sum of their entries fills a block,
+so no block holds more than its share and one row. A block is packed into
+one row of binary columns. It first searches itself, which gives each of its
+rows a floor, the score its K-th neighbour must reach. Then each unordered pair of
+blocks is compared once and yields neighbours for both: a task holds one
+block and meets a few others in turn, so what is moved are whole packed blocks, and
+no table of (row, block) exists.
+
+The comparison is exhaustive, as an exact answer needs on data without structure: work
+and moved blocks grow with the square of the number of blocks, in tasks of equal, bounded size.
+Searches are a class built from one block, `Index(ids, columns)`, whose `scores(columns)` gives
+the scores of other rows against it.
 """
 
 from __future__ import annotations
@@ -15,42 +24,35 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.scale import bounded_broadcast, stable
+from nearfold.scale import stable, with_offsets
 
 # Tasks get this module's search code with the job, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CHUNK_ROWS = 4096
-# With no more blocks than this, working out which ones to skip costs more than
-# visiting them all.
-FEW_BLOCKS = 16
-# Slack on bounds: half a rounding step plus floating-point noise.
+# Fewer blocks would leave cores idle; small tables are cut as well.
+LEAST_BLOCKS = 16
+# Blocks that one task compares with the block it holds.
+STRIPE = 8
+# Rows of a block that are scored at a time.
+STRIP_ROWS = 256
+# Half a rounding step and floating-point noise.
 SLACK = 1e-6
-PAIR_SCHEMA = "a long, b long, score double, rank int"
-
-
-def block_count(rows: DataFrame, n: int, block_rows: int) -> int:
-    """Enough blocks to keep every core busy, none larger than memory allows."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return max(1, -(-n // block_rows), min(cores, n // min(2048, block_rows)))
+PACKED = "block int, ids binary, sizes binary, floors binary"
+PAIR_SCHEMA = "a long, b long, score double"
 
 
-def with_floor(rows: DataFrame, bounds: DataFrame, lowest: float) -> DataFrame:
-    """Add `floor`: the score a row's further neighbours must reach. Rows without
-    K neighbours so far take `lowest`."""
-    held = bounds.select(F.col("a").alias("id"), "bound")
-    floor = F.greatest(F.col("bound") - 2 * SLACK, F.lit(lowest))
-    joined = rows.join(held, "id", "left")
-    return joined.withColumn("floor", F.coalesce(floor, F.lit(lowest))).drop("bound")
+def number_blocks(rows: DataFrame, order: list[str], entries, most_rows: int, most_entries: int) -> tuple[DataFrame, int]:
+    """Add `block`, and say how many there are.
 
-
-def every_block(rows: DataFrame, bounds: DataFrame, lowest: float, n_blocks: int) -> DataFrame:
-    """(id, floor, block) for all other blocks, when they are few."""
-    all_blocks = F.sequence(F.lit(0), F.lit(n_blocks - 1))
-    others = F.filter(all_blocks, lambda b: b != F.col("home"))
-    return with_floor(rows.select("id", F.col("block").alias("home")), bounds, lowest).select(
-        "id", "floor", F.explode(others).alias("block")
-    )
+    A row weighs its entries, or a row's share of a block if that is more; a block's rows
+    but the last weigh no more than the block may hold.
+    """
+    weight = F.greatest(entries, F.lit(max(1, most_entries // most_rows))).cast("long")
+    total = rows.agg(F.sum(weight)).first()[0] or 0
+    share = max(1, min(most_entries, -(-total // LEAST_BLOCKS)))
+    placed = with_offsets(rows, order, weight, "first_entry")
+    blocked = placed.withColumn("block", F.floor(F.col("first_entry") / share).cast("int")).drop("first_entry")
+    return blocked, -(-total // share)
 
 
 def best_of(scores: np.ndarray, ids: np.ndarray, k: int, floor: float):
@@ -62,69 +64,123 @@ def best_of(scores: np.ndarray, ids: np.ndarray, k: int, floor: float):
     return ids[at], scores[at]
 
 
-def pairs_frame(found: list) -> pd.DataFrame:
-    sizes = [len(b) for _, b, _ in found]
-    if not sum(sizes):
-        return pd.DataFrame({"a": [], "b": [], "score": [], "rank": []}).astype(
-            {"a": "int64", "b": "int64", "rank": "int32"}
-        )
-    return pd.DataFrame(
-        {
-            "a": np.repeat([a for a, _, _ in found], sizes),
-            "b": np.concatenate([b for _, b, _ in found]),
-            "score": np.concatenate([s for _, _, s in found]),
-            "rank": np.concatenate([np.arange(1, n + 1) for n in sizes]).astype("int32"),
+class Block:
+    """Rows sorted by id, as they travel: flat columns and each row's length."""
+
+    def __init__(self, ids: np.ndarray, columns: list[list], floors: np.ndarray):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.floors = ids[order], floors[order]
+        self.columns = [[c[i] for i in order] for c in columns]
+
+    def packed(self, number: int) -> dict:
+        flat = {
+            f"c{i}": np.concatenate([np.asarray(x, np.float64) for x in c]).tobytes()
+            for i, c in enumerate(self.columns)
+        }
+        sizes = np.array([len(x) for x in self.columns[0]], np.int64)
+        return {
+            "block": number, "ids": self.ids.astype(np.int64).tobytes(), "sizes": sizes.tobytes(),
+            "floors": self.floors.tobytes(), **flat,
         }
-    )
 
+    @classmethod
+    def unpacked(cls, row, n_columns: int) -> Block:
+        ends = np.cumsum(np.frombuffer(row["sizes"], np.int64))[:-1]
+        columns = [np.split(np.frombuffer(row[f"c{i}"], np.float64), ends) for i in range(n_columns)]
+        return cls(np.frombuffer(row["ids"], np.int64), columns, np.frombuffer(row["floors"], np.float64))
 
-def within_blocks(rows: DataFrame, columns: list[str], index, k: int) -> DataFrame:
-    """Each row's K best inside its own block."""
+    def strips(self):
+        for at in range(0, len(self.ids), STRIP_ROWS):
+            part = slice(at, at + STRIP_ROWS)
+            yield part, [c[part] for c in self.columns]
 
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = [pdf[c].tolist() for c in columns]
-        ids = pdf["id"].to_numpy()
-        return index(ids, values).best(ids, values, k, np.full(len(ids), -np.inf))
 
-    return rows.groupBy("block").applyInPandas(search, PAIR_SCHEMA)
+class Found:
+    """Neighbours as they are found, as one frame at the end."""
+
+    def __init__(self):
+        self.a, self.b, self.score = [], [], []
+
+    def add(self, a: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        if len(ids):
+            self.a.append(np.full(len(ids), a))
+            self.b.append(ids)
+            self.score.append(scores)
+
+    def frame(self) -> pd.DataFrame:
+        if not self.a:
+            return pd.DataFrame({"a": [], "b": [], "score": []}).astype({"a": "int64", "b": "int64"})
+        return pd.DataFrame({c: np.concatenate(getattr(self, c)) for c in ("a", "b", "score")})
 
 
-def across_blocks(
-    rows: DataFrame, visits: DataFrame, columns: list[str], index, k: int, n_blocks: int
-) -> DataFrame:
-    """K best of each row in every block it visits; `visits` is (id, floor, block).
+def block_neighbours(rows: DataFrame, n_blocks: int, columns: list[str], index, k: int, lowest: float) -> DataFrame:
+    """(a, b, score): among them each row's K best others; scores below `lowest` do not count.
 
-    The visitors of a block are cut into chunks of bounded size and the block is
-    sent once to each chunk, so a block everyone visits becomes many tasks.
+    `rows` is (id, block, columns); columns are arrays of numbers.
     """
-    visits = stable(visits)
-    chunks = visits.groupBy("block").agg(
-        F.ceil(F.count(F.lit(1)) / CHUNK_ROWS).cast("int").alias("chunks")
-    )
-    chunks = bounded_broadcast(chunks, n_blocks)
-    queries = (
-        visits.join(chunks, "block")
-        .withColumn("chunk", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-        .join(rows.select("id", *columns), "id")
-        .select("block", "chunk", "id", "floor", *columns)
-        .toDF("block", "chunk", "a", "floor", *columns)
-    )
-    targets = (
-        rows.join(chunks, "block")
-        .withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        .select("block", "chunk", "id", *columns)
-        .toDF("to_block", "to_chunk", "b", *[f"to_{c}" for c in columns])
-    )
+    names = [f"c{i}" for i in range(len(columns))]
+    schema = f"{PACKED}, {', '.join(f'{c} binary' for c in names)}, near_a binary, near_b binary, near_s binary"
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pairs_frame([])
-        held = index(right["b"].to_numpy(), [right[f"to_{c}"].tolist() for c in columns])
-        floor = left["floor"].to_numpy() - SLACK
-        return held.best(left["a"].to_numpy(), [left[c].tolist() for c in columns], k, floor)
-
-    return (
-        queries.groupBy("block", "chunk")
-        .cogroup(targets.groupBy("to_block", "to_chunk"))
-        .applyInPandas(search, PAIR_SCHEMA)
+    def alone(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids = pdf["id"].to_numpy()
+        block = Block(ids, [pdf[c].tolist() for c in columns], np.full(len(ids), lowest))
+        held, found = index(block.ids, block.columns), Found()
+        for part, values in block.strips():
+            scores = held.scores(values)
+            rows = np.arange(len(scores))
+            scores[rows, part.start + rows] = -np.inf
+            for i in rows:
+                others, best = best_of(scores[i], block.ids, k, lowest)
+                found.add(block.ids[part.start + i], others, best)
+                if len(best) == k:
+                    block.floors[part.start + i] = max(lowest, best[-1] - 2 * SLACK)
+        near = found.frame()
+        row = block.packed(int(pdf["block"].iloc[0]))
+        row |= {f"near_{n}": near[c].to_numpy().tobytes() for n, c in (("a", "a"), ("b", "b"), ("s", "score"))}
+        return pd.DataFrame([row])
+
+    packed = stable(rows.groupBy("block").applyInPandas(alone, schema))
+
+    def unfold(pdfs):
+        for pdf in pdfs:
+            for a, b, s in zip(pdf["near_a"], pdf["near_b"], pdf["near_s"]):
+                yield pd.DataFrame(
+                    {"a": np.frombuffer(a, np.int64), "b": np.frombuffer(b, np.int64), "score": np.frombuffer(s)}
+                )
+
+    near = packed.select("near_a", "near_b", "near_s").mapInPandas(unfold, PAIR_SCHEMA)
+    if n_blocks < 2:
+        return near
+    travel = packed.drop("near_a", "near_b", "near_s")
+    # Block i meets the blocks after it, STRIPE of them in a task.
+    holders = travel.where(F.col("block") < n_blocks - 1).select(
+        F.col("block").alias("holder"),
+        F.explode(F.sequence(F.lit(0), ((F.lit(n_blocks - 2) - F.col("block")) / STRIPE).cast("int"))).alias("stripe"),
+        *[F.col(c) for c in travel.columns],
     )
+    guests = travel.where("block > 0").select(
+        F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("holder"), *[F.col(c) for c in travel.columns]
+    ).withColumn("stripe", ((F.col("block") - F.col("holder") - 1) / STRIPE).cast("int"))
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = Found()
+        home = pdf["block"] == pdf["holder"]
+        if not home.any():
+            return found.frame()
+        mine = Block.unpacked(pdf[home].iloc[0], len(names))
+        held = index(mine.ids, mine.columns)
+        for _, row in pdf[~home].iterrows():
+            guest = Block.unpacked(row, len(names))
+            scores = np.concatenate([held.scores(values) for _, values in guest.strips()])
+            for i in np.flatnonzero((scores >= guest.floors[:, None]).any(axis=1)):
+                found.add(guest.ids[i], *best_of(scores[i], mine.ids, k, guest.floors[i]))
+            turned = np.ascontiguousarray(scores.T)
+            for i in np.flatnonzero((turned >= mine.floors[:, None]).any(axis=1)):
+                others, best = best_of(turned[i], guest.ids, k, mine.floors[i])
+                found.add(mine.ids[i], others, best)
+                if len(best) == k:
+                    mine.floors[i] = max(mine.floors[i], best[-1] - 2 * SLACK)
+        return found.frame()
+
+    met = holders.unionByName(guests).groupBy("holder", "stripe").applyInPandas(together, PAIR_SCHEMA)
+    return near.unionByName(met)

@@ -1,32 +1,19 @@
 """Exact top-K cosine over dense vectors.
 
-Vectors are blocked around a bounded set of pivots. Inside its own block every
-row finds a lower bound on its K-th score; by the triangle inequality on angles
-it then needs only the blocks whose range of pivot angles comes close enough.
-Blocks are multiplied with numpy in tasks that return K rows per query.
+Vectors are cut into blocks of bounded size (`blocks`); each pair of blocks is one
+matrix product in a task that returns each row's K best.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.operators.blocks import (
-    FEW_BLOCKS,
-    across_blocks,
-    best_of,
-    block_count,
-    every_block,
-    pairs_frame,
-    with_floor,
-    within_blocks,
-)
+from nearfold.operators.blocks import block_neighbours, number_blocks
 from nearfold.operators.catalog import top_k_per_group
 from nearfold.operators.grouping import (
     PLACES,
@@ -35,16 +22,14 @@ from nearfold.operators.grouping import (
     group_equal,
     ranked,
 )
-from nearfold.scale import salted_join, stable
+from nearfold.scale import stable
 
 # Tasks get this module's search code with the job, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCK_ROWS = 16_384
-# Cells a task should hold for one block.
-BLOCK_CELLS = 4_000_000
-MAX_PIVOTS = 256
-ANGLE_SLACK = 1e-6
+# Rows and numbers of one block, at most.
+BLOCK_ROWS = 2048
+BLOCK_CELLS = 1_000_000
 
 
 def unit_vector(vec: Column) -> Column:
@@ -56,117 +41,18 @@ def unit_vector(vec: Column) -> Column:
 
 class VectorBlock:
     def __init__(self, ids, columns):
-        order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
-        self.matrix = np.stack(columns[0])[order]
-
-    def best(self, ids, columns, k: int, floor) -> pd.DataFrame:
-        found = []
-        queries = np.stack(columns[0])
-        for at in range(0, len(ids), 256):
-            part = slice(at, at + 256)
-            scores = np.round(queries[part] @ self.matrix.T, PLACES)
-            for a, row, low in zip(ids[part], scores, floor[part]):
-                row[self.ids == a] = -np.inf
-                found.append((a, *best_of(row, self.ids, k, low)))
-        return pairs_frame(found)
-
-
-def pivot_matrix(rows: DataFrame, n_pivots: int) -> np.ndarray:
-    """A fixed choice of at most MAX_PIVOTS vectors."""
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(n_pivots).select("vec").collect()
-    return np.array([r.vec for r in picked])
-
-
-def place(rows: DataFrame, pivots: np.ndarray, block_rows: int) -> DataFrame:
-    """Add `cell` (nearest pivot), `angle` to it, and `block` within the cell."""
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            cosines = np.stack(pdf["vec"].tolist()) @ pivots.T
-            cell = cosines.argmax(axis=1)
-            angle = np.arccos(np.clip(cosines[np.arange(len(pdf)), cell], -1, 1))
-            yield pdf.assign(cell=cell.astype("int32"), angle=angle)
-
-    placed = stable(
-        rows.select("id", "vec").mapInPandas(
-            nearest, "id long, vec array<double>, cell int, angle double"
-        )
-    )
-    splits = placed.groupBy("cell").agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("splits")
-    )
-    # One row per pivot.
-    split = F.pmod(F.xxhash64("id"), F.col("splits"))
-    return placed.join(F.broadcast(splits), "cell").select(
-        "id", "vec", "cell", "angle", (F.col("cell") * 1_000_000 + split).alias("block")
-    )
-
+        self.ids = ids
+        self.matrix = np.stack(columns[0])
 
-def near_blocks(placed: DataFrame, bounds: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(id, floor, block) for other blocks within reach of each row."""
-    # One row per pivot.
-    reach = placed.groupBy("cell").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-    cells = reach.toPandas()
-    number, lo, hi = (cells[c].to_numpy() for c in ("cell", "lo", "hi"))
-    centres = pivots[number]
-
-    def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            cosines = np.stack(pdf["vec"].tolist()) @ centres.T
-            angle = np.arccos(np.clip(cosines, -1, 1))
-            floor = np.clip(pdf["floor"].to_numpy(), -1, 1)
-            allowed = (np.arccos(floor) + ANGLE_SLACK)[:, None]
-            row, cell = np.nonzero((angle - hi <= allowed) & (lo - angle <= allowed))
-            yield pd.DataFrame(
-                {
-                    "id": pdf["id"].to_numpy()[row],
-                    "home": pdf["block"].to_numpy()[row],
-                    "floor": pdf["floor"].to_numpy()[row],
-                    "cell": number[cell],
-                }
-            )
-
-    asked = with_floor(placed.select("id", "vec", "block"), bounds, -1.0)
-    visits = asked.mapInPandas(reachable, "id long, home long, floor double, cell int")
-    blocks = placed.select("cell", "block").distinct()
-    return (
-        salted_join(visits, blocks, "cell", "id")
-        .where(F.col("block") != F.col("home"))
-        .select("id", "floor", "block")
-    )
+    def scores(self, columns: list) -> np.ndarray:
+        """Rounded scores of some query rows against every row of the block."""
+        return np.round(np.stack(columns[0]) @ self.matrix.T, PLACES)
 
 
-def vector_edges(rows: DataFrame, k: int, block_rows: int, few_blocks: int) -> DataFrame:
-    """(a, b, score): K best other rows of every non-zero row."""
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")).first()
-    n = size.n
-    block_rows = max(1, min(block_rows, BLOCK_CELLS // max(size.width or 1, 1)))
-    n_blocks = block_count(rows, n, block_rows)
-    few = n_blocks <= few_blocks
-    if few:
-        placed = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n_blocks)))
-    else:
-        pivots = pivot_matrix(rows, min(n_blocks, MAX_PIVOTS))
-        placed = place(rows, pivots, -(-n // n_blocks))
-    placed = stable(placed)
-    near = within_blocks(placed, ["vec"], VectorBlock, k)
-    if n_blocks > 1:
-        near = stable(near)
-        bounds = near.where(F.col("rank") == k).select("a", F.col("score").alias("bound"))
-        if few:
-            visits = every_block(placed, bounds, -1.0, n_blocks)
-        else:
-            visits = near_blocks(placed, bounds, pivots)
-            # Each cell may add one block that is not full.
-            n_blocks += len(pivots)
-        far = across_blocks(placed, visits, ["vec"], VectorBlock, k, n_blocks)
-        near = near.unionByName(far)
-    return near.drop("rank")
+def vector_edges(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
+    """(a, b, score): among them the K best other rows of every non-zero row."""
+    blocked, n_blocks = number_blocks(rows, ["id"], F.size("vec"), block_rows, BLOCK_CELLS)
+    return block_neighbours(blocked, n_blocks, ["vec"], VectorBlock, k, -np.inf)
 
 
 def zero_edges(reps: DataFrame, zeros: DataFrame, k: int) -> DataFrame:
@@ -183,7 +69,7 @@ def zero_edges(reps: DataFrame, zeros: DataFrame, k: int) -> DataFrame:
 
 
 def knn_dense(
-    vectors: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS, few_blocks: int = FEW_BLOCKS
+    vectors: DataFrame, k: int = 10, block_rows: int = BLOCK_ROWS
 ) -> DataFrame:
     """(movie_id, rank, neighbour_id, score): exact top-K cosine, score to 6 places.
 
@@ -198,7 +84,7 @@ def knn_dense(
     is_zero = F.forall("vec", lambda x: x == 0)
     reps = stable(rows.join(members.select(F.col("rep").alias("id"), "group"), "id"))
     zeros = reps.where(is_zero).select("id")
-    pairs = vector_edges(reps.where(~is_zero).select("id", "vec"), k, block_rows, few_blocks)
+    pairs = vector_edges(reps.where(~is_zero).select("id", "vec"), k, block_rows)
     pairs = pairs.unionByName(zero_edges(reps, zeros, k))
     pairs = top_k_per_group(pairs, "a", k, ranked(neighbour="b")).drop("rank")
     own = F.when(F.col("zero"), F.lit(0.0)).otherwise(F.lit(1.0))

@@ -1,17 +1,9 @@
 """Exact top-K cosine over sparse unit rows.
 
-Work is split by blocks of documents; a task holds one block's inverted index
-and a bounded chunk of query rows, and returns only each row's K best, so pairs
-are never written out. A row visits another block only when it could hold a
-better neighbour:
-
-1. Rows are blocked by their heaviest term, and each row's K-th best score
-   inside its own block is a lower bound t on its final K-th score.
-2. With terms rarest first, a neighbour scoring at least t must share one of the
-   row's leading terms, up to where the remaining weights' norm falls below t.
-   Common terms normally fall in the remainder and are not followed.
-3. Those leading terms are joined to each block's largest weight per term,
-   which bounds the best score in that block; blocks below t are dropped.
+Rows with the same heaviest term are neighbours in the numbering that makes the blocks
+(`blocks`), so a block tends to hold rows that score well with each other and sets
+high floors. A task holds one block as an inverted index, with common terms as a dense
+matrix, and returns only each row's K best, so pairs are never written out.
 
 Equal rows are compared once (`grouping`), and rows with fewer than K
 neighbours are completed with zero scores (`pad_to_k`).
@@ -22,22 +14,11 @@ from __future__ import annotations
 import sys
 
 import numpy as np
-import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.operators.blocks import (
-    FEW_BLOCKS,
-    SLACK,
-    across_blocks,
-    best_of,
-    block_count,
-    every_block,
-    pairs_frame,
-    with_floor,
-    within_blocks,
-)
+from nearfold.operators.blocks import block_neighbours, number_blocks
 from nearfold.operators.catalog import top_k_per_group
 from nearfold.operators.grouping import (
     PLACES,
@@ -46,15 +27,15 @@ from nearfold.operators.grouping import (
     group_equal,
     ranked,
 )
-from nearfold.scale import bounded_broadcast, salted_join, stable
+from nearfold.scale import stable
 
 # Tasks get this module's search code with the job, so executors need no copy of it.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-BLOCK_ROWS = 4096
-# (term, weight) entries a task should hold for one block.
-BLOCK_ENTRIES = 4_000_000
+# Rows and (term, weight) entries of one block, at most.
+BLOCK_ROWS = 2048
+BLOCK_ENTRIES = 1_000_000
 # Terms in more than one of this many rows of a block are multiplied densely.
 HEAVY_SHARE = 8
 
@@ -64,32 +45,32 @@ class BlockIndex:
 
     def __init__(self, ids, columns):
         terms, weights = columns
-        order = np.argsort(np.asarray(ids), kind="stable")
-        self.ids = np.asarray(ids)[order]
-        sizes = np.array([len(terms[i]) for i in order], dtype=np.int64)
-        flat = np.concatenate([terms[i] for i in order]).astype(np.int64)
-        weight = np.concatenate([weights[i] for i in order]).astype(np.float64)
-        row = np.repeat(np.arange(len(order)), sizes)
+        self.ids = ids
+        sizes = np.array([len(t) for t in terms], dtype=np.int64)
+        flat = np.concatenate(terms).astype(np.int64)
+        weight = np.concatenate(weights).astype(np.float64)
+        row = np.repeat(np.arange(len(ids)), sizes)
         by_term = np.argsort(flat, kind="stable")
         self.row, self.weight = row[by_term], weight[by_term]
         self.terms, self.start, self.count = np.unique(
             flat[by_term], return_index=True, return_counts=True
         )
         # Terms in many rows of the block go through one dense product.
-        self.heavy = np.flatnonzero(self.count * HEAVY_SHARE > len(order))
+        self.heavy = np.flatnonzero(self.count * HEAVY_SHARE > len(ids))
         self.slot = np.full(len(self.terms), -1)
         self.slot[self.heavy] = np.arange(len(self.heavy))
-        self.dense = np.zeros((len(self.heavy), len(order)))
+        self.dense = np.zeros((len(self.heavy), len(ids)))
         for slot, at in enumerate(self.heavy):
             span = slice(self.start[at], self.start[at] + self.count[at])
             self.dense[slot, self.row[span]] = self.weight[span]
 
-    def scores(self, terms: list, weights: list) -> np.ndarray:
-        """Scores of some query rows against every row of the block."""
+    def scores(self, columns: list) -> np.ndarray:
+        """Rounded scores of some query rows against every row of the block."""
+        terms, weights = columns
         head = np.zeros((len(terms), len(self.heavy)))
         light = []
         for i, (t, w) in enumerate(zip(terms, weights)):
-            t, w = np.asarray(t), np.asarray(w)
+            t, w = np.asarray(t).astype(np.int64), np.asarray(w)
             at = np.searchsorted(self.terms, t)
             at[at == len(self.terms)] = 0
             found = self.terms[at] == t
@@ -107,103 +88,17 @@ class BlockIndex:
             out[i] += np.bincount(
                 self.row[span], self.weight[span] * np.repeat(w, count), len(self.ids)
             )
-        return out
-
-    def best(self, ids, columns, k: int, floor) -> pd.DataFrame:
-        """K best rows per query with a positive score, itself left out, none below
-        its floor."""
-        terms, weights = columns
-        floor = np.maximum(floor, 10.0**-PLACES / 2)
-        found = []
-        for at in range(0, len(ids), 256):
-            part = slice(at, at + 256)
-            scores = np.round(self.scores(terms[part], weights[part]), PLACES)
-            for a, row, low in zip(ids[part], scores, floor[part]):
-                self_at = np.searchsorted(self.ids, a)
-                if self_at < len(self.ids) and self.ids[self_at] == a:
-                    row[self_at] = 0.0
-                found.append((a, *best_of(row, self.ids, k, low)))
-        return pairs_frame(found)
+        return np.round(out, PLACES)
 
 
-def block_of_anchor(rows: DataFrame, n_blocks: int, block_rows: int) -> DataFrame:
-    """Add `block`: rows with the same heaviest term together, long runs split."""
+def group_edges(rows: DataFrame, k: int, block_rows: int, block_entries: int) -> DataFrame:
+    """(a, b, score): K best other rows of every row, positive scores only."""
     anchored = rows.withColumn(
         "anchor", F.element_at("terms", F.array_position("weights", F.array_max("weights")).cast("int"))
     )
-    sizes = anchored.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
-    # More than block_rows rows each, so at most n_blocks of them.
-    large = sizes.where(F.col("n") > block_rows).select(
-        "anchor", F.ceil(F.col("n") / block_rows).alias("splits")
-    )
-    split = F.pmod(F.xxhash64("id"), F.coalesce("splits", F.lit(1)))
-    return (
-        anchored.join(bounded_broadcast(large, n_blocks), "anchor", "left")
-        .withColumn("block", F.pmod(F.xxhash64("anchor", split), F.lit(n_blocks)).cast("int"))
-        .drop("anchor", "splits")
-    )
-
-
-def useful_blocks(rows: DataFrame, bounds: DataFrame) -> DataFrame:
-    """(id, floor, block) for other blocks that may hold a score at or above floor."""
-    total = F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w * w)
-    start = F.struct(total.alias("left"), F.lit(0).alias("n"))
-
-    def step(acc, w):
-        open_ = (acc["left"] + SLACK * SLACK >= F.col("floor") * F.col("floor")).cast("int")
-        return F.struct(
-            (acc["left"] - F.when(open_ == 1, w * w).otherwise(0.0)).alias("left"),
-            (acc["n"] + open_).alias("n"),
-        )
-
-    cut = with_floor(rows, bounds, 0.0).withColumn("cut", F.aggregate("weights", start, step))
-    rest = F.sqrt(F.greatest(F.col("cut.left"), F.lit(0.0)))
-    probes = cut.select(
-        "id",
-        F.col("block").alias("home"),
-        "floor",
-        rest.alias("rest"),
-        F.explode(
-            F.arrays_zip(
-                F.slice("terms", 1, F.col("cut.n")).alias("t"),
-                F.slice("weights", 1, F.col("cut.n")).alias("w"),
-            )
-        ).alias("e"),
-    ).select("id", "home", "floor", "rest", F.col("e.t").alias("term_no"), F.col("e.w").alias("w"))
-    peaks = (
-        rows.select("block", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
-        .groupBy("block", F.col("e.terms").alias("term_no"))
-        .agg(F.max("e.weights").alias("peak"))
-    )
-    return (
-        salted_join(probes, peaks, "term_no", "id")
-        .where(F.col("block") != F.col("home"))
-        .groupBy("id", "block", "floor", "rest")
-        .agg(F.sum(F.col("w") * F.col("peak")).alias("reach"))
-        .where(F.col("reach") + F.col("rest") + SLACK >= F.col("floor"))
-        .select("id", "floor", "block")
-    )
-
-
-def group_edges(rows: DataFrame, k: int, block_rows: int, few_blocks: int) -> DataFrame:
-    """(a, b, score): K best other rows of every row, positive scores only."""
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("terms")).alias("entries")).first()
-    n, entries = size.n, size.entries or 0
-    # Long documents make smaller blocks.
-    block_rows = max(1, min(block_rows, BLOCK_ENTRIES * max(n, 1) // max(entries, 1)))
-    n_blocks = block_count(rows, n, block_rows)
-    blocked = stable(block_of_anchor(rows, n_blocks, -(-n // n_blocks)))
-    near = within_blocks(blocked, ["terms", "weights"], BlockIndex, k)
-    if n_blocks > 1:
-        near = stable(near)
-        bounds = near.where(F.col("rank") == k).select("a", F.col("score").alias("bound"))
-        if n_blocks <= few_blocks:
-            visits = every_block(blocked, bounds, 0.0, n_blocks)
-        else:
-            visits = useful_blocks(blocked, bounds)
-        far = across_blocks(blocked, visits, ["terms", "weights"], BlockIndex, k, n_blocks)
-        near = near.unionByName(far)
-    return top_k_per_group(near.drop("rank"), "a", k, ranked(neighbour="b")).drop("rank")
+    blocked, n_blocks = number_blocks(anchored, ["anchor", "id"], F.size("terms"), block_rows, block_entries)
+    found = block_neighbours(blocked, n_blocks, ["terms", "weights"], BlockIndex, k, 10.0**-PLACES / 2)
+    return top_k_per_group(found, "a", k, ranked(neighbour="b")).drop("rank")
 
 
 def pad_to_k(edges: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -241,7 +136,7 @@ def knn_sparse(
     ids: DataFrame,
     k: int = 10,
     block_rows: int = BLOCK_ROWS,
-    few_blocks: int = FEW_BLOCKS,
+    block_entries: int = BLOCK_ENTRIES,
     pad: bool = True,
 ) -> DataFrame:
     """(movie_id, rank, neighbour_id, score): exact top-K cosine, score to 6 places.
@@ -253,6 +148,6 @@ def knn_sparse(
     grouped = stable(group_equal(rows, ["terms", "weights"]))
     members = stable(first_members(grouped, k))
     reps = rows.join(members.select(F.col("rep").alias("id")), "id", "left_semi")
-    pairs = stable(group_edges(reps, k, block_rows, few_blocks))
+    pairs = stable(group_edges(reps, k, block_rows, block_entries))
     edges = expand_groups(pairs, members, grouped, k, F.lit(1.0))
     return pad_to_k(edges, ids, k) if pad else edges

@@ -54,16 +54,16 @@ def sparse_case(n=160, width=60, seed=1):
     return [int(i) for i in rng.permutation(n) * 3 + 5], matrix
 
 
-@pytest.mark.parametrize("block_rows,few", [(4096, 16), (30, 16), (30, 0), (9, 0)])
-def test_sparse_equals_brute_force(spark, block_rows, few):
+@pytest.mark.parametrize("block_rows,entries", [(2048, 1_000_000), (30, 1_000_000), (9, 200), (2048, 60)])
+def test_sparse_equals_brute_force(spark, block_rows, entries):
     ids, matrix = sparse_case()
     frame = spark.createDataFrame([(i,) for i in ids], "id long")
-    got = knn_sparse(packed(spark, ids, matrix), frame, 7, block_rows, few)
+    got = knn_sparse(packed(spark, ids, matrix), frame, 7, block_rows, entries)
     same(sorted_edges(got), brute(ids, matrix, 7).sort_values(["movie_id", "rank"]).reset_index(drop=True))
 
 
-@pytest.mark.parametrize("block_rows,few", [(4096, 16), (40, 16), (11, 0)])
-def test_dense_equals_brute_force(spark, block_rows, few):
+@pytest.mark.parametrize("block_rows", [2048, 40, 5])
+def test_dense_equals_brute_force(spark, block_rows):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(6, 5))
     matrix = centres[rng.integers(0, 6, 150)] + rng.normal(size=(150, 5)) * 0.2
@@ -72,7 +72,7 @@ def test_dense_equals_brute_force(spark, block_rows, few):
     matrix[80] = matrix[81] * 2
     ids = [int(i) for i in rng.permutation(150)]
     df = spark.createDataFrame([(i, row.tolist()) for i, row in zip(ids, matrix)], "id long, vec array<double>")
-    got = knn_dense(df, 6, block_rows, few)
+    got = knn_dense(df, 6, block_rows)
     same(sorted_edges(got), brute(ids, matrix, 6).sort_values(["movie_id", "rank"]).reset_index(drop=True))
 
 
@@ -214,3 +214,18 @@ def test_counting_needs_one_exchange_at_most(spark):
     vocab = vocabulary(counts, F.lit(8), SETTINGS).persist()
     vocab.count()
     assert exchanges(packed_rows(counts, vocab, 100)) == 0
+
+
+def test_blocks_are_bounded_and_many(spark):
+    """Even where long rows gather under one term."""
+    from pyspark.sql import functions as F
+
+    from nearfold.operators.blocks import LEAST_BLOCKS, number_blocks
+
+    rows = spark.range(900).select("id", F.lit(1).alias("anchor"), F.expr("CAST(1 + id % 50 AS INT) AS n"))
+    for most_rows, most_entries in ((2048, 10**6), (40, 500), (7, 10**6)):
+        blocked, n_blocks = number_blocks(rows, ["anchor", "id"], F.col("n"), most_rows, most_entries)
+        sizes = blocked.groupBy("block").agg(F.count("*").alias("rows"), F.sum("n").alias("entries")).collect()
+        assert LEAST_BLOCKS <= len(sizes) <= n_blocks
+        assert max(r["rows"] for r in sizes) <= most_rows + 1
+        assert max(r["entries"] for r in sizes) <= most_entries + 50
