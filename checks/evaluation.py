@@ -32,12 +32,12 @@ def dense_edges(spark, sf):
 
 
 def labelled(spark, sf):
-    """Films with vectors, their edges, and a query sample."""
+    """Films with vectors, their edges, and all that may be asked."""
     catalog = A.vector_films(spark, sf)
-    return catalog, dense_edges(spark, sf), E.sample_queries(catalog, 200, 50, 42)
+    return catalog, dense_edges(spark, sf), catalog.where("vote_count >= 50").select("id")
 
 
-LABELLED = f"WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {S.QUERIES_200}"
+LABELLED = f"WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {S.QUERIES}"
 KEYWORDS = f"keys AS (SELECT id, {S.label_set('keywords')} AS l FROM vfilms)"
 GENRES = f"kinds AS (SELECT id, {S.label_set('genres')} AS l FROM vfilms)"
 JACCARD = "CASE WHEN len(list_distinct(list_concat(q.l, t.l))) = 0 THEN 0.0 ELSE len(list_intersect(q.l, t.l)) / len(list_distinct(list_concat(q.l, t.l))) END"
@@ -59,7 +59,7 @@ def mean_score(edges: str, labels: str, score: str) -> str:
 )
 def edges_x_labels(spark, sf):
     catalog, edges, queries = labelled(spark, sf)
-    pairs = E.edges_x_labels(edges, E.label_table(catalog, "keywords"), queries, 200)
+    pairs = E.edges_x_labels(edges, E.label_table(catalog, "keywords"), queries, None)
     return pairs.select("movie_id", "neighbour_id", flat("query_labels").alias("query_labels"), flat("labels").alias("labels"))
 
 
@@ -98,10 +98,10 @@ def random_baseline(spark, sf):
 
 @query(
     "sample_queries",
-    f"WITH {S.FILMS} SELECT id FROM films WHERE vote_count >= 50 ORDER BY {S.seeded(42, 'id')}, id LIMIT 200",
+    f"WITH {S.FILMS} SELECT id FROM films WHERE vote_count >= 50 ORDER BY {S.seeded(42, 'id')}, id LIMIT 2000",
 )
 def sample_queries(spark, sf):
-    return E.sample_queries(A.films(spark, sf), 200, 50, 42)
+    return E.sample_queries(A.films(spark, sf), 2000, 50, 42)
 
 
 @query(
@@ -117,7 +117,7 @@ def mean_label_score(spark, sf):
         return (F.sort_array(a) == F.sort_array(b)).cast("double")
 
     labels = E.label_table(catalog, "keywords")
-    return E.mean_label_score(edges, labels, queries, same, 200).select(places("score"), "n_scored")
+    return E.mean_label_score(edges, labels, queries, same, None).select(places("score"), "n_scored")
 
 
 @query(
@@ -126,7 +126,7 @@ def mean_label_score(spark, sf):
 )
 def keyword_jaccard_at_k(spark, sf):
     catalog, edges, queries = labelled(spark, sf)
-    return E.keyword_jaccard_at_k(edges, catalog, queries, 200).select(places("score"), "n_scored")
+    return E.keyword_jaccard_at_k(edges, catalog, queries, None).select(places("score"), "n_scored")
 
 
 @query(
@@ -135,7 +135,7 @@ def keyword_jaccard_at_k(spark, sf):
 )
 def genre_precision_at_k(spark, sf):
     catalog, edges, queries = labelled(spark, sf)
-    return E.genre_precision_at_k(edges, catalog, queries, 200).select(places("score"), "n_scored")
+    return E.genre_precision_at_k(edges, catalog, queries, None).select(places("score"), "n_scored")
 
 
 @query(
@@ -157,13 +157,13 @@ def neighbour_lists(spark, sf):
     return lists.select("movie_id", F.array_join("neighbours", "|").alias("neighbours"))
 
 
-SCORE_ROWS = f"""{LABELLED_RANDOM}, {KEYWORDS}, {GENRES}
+SCORE_ROWS = f"""{LABELLED_RANDOM.replace(S.QUERIES, S.SAMPLED)}, {KEYWORDS}, {GENRES}
 SELECT 'dense' AS method, round(k.score, 6) AS keyword_jaccard_at_k, round(g.score, 6) AS genre_precision_at_k
 FROM {mean_score('dense_edges', 'keys', JACCARD)} k, {mean_score('dense_edges', 'kinds', SHARES)} g
 UNION ALL SELECT 'random', round(k.score, 6), round(g.score, 6)
 FROM {mean_score('random_edges', 'keys', JACCARD)} k, {mean_score('random_edges', 'kinds', SHARES)} g"""
 
-EVAL = {"n_queries": 200, "query_min_vote_count": 50, "seed": 42}
+EVAL = {"n_queries": 2000, "query_min_vote_count": 50, "seed": 42}
 
 
 @query("score_run", SCORE_ROWS)

@@ -13,7 +13,7 @@ from nearfold.operators import records as R
 from nearfold.operators import sampling as Z
 from nearfold.operators import search
 from nearfold.scale import scratch_path
-from nearfold.settings import DEFAULTS, overlay
+from nearfold.settings import with_changes
 from nearfold.sources.store import RunStore
 
 QUERIES = {}
@@ -108,7 +108,9 @@ ASKED = """asked AS (SELECT DISTINCT q AS query FROM (
   SELECT ' ' || upper(split_part(p_name, ' ', 2)) || '  ' || split_part(p_name, ' ', 1) AS q FROM part
   UNION ALL SELECT substring(p_name, 1, 5) FROM part
   UNION ALL SELECT upper(p_name) FROM part WHERE p_size < 25
-  UNION ALL SELECT lower(p_type) FROM part UNION ALL SELECT 'x'))"""
+  UNION ALL SELECT lower(p_type) FROM part UNION ALL SELECT 'x'
+  UNION ALL SELECT substring(p_name, 2, 1) || substring(p_name, 1, 1) || substring(p_name, 3, 2) FROM part
+  UNION ALL SELECT substring(p_name, 1, 2) || substring(p_name, 4, 1) FROM part))"""
 
 
 def asked(spark, sf):
@@ -120,6 +122,9 @@ def asked(spark, sf):
         part.where(F.col("p_size") < 25).select(F.upper("p_name").alias("query")),
         part.select(F.lower("p_type").alias("query")),
         part.select(F.lit("x").alias("query")),
+        # Misspelt heads: two letters exchanged, one left out.
+        part.select(F.concat(F.substring("p_name", 2, 1), F.substring("p_name", 1, 1), F.substring("p_name", 3, 2)).alias("query")),
+        part.select(F.concat(F.substring("p_name", 1, 2), F.substring("p_name", 4, 1)).alias("query")),
     ]
     return Z.union_samples(parts).distinct()
 
@@ -143,11 +148,10 @@ def title_exact_match(spark, sf):
 @query(
     "newest_first",
     """SELECT p_name, p_partkey, p_size, CAST(row_number() OVER (PARTITION BY p_name ORDER BY
-      CASE WHEN p_size > 5 THEN p_size END DESC NULLS LAST, p_partkey) AS INTEGER) AS rank FROM part
-    QUALIFY rank <= 50""",
+      CASE WHEN p_size > 5 THEN p_size END DESC NULLS LAST, p_partkey) AS INTEGER) AS rank FROM part""",
 )
 def newest_first(spark, sf):
-    from nearfold.operators.catalog import top_k_per_group
+    from pyspark.sql.window import Window
 
     part = A.table(spark, sf, "part").select(
         "p_name",
@@ -156,10 +160,10 @@ def newest_first(spark, sf):
         F.when(F.col("p_size") > 5, F.col("p_size")).alias("year"),
         F.col("p_partkey").alias("position"),
     )
-    return top_k_per_group(part, "p_name", 50, search.newest_first()).drop("year", "position")
+    order = Window.partitionBy("p_name").orderBy(*search.newest_first())
+    return part.withColumn("rank", F.row_number().over(order)).drop("year", "position")
 
 
-GRAMS = "list_distinct(flatten(list_transform(string_split({0}, ' '), lambda w: list_transform(range(1, len(w) + 2), lambda i: substring('  ' || w || ' ', i, 3)))))"
 SIM = "((1 - levenshtein({0}, {1}) / greatest(length({0}), length({1}), 1)) * 100)"
 
 
@@ -178,14 +182,20 @@ t AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+',
   length({S.clean('lower(title)')}) AS len FROM titles),
 met AS (SELECT query, key, text, tt, len, array_to_string(list_sort(string_split(text, ' ')), ' ') AS sq,
     array_to_string(list_sort(string_split(tt, ' ')), ' ') AS st,
-    len(list_intersect({GRAMS.format('text')}, {GRAMS.format('tt')})) AS shared,
-    ceil(len({GRAMS.format('text')}) * 0.3::DOUBLE) AS need,
+    list_sort(list_intersect(string_split(text, ' '), string_split(tt, ' '))) AS both,
+    list_sort(list_distinct(list_filter(string_split(text, ' '), lambda w: NOT list_contains(string_split(tt, ' '), w)))) AS own_q,
+    list_sort(list_distinct(list_filter(string_split(tt, ' '), lambda w: NOT list_contains(string_split(text, ' '), w)))) AS own_t,
     greatest(length(text), length(tt)) / greatest(least(length(text), length(tt)), 1) AS ratio
   FROM q, t WHERE len >= length(key) * 0.4::DOUBLE),
-scored AS (SELECT query, tt, len, CASE WHEN shared < need THEN 0.0 ELSE round(CASE WHEN ratio < 1.5
-    THEN greatest({SIM.format('text', 'tt')}, {SIM.format('sq', 'st')} * 0.95::DOUBLE)
+words AS (SELECT *, array_to_string(both, ' ') AS s0,
+    trim(array_to_string(both, ' ') || ' ' || array_to_string(own_q, ' ')) AS s1,
+    trim(array_to_string(both, ' ') || ' ' || array_to_string(own_t, ' ')) AS s2 FROM met),
+scored AS (SELECT query, tt, len, CASE WHEN least(length(text), length(tt)) = 0 THEN 0.0 ELSE round(CASE WHEN ratio < 1.5
+    THEN greatest({SIM.format('text', 'tt')}, {SIM.format('sq', 'st')} * 0.95::DOUBLE, {SIM.format('s1', 's2')} * 0.95::DOUBLE,
+      CASE WHEN len(both) > 0 THEN greatest({SIM.format('s0', 's1')}, {SIM.format('s0', 's2')}) * 0.95::DOUBLE ELSE 0.0 END)
     ELSE greatest({SIM.format('text', 'tt')}, {window('text', 'tt')} * (CASE WHEN ratio < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END),
-      {window('sq', 'st')} * (CASE WHEN ratio < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) * 0.95::DOUBLE) END, 6) END AS score FROM met),
+      {window('sq', 'st')} * (CASE WHEN ratio < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) * 0.95::DOUBLE,
+      CASE WHEN len(both) > 0 THEN 100 * (CASE WHEN ratio < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) * 0.95::DOUBLE ELSE 0.0 END) END, 6) END AS score FROM words),
 every AS (SELECT query, id, title, year, 0 AS tier, 100.0::DOUBLE AS score, place FROM exact
   UNION ALL SELECT s.query, x.id, x.title, x.year, 1, s.score, x.position FROM scored s JOIN titles x
     ON trim(regexp_replace(lower(x.title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) = s.tt
@@ -350,23 +360,21 @@ def distinct_label_vocabulary(spark, sf):
 @query(
     "random_pair_jaccard",
     f"""WITH pool AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS at,
-        list_distinct([lang, source]) AS l FROM documents),
+        list_distinct([lang, source]) AS l FROM documents WHERE n_chars >= 50),
     n AS (SELECT count(*) AS n FROM pool),
     pairs AS (SELECT p, {S.draw(42, 'p', "'0'", 'n')} AS i, {S.draw(42, 'p', "'1'", 'n - 1')} AS j FROM range(1000) r(p), n)
     SELECT count(*) AS n_pairs, round(avg(len(list_intersect(a.l, b.l)) / len(list_distinct(list_concat(a.l, b.l)))), 6) AS mean_jaccard
     FROM pairs JOIN pool a ON a.at = i JOIN pool b ON b.at = CASE WHEN j >= i THEN j + 1 ELSE j END""",
 )
 def random_pair_jaccard(spark, sf):
-    found = P.random_pair_jaccard(A.films(spark, sf), "keywords", 1000, 42)
+    found = P.random_pair_jaccard(A.films(spark, sf), "keywords", 1000, 42, votes="vote_count")
     return found.select("n_pairs", F.round("mean_jaccard", 6).alias("mean_jaccard"))
 
 
 def job_settings():
-    return overlay(
-        DEFAULTS,
+    return with_changes(
         {
             "catalog": A.EVERY_DOCUMENT,
-            "eval": {"n_queries": 200},
             "quality": {
                 "row_count_min": 100,
                 "catalog_count_min": 100,

@@ -257,13 +257,14 @@ def ngrams_1_2(spark, sf):
 
 
 # A comma list with blanks, mixed case and repeats out of each part's columns.
-CELL = "' ' || p_type || ', ' || p_brand || ' ,, ' || lower(p_type) || ',' || p_name || ', '"
+CELL = "' ' || p_type || ', ' || p_brand || ' ,, ' || lower(p_type) || ',' || p_name || ', ' || chr(9) || p_brand || chr(160) || ',' || chr(160)"
 
 
 def cell():
     comma = F.lit(", ")
     return F.concat(
-        F.lit(" "), "p_type", comma, "p_brand", F.lit(" ,, "), F.lower("p_type"), F.lit(","), "p_name", comma
+        F.lit(" "), "p_type", comma, "p_brand", F.lit(" ,, "), F.lower("p_type"), F.lit(","), "p_name", comma,
+        F.lit("\t"), "p_brand", F.lit("\u00a0,\u00a0"),
     )
 
 
@@ -279,7 +280,7 @@ def parse_label_set(spark, sf):
     "split_genres_ordered",
     f"""SELECT p_partkey, array_to_string(list_filter(list_transform(string_split(
         CASE WHEN p_size > 10 THEN {CELL} ELSE ' , ' END, ','),
-        lambda x: trim(x)), lambda x: x <> ''), '|') AS g FROM part WHERE p_size > 10
+        lambda x: {S.strip('x')}), lambda x: x <> ''), '|') AS g FROM part WHERE p_size > 10
     UNION ALL SELECT p_partkey, NULL FROM part WHERE p_size <= 10""",
 )
 def split_genres_ordered(spark, sf):
@@ -291,7 +292,7 @@ def split_genres_ordered(spark, sf):
 
 @query(
     "split_keywords_exact",
-    f"""SELECT p_partkey, {S.joined(f"list_distinct(list_filter(list_transform(string_split({CELL}, ', '), lambda x: trim(x)), lambda x: x <> ''))")} AS k FROM part""",
+    f"""SELECT p_partkey, {S.joined(f"list_distinct(list_filter(list_transform(string_split({CELL}, ', '), lambda x: {S.strip('x')}), lambda x: x <> ''))")} AS k FROM part""",
 )
 def split_keywords_exact(spark, sf):
     return A.table(spark, sf, "part").select("p_partkey", flat(L.keyword_set(cell())).alias("k"))
@@ -355,7 +356,7 @@ def score_to_decimal(spark, sf):
 def is_missing(spark, sf):
     orders = A.table(spark, sf, "orders")
     labels = A.table(spark, sf, "labels").withColumnRenamed("doc_id", "o_orderkey")
-    text = F.when(F.col("o_orderstatus") == "P", F.lit("  ")).otherwise(F.col("o_orderpriority"))
+    text = F.when(F.col("o_orderstatus") == "P", F.lit(" \t\u00a0")).otherwise(F.col("o_orderpriority"))
     number = F.when(F.col("o_totalprice") < 100000, F.lit(float("nan"))).otherwise(F.col("o_totalprice"))
     df = orders.join(labels, "o_orderkey", "left").select(
         "o_orderkey", text.alias("t"), number.alias("n"), "quality"
@@ -371,7 +372,7 @@ def is_missing(spark, sf):
 
 def number_bytes(c):
     """ceil(significant digits / 2) + 1 of a number."""
-    text = f"trim(replace(replace(CAST(CAST({c} AS DECIMAL(28, 10)) AS VARCHAR), '.', ''), '-', ''), '0')"
+    text = f"trim(regexp_replace(CAST({c} AS VARCHAR), 'e.*$|[-.]', '', 'g'), '0')"
     return f"CAST(ceil(greatest(length({text}), 1) / 2) AS BIGINT) + 1"
 
 

@@ -89,10 +89,14 @@ vfilms AS (SELECT * REPLACE (CASE WHEN status IS NOT NULL THEN keywords END AS k
            FROM films WHERE id IN (SELECT vec_id FROM embeddings))"""
 
 
+def strip(c: str) -> str:
+    return f"regexp_replace({c}, '^{SPACE}|{SPACE}$', '', 'g')"
+
+
 def label_set(c: str) -> str:
     return (
         "list_distinct(list_filter(list_transform(string_split(lower(coalesce("
-        f"{c}, '')), ','), lambda x: trim(x)), lambda x: x <> ''))"
+        f"{c}, '')), ','), lambda x: {strip('x')}), lambda x: x <> ''))"
     )
 
 
@@ -112,8 +116,10 @@ def seeded(seed: int, key: str) -> str:
     return f"md5('{seed}:' || {key})"
 
 
-QUERIES_200 = (
+# Every film that may be asked, and the sample that jobs score.
+QUERIES = "queries AS (SELECT id FROM vfilms WHERE vote_count >= 50)"
+SAMPLED = (
     "queries AS (SELECT id FROM vfilms WHERE vote_count >= 50 ORDER BY "
     + seeded(42, "id")
-    + ", id LIMIT 200)"
+    + ", id LIMIT 2000)"
 )

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nearfold.functions.text import strip_space
+
 
 def _parts(c: Column, separator: str) -> Column:
-    trimmed = F.transform(F.split(c, separator), lambda x: F.trim(x))
+    trimmed = F.transform(F.split(c, separator), strip_space)
     return F.filter(trimmed, lambda x: x != "")
 
 

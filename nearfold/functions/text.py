@@ -17,6 +17,11 @@ def collapse_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WHITESPACE, " "))
 
 
+def strip_space(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, f"^{WHITESPACE}|{WHITESPACE}$", "")
+
+
 def normalize_title(c: Column) -> Column:
     """Key for exact title matches."""
     return collapse_whitespace(F.lower(c))

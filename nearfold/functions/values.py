@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nearfold.functions.text import strip_space
+
 # Field limits of an exported record and its write unit in bytes.
 OVERVIEW_CHARS = 200
 SCORE_PLACES = 4
@@ -26,7 +28,7 @@ def null_tokens(c: Column, tokens: list[str] | None = None) -> Column:
 def is_missing(c: Column, dtype: T.DataType) -> Column:
     """Null, NaN or blank text."""
     if isinstance(dtype, T.StringType):
-        return F.coalesce(F.trim(c) == "", F.lit(True))
+        return F.coalesce(strip_space(c) == "", F.lit(True))
     if isinstance(dtype, (T.DoubleType, T.FloatType)):
         return F.coalesce(F.isnan(c), F.lit(True)) | c.isNull()
     return c.isNull()
@@ -66,7 +68,7 @@ def finite_or_null(c: Column) -> Column:
 
 def _digits(c: Column) -> Column:
     """Significant digits of a number, at least one."""
-    text = F.regexp_replace(c.cast("decimal(38,10)").cast("string"), "[-.]", "")
+    text = F.regexp_replace(c.cast("string"), "E.*$|[-.]", "")
     return F.greatest(F.length(F.trim(text, F.lit("0"))), F.lit(1))
 
 

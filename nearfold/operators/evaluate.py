@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions.labels import jaccard, label_set, shares_label
 from nearfold.functions.values import finite_or_null
-from nearfold.scale import bounded_broadcast, exact_quantiles, salted_join, with_offsets
+from nearfold.scale import bounded_broadcast, exact_quantiles, skewed_join, with_offsets
 from nearfold.settings import DEFAULTS
 
 RANDOM_METHOD = "random"
@@ -108,7 +108,7 @@ def edges_x_labels(
     asked = edges.select("movie_id", "neighbour_id").join(own, "movie_id")
     # A film may be a neighbour of very many others.
     return (
-        salted_join(asked, theirs, "neighbour_id", "movie_id", "left")
+        skewed_join(asked, theirs, "neighbour_id", "left")
         .withColumn("labels", F.coalesce("labels", F.array().cast("array<string>")))
         .select("movie_id", "neighbour_id", "query_labels", "labels")
     )

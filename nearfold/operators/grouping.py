@@ -2,7 +2,7 @@
 
 A group keeps its K+1 smallest ids: no neighbour list ever needs more of them.
 Neighbour lists are found between groups, turned into lists of ids once per
-group, and handed to every member through a salted join.
+group, and handed to every member through one join.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from nearfold.scale import salted_join
+from nearfold.scale import skewed_join
 
 PLACES = 6
 
@@ -58,7 +58,7 @@ def expand_groups(
         .join(members.select(F.col("rep").alias("a"), "group"), "a")
         .select("group", "best")
     )
-    mine = salted_join(grouped, picked, "group", "id")
+    mine = skewed_join(grouped, picked, "group")
     others = F.slice(F.filter("best", lambda e: e["neighbour_id"] != F.col("id")), 1, k)
     return mine.select("id", F.posexplode(others).alias("pos", "e")).select(
         F.col("id").alias("movie_id"),

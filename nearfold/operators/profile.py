@@ -63,10 +63,12 @@ def distinct_labels(df: DataFrame, labels: str) -> DataFrame:
 
 
 def random_pair_jaccard(
-    df: DataFrame, labels: str, n_pairs: int, seed: int, key: str = "id"
+    df: DataFrame, labels: str, n_pairs: int, seed: int, key: str = "id", votes: str | None = None, least: int = 50
 ) -> DataFrame:
-    """One row (n_pairs, mean_jaccard) over seeded pairs of distinct rows that
-    have labels. Pairs are drawn as row numbers, then looked up."""
+    """One row (n_pairs, mean_jaccard) over seeded pairs of distinct rows that have labels
+    (and, where a vote column is named, `least` votes). Pairs are drawn as row numbers, then looked up."""
+    if votes is not None:
+        df = df.where(F.col(votes) >= least)
     pool = df.select(key, keyword_set(F.col(labels)).alias("labels")).where(F.size("labels") > 0)
     numbered = with_offsets(pool, [key], name="at")
     n = numbered.select(F.count(F.lit(1))).scalar()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions import values as V
 from nearfold.functions.labels import genre_list
-from nearfold.scale import salted_join
+from nearfold.scale import skewed_join
 
 MAX_RESULTS = 20
 
@@ -145,7 +145,7 @@ def hydrate_batch(requests: DataFrame, records: DataFrame) -> DataFrame:
     # first cut to the ids asked for.
     asked = wanted.select("movie_id").distinct()
     found = records.join(asked, "movie_id", "left_semi")
-    joined = salted_join(wanted, found, "movie_id", "request")
+    joined = skewed_join(wanted, found, "movie_id")
     return joined.select("request", "pos", *records.columns)
 
 
@@ -166,9 +166,11 @@ def similar_lookup(asked: DataFrame, records: DataFrame, method: str, n: int = 1
         F.posexplode(F.slice(f"similar_{method}", 1, n)).alias("pos", "e"),
     )
     wanted = lists.select("query_id", "pos", F.col("e.id").alias("id"), F.col("e.score").alias("score"))
-    shown = display_projection(records)
+    # Only records that are listed leave the table.
+    listed = records.join(wanted.select(F.col("id").alias("movie_id")).distinct(), "movie_id", "left_semi")
+    shown = display_projection(listed)
     # A film may be a neighbour of very many others.
-    return salted_join(wanted, shown, "id", "query_id").select(
+    return skewed_join(wanted, shown, "id").select(
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), *shown.columns, "score"
     )
 

@@ -2,12 +2,12 @@
 
 `queries` is (query), distinct texts; `titles` is (id, title, year, position).
 Results are (query, rank, id, title, year, score) with at most `limit` rows per
-query. A fuzzy candidate shares at least MIN_SHARED of the query's word
-trigrams; it is found through the query's rarest trigrams only, which is enough
-to reach every candidate (the rest cannot make up the required overlap), so
-trigrams that half of all titles contain are normally not followed. Titles
-with equal text are scored once. Slots still free are filled by position with
-titles that are long enough, score 0.
+query. Every title that is long enough is a candidate. Titles with equal text are scored once.
+
+The queries, a stated set, go over all distinct titles in blocks. A bound that is cheap
+to tell (shared letters, lengths, a shared word) says what a score can be at most; the exact
+scores of a query's most promising titles give the score the others must be able to
+reach, and only those are scored. Nothing that could be listed is dropped.
 """
 
 from __future__ import annotations
@@ -20,35 +20,23 @@ from pyspark.sql.window import Window as W
 
 from nearfold.functions.text import normalize_title, process_title
 from nearfold.operators.catalog import top_k_per_group
-from nearfold.scale import salted_join
+from nearfold.scale import bounded_broadcast
 from nearfold.settings import DEFAULTS
 
-# Share of the query's trigrams a candidate must hold, weight of
-# reordered words, and of partial matches by how unequal the lengths are.
-MIN_SHARED = 0.3
+# Weight of reordered words, and of partial matches by how unequal
+# the lengths are.
 WORD_ORDER = 0.95
 PARTIAL = 0.9
 PARTIAL_LONG = 0.6
 PARTIAL_FROM = 1.5
 PARTIAL_LONG_FROM = 8.0
+# Queries of one block, and more than such a block takes in bytes.
+BLOCK_QUERIES = 256
+BLOCK_BYTES = 1_000_000
 
 Scorer = Callable[[Column, Column], Column]
 
 
-def trigrams(processed: Column) -> Column:
-    """Distinct trigrams of each word, padded by two spaces before and one after."""
-    words = F.transform(F.split(processed, " "), lambda w: F.concat(F.lit("  "), w, F.lit(" ")))
-    cut = F.transform(
-        words,
-        lambda w: F.transform(
-            F.sequence(F.lit(1), F.length(w) - 2), lambda i: F.substring(w, i, F.lit(3))
-        ),
-    )
-    return F.when(processed == "", F.array().cast("array<string>")).otherwise(
-        F.array_distinct(F.flatten(cut))
-    )
-
-
 def sort_words(c: Column) -> Column:
     return F.array_join(F.array_sort(F.split(c, " ")), " ")
 
@@ -70,22 +58,74 @@ def best_window(a: Column, b: Column) -> Column:
     )
 
 
-def title_score(query: Column, title: Column) -> Column:
-    """Weighted best of whole, reordered and partial similarity, 0 to 100."""
+def shared_words(a: Column, b: Column) -> Column:
+    return F.array_intersect(F.split(a, " "), F.split(b, " "))
+
+
+def word_set_similarity(a: Column, b: Column) -> Column:
+    """Best similarity among the shared words, and the shared words with each text's own."""
+    both = F.array_sort(shared_words(a, b))
+    common = F.array_join(both, " ")
+
+    def with_own(one: Column, other: Column) -> Column:
+        own = F.array_sort(F.array_except(F.split(one, " "), F.split(other, " ")))
+        return F.trim(F.concat_ws(" ", common, F.array_join(own, " ")))
+
+    left, right = with_own(a, b), with_own(b, a)
+    shared = F.greatest(similarity(common, left), similarity(common, right))
+    return F.greatest(similarity(left, right), F.when(F.size(both) > 0, shared).otherwise(0.0))
+
+
+def _lengths(query: Column, title: Column) -> tuple[Column, Column, Column]:
+    """The shorter length, the ratio of the lengths, and the weight of a partial match."""
     short = F.least(F.length(query), F.length(title))
     ratio = F.greatest(F.length(query), F.length(title)) / F.greatest(short, F.lit(1))
+    return short, ratio, F.when(ratio < PARTIAL_LONG_FROM, PARTIAL).otherwise(PARTIAL_LONG)
+
+
+def title_score(query: Column, title: Column) -> Column:
+    """Weighted best of whole, reordered, word-set and partial similarity, 0 to 100."""
+    short, ratio, scale = _lengths(query, title)
     q, t = sort_words(query), sort_words(title)
-    scale = F.when(ratio < PARTIAL_LONG_FROM, PARTIAL).otherwise(PARTIAL_LONG)
-    whole = F.greatest(similarity(query, title), similarity(q, t) * WORD_ORDER)
+    whole = F.greatest(
+        similarity(query, title),
+        similarity(q, t) * WORD_ORDER,
+        word_set_similarity(query, title) * WORD_ORDER,
+    )
+    a_word = F.when(F.size(shared_words(query, title)) > 0, 100.0).otherwise(0.0)
     part = F.greatest(
         similarity(query, title),
         best_window(query, title) * scale,
         best_window(q, t) * scale * WORD_ORDER,
+        a_word * scale * WORD_ORDER,
     )
     score = F.when(ratio < PARTIAL_FROM, whole).otherwise(part)
     return F.when(short == 0, 0.0).otherwise(F.round(score, 6))
 
 
+def letters(text: Column) -> Column:
+    """Each character with its number among its like, so that shared ones can be counted."""
+    chars = F.split(text, "")
+    return F.transform(
+        chars, lambda x, i: F.concat(x, F.size(F.filter(F.slice(chars, 1, i + 1), lambda y: y == x)).cast("string"))
+    )
+
+
+def most_score(query: Column, title: Column, query_letters: Column, title_letters: Column) -> Column:
+    """No less than `title_score`: edits are at least the letters of the longer text that are not shared."""
+    short, ratio, scale = _lengths(query, title)
+    shared = F.size(F.array_intersect(query_letters, title_letters))
+    whole = shared / F.greatest(F.length(query), F.length(title), F.lit(1)) * 100
+    a_word = F.when(F.size(shared_words(query, title)) > 0, 100.0 * WORD_ORDER).otherwise(0.0)
+    part = F.least(F.lit(100.0), shared / F.greatest(short, F.lit(1)) * 100) * scale
+    # Words that are shared or repeated may shorten the texts a word set compares.
+    sets = F.when(F.size(F.array_distinct(F.split(query, " "))) + F.size(F.array_distinct(F.split(title, " ")))
+                  < F.size(F.split(query, " ")) + F.size(F.split(title, " ")), 100.0 * WORD_ORDER).otherwise(0.0)
+    return F.when(ratio < PARTIAL_FROM, F.greatest(whole, a_word, sets)).otherwise(
+        F.greatest(whole, part, a_word * scale)
+    ) + 1e-6
+
+
 def with_keys(queries: DataFrame) -> DataFrame:
     return queries.select("query").distinct().select(
         "query",
@@ -106,46 +146,37 @@ def title_exact_match(queries: DataFrame, titles: DataFrame, limit: int) -> Data
     return with_keys(queries).select("query", "key").join(first, "key").drop("key")
 
 
-def fuzzy_candidates(queries: DataFrame, texts: DataFrame, min_ratio: float) -> DataFrame:
-    """(query, text, title_text, length): pairs with enough shared trigrams.
+def all_pairs(queries: DataFrame, texts: DataFrame, min_ratio: float) -> DataFrame:
+    """(query, text, title_text, length, most): every query with every title text that is long enough for it.
 
-    `texts` is (title_text, length), distinct.
+    Queries travel in blocks of about BLOCK_QUERIES; a row of texts meets each block once.
     """
-    asked = queries.withColumn("grams", trigrams(F.col("text"))).withColumn(
-        "need", F.ceil(F.size("grams") * MIN_SHARED).cast("int")
+    n_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    one = F.struct("query", "text", F.ceil(F.length("key") * min_ratio).alias("least"), letters(F.col("text")).alias("letters"))
+    blocks = queries.groupBy(F.pmod(F.xxhash64("query"), F.lit(n_blocks)).alias("block")).agg(
+        F.collect_list(one).alias("asked")
     )
-    held = texts.select("title_text").distinct().withColumn("their", trigrams(F.col("title_text")))
-    postings = held.select(F.explode("their").alias("gram"), "title_text")
-    common = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    probes = asked.select("query", "need", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    probes = probes.join(common, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    # At most one row per distinct trigram of one query.
-    rarest = W.partitionBy("query").orderBy("df", "gram")
-    probes = (
-        probes.withColumn("at", F.row_number().over(rarest))
-        .where((F.col("at") <= F.col("n") - F.col("need") + 1) & (F.col("df") > 0))
-        .select("query", "gram")
+    spread = texts.withColumn("held", letters(F.col("title_text"))).withColumn(
+        "block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
     )
-    met = salted_join(postings, probes, "gram", "title_text").select("query", "title_text").distinct()
-    shared = F.size(F.array_intersect("grams", "their"))
-    return (
-        met.join(asked, "query")
-        .join(held, "title_text")
-        .where(shared >= F.col("need"))
-        .select("query", "key", "text", "title_text")
-        .join(texts, "title_text")
-        .where(F.col("length") >= F.length("key") * min_ratio)
+    met = spread.join(bounded_broadcast(blocks, n_blocks, BLOCK_BYTES), "block")
+    pairs = met.withColumn("q", F.explode(F.filter("asked", lambda q: q["least"] <= F.col("length"))))
+    return pairs.select(
+        F.col("q.query").alias("query"), F.col("q.text").alias("text"), "title_text", "length",
+        most_score(F.col("q.text"), F.col("title_text"), F.col("q.letters"), F.col("held")).alias("most"),
     )
 
 
-def fill_pool(keyed: DataFrame, needed: DataFrame, size: int) -> DataFrame:
-    """(min_length, id, title, year, position, rank): the first `size` titles by
-    position of at least each needed length."""
-    by_length = top_k_per_group(keyed, "length", size, [F.asc("position")]).drop("rank")
-    # Now at most `size` rows per distinct length.
-    served = by_length.withColumn("min_length", F.explode(F.sequence(F.lit(0), F.col("length"))))
-    served = served.join(needed, "min_length")
-    return top_k_per_group(served, "min_length", size, [F.asc("position")])
+def scored_titles(queries: DataFrame, texts: DataFrame, min_ratio: float, places: int, scorer: Scorer) -> DataFrame:
+    """(query, title_text, length, score): at least all that may be among a query's first `places`."""
+    score = scorer(F.col("text"), F.col("title_text")).alias("score")
+    pairs = all_pairs(queries, texts, min_ratio)
+    if scorer is not title_score:  # its bound is not known
+        return pairs.select("query", "title_text", "length", score)
+    likely = top_k_per_group(pairs, "query", places, [F.desc("most"), F.asc("title_text"), F.asc("length")])
+    reached = likely.select("query", score).groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least"))
+    floors = reached.select("query", F.when(F.col("n") == places, F.col("least")).otherwise(0.0).alias("floor"))
+    return pairs.join(floors, "query").where(F.col("most") >= F.col("floor")).select("query", "title_text", "length", score)
 
 
 def title_search(
@@ -177,9 +208,7 @@ def title_search(
         F.length(normalize_title(F.col("title"))).alias("length"),
     )
     texts = keyed.select("title_text", "length").distinct()
-    scored = fuzzy_candidates(long_enough, texts, ratio).select(
-        "query", "title_text", "length", scorer(F.col("text"), F.col("title_text")).alias("score")
-    )
+    scored = scored_titles(long_enough, texts, ratio, 2 * limit, scorer)
     # Fewer than `limit` exact matches leave the list open, and they may be
     # among the first places here, so twice the limit is always enough.
     group = F.struct("title_text", "length")
@@ -191,14 +220,8 @@ def title_search(
     fuzzy = fuzzy.select(
         *shown, F.lit(1).alias("tier"), "score", F.col("position").alias("place")
     )
-    least = F.ceil(F.length("key") * ratio).cast("int")
-    asked = long_enough.select("query", least.alias("min_length"))
-    pool = fill_pool(keyed, asked.select("min_length").distinct(), 3 * limit + limit)
-    fill = asked.join(pool, "min_length").select(
-        *shown, F.lit(2).alias("tier"), F.lit(0.0).alias("score"), F.col("position").alias("place")
-    )
-    # A title found in several ways counts once, at its best place.
-    every = exact.unionByName(fuzzy).unionByName(fill)
+    # A title found in both ways counts once, at its best place.
+    every = exact.unionByName(fuzzy)
     once = W.partitionBy("query", "id").orderBy("tier")
     kept = every.withColumn("__n", F.row_number().over(once)).where(F.col("__n") == 1)
     order = [F.asc("tier"), F.desc("score"), F.asc("place")]

@@ -80,7 +80,7 @@ def packed_rows(counts: DataFrame, vocab: DataFrame, vocab_cap: int | None) -> D
     Equal documents get bit-equal arrays, because sums run in term order.
     """
     known = vocab.select("term", "term_no", "idf")
-    weighted = lookup_join(counts, known, "term", "id", vocab_cap).select(
+    weighted = lookup_join(counts, known, "term", vocab_cap).select(
         "id", "term_no", ((F.log("tf") + 1) * F.col("idf")).alias("w")
     )
     packed = weighted.groupBy("id").agg(
@@ -101,7 +101,7 @@ def unpack_rows(packed: DataFrame, vocab: DataFrame, vocab_cap: int | None) -> D
     rows = packed.select("id", F.explode(F.arrays_zip("terms", "weights")).alias("e"))
     rows = rows.select("id", F.col("e.terms").alias("term_no"), F.col("e.weights").alias("weight"))
     names = vocab.select("term_no", "term")
-    return lookup_join(rows, names, "term_no", "id", vocab_cap).select("id", "term", "weight")
+    return lookup_join(rows, names, "term_no", vocab_cap).select("id", "term", "weight")
 
 
 def unigram_idf(vocab: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Helpers that keep plans safe on large and skewed data.
 
 Nothing here collects rows that grow with the input: broadcasts are bounded by
-construction, hot join keys are salted, and ranks over a whole table are built
+construction, hot join keys are split by adaptive execution, and ranks over a whole table are built
 from range partitions instead of one sorted task.
 """
 
@@ -18,11 +18,6 @@ from pyspark.sql.window import Window as W
 # A table proven to be no larger than this may be broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 NARROW_ROW_BYTES = 100
-# A join key with more left rows than this is split over several tasks.
-HOT_KEY_ROWS = 200_000
-# The most frequent keys that are salted. Any other key holds less than one
-# thousandth of the rows and is left to adaptive execution.
-HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -70,51 +65,32 @@ def bounded_broadcast(
     return F.broadcast(df) if fits_broadcast(max_rows, row_bytes) else df
 
 
-def salted_join(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    salt_by: str,
-    how: str = "inner",
-    hot_rows: int = HOT_KEY_ROWS,
-) -> DataFrame:
+def skewed_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner") -> DataFrame:
     """Join where a few `key` values may hold a large share of `left`.
 
-    Keys above the limit are spread over salts on the left and their right rows
-    repeated once per salt. The list of such keys has at most HOT_KEYS rows.
+    Both sides are shuffled once and each is evaluated once. Adaptive execution sees
+    the size of every partition, cuts the oversized ones of `left` into tasks and gives each its
+    copy of the matching right rows, for any number of hot keys.
     """
-    sizes = left.groupBy(key).agg(F.count(F.lit(1)).alias("__rows"))
-    hot = F.broadcast(
-        sizes.where(F.col("__rows") > hot_rows)
-        .orderBy(F.desc("__rows"))
-        .limit(HOT_KEYS)
-        .select(key, F.ceil(F.col("__rows") / hot_rows).cast("int").alias("__salts"))
-    )
-    salts = F.coalesce(F.col("__salts"), F.lit(1))
-    spread = left.join(hot, key, "left").withColumn(
-        "__salt", F.pmod(F.xxhash64(salt_by), salts).cast("int")
-    )
-    copies = right.join(hot, key, "left").withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), salts - 1))
-    )
-    return spread.drop("__salts").join(
-        copies.drop("__salts"), [key, "__salt"], how
-    ).drop("__salt")
+    spark = left.sparkSession
+    for switch in ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled"):
+        if spark.conf.get(switch) != "true":
+            raise RuntimeError(f"skewed joins rely on {switch}")
+    return left.join(right, key, how)
 
 
 def lookup_join(
     left: DataFrame,
     right: DataFrame,
     key: str,
-    salt_by: str,
     max_rows: int | None,
     how: str = "inner",
     row_bytes: int = NARROW_ROW_BYTES,
 ) -> DataFrame:
-    """Broadcast a lookup table that is proven small; salt the join otherwise."""
+    """Broadcast a lookup table that is proven small; otherwise leave hot keys to adaptive execution."""
     if fits_broadcast(max_rows, row_bytes):
         return left.join(F.broadcast(right), key, how)
-    return salted_join(left, right, key, salt_by, how)
+    return skewed_join(left, right, key, how)
 
 
 def with_offsets(

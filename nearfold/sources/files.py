@@ -25,6 +25,11 @@ FILM_TYPES = {
 }
 
 
+def read_films(spark: SparkSession, path: str) -> DataFrame:
+    """Raw films from a CSV, or from anything else as Parquet, which splits into tasks by size."""
+    return scan_typed_csv(spark, path) if path.lower().endswith(".csv") else spark.read.parquet(path)
+
+
 def scan_text_csv(spark: SparkSession, path: str) -> DataFrame:
     """Every column as text; blank cells stay ''."""
     return (

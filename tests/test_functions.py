@@ -1,6 +1,7 @@
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nearfold.functions import labels as L
 from nearfold.functions import text as X
@@ -31,14 +32,25 @@ def test_stop_words_go_before_ngrams_and_repeats_stay(spark):
 
 
 def test_label_cells(spark):
-    cell = F.lit("Time Travel, hotel ,  , Beach, hotel")
-    assert set(value(spark, L.label_set(cell))) == {"time travel", "hotel", "beach"}
-    assert value(spark, L.genre_list(cell)) == ["Time Travel", "hotel", "Beach", "hotel"]
-    for blank in (None, "", " , "):
-        given = F.lit(blank).cast("string")
+    cell = F.lit("\tSpace Opera,robot\u00a0,,\u2003Desert ,robot, ROBOT")
+    assert set(value(spark, L.label_set(cell))) == {"space opera", "robot", "desert"}
+    assert value(spark, L.genre_list(cell)) == ["Space Opera", "robot", "Desert", "robot", "ROBOT"]
+    for nothing in (None, "", ",\t,\u00a0"):
+        given = F.lit(nothing).cast("string")
         assert value(spark, L.label_set(given)) == []
         assert value(spark, L.genre_list(given)) is None
-    assert value(spark, L.keyword_set(F.lit("a,b, C , a,b"))) == ["a,b", "C"]
+    assert value(spark, L.keyword_set(F.lit("p,q, R\t, p,q"))) == ["p,q", "R"]
+
+
+def test_blank_of_any_kind_is_missing(spark):
+    for blank in ("", " ", "\t\u00a0 "):
+        assert value(spark, V.is_missing(F.lit(blank), T.StringType())) is True
+    assert value(spark, V.is_missing(F.lit(" x "), T.StringType())) is False
+
+
+def test_all_digits_of_a_number_count(spark):
+    for number, digits in ((1.5e-14, 2), (1234.0, 4), (0.0, 1), (123456789012345.0, 15), (-0.25, 2), (1e300, 1)):
+        assert value(spark, V.value_bytes(F.lit(number), T.DoubleType())) == -(-digits // 2) + 1
 
 
 def test_set_scores(spark):

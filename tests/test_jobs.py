@@ -7,10 +7,9 @@ from nearfold.plans.compare import compare_methods, word_vectors_after_tfidf
 from nearfold.plans.publish import publish_run
 from nearfold.plans.rollback import RollbackRefused, rollback_run
 from nearfold.plans.score import score_existing_run
-from nearfold.settings import DEFAULTS, overlay
+from nearfold.settings import with_changes
 
-SETTINGS = overlay(
-    DEFAULTS,
+SETTINGS = with_changes(
     {
         "catalog": {"min_overview_chars": 5},
         "tfidf": {"min_df": 1, "max_df": 1.0},
@@ -74,27 +73,45 @@ def test_publish_then_roll_back(spark, words, store):
     rows, summary = score_existing_run(store.read("catalog", "2026-01-08"), store, 3, SETTINGS["eval"])
     assert rows.count() == 3 and summary.first().n_queries == 5
 
-    with pytest.raises(RollbackRefused, match="missing"):
+    with pytest.raises(RollbackRefused, match="catalog not stored"):
         rollback_run(store, "2025-01-01", SETTINGS)
     failed = store.read("quality", "2026-01-08").withColumn("passed", F.lit(False)).checkpoint()
     store.write(failed, "quality", "2026-01-08")
-    with pytest.raises(RollbackRefused, match="failed quality gates"):
+    with pytest.raises(RollbackRefused, match="gate .* failed"):
         rollback_run(store, "2026-01-08", SETTINGS)
 
 
 def test_failed_gate_leaves_only_the_report(spark, words, store, tmp_path):
-    tight = overlay(SETTINGS, {"quality": {"catalog_count_min": 100}})
+    tight = with_changes({"quality": {"catalog_count_min": 100}}, SETTINGS)
     with pytest.raises(QualityGateFailed, match="catalog_count_min"):
         publish_run(films(spark), words, store, "2026-01-01", tight, [])
     assert [p.name for p in (tmp_path / "store").iterdir()] == ["quality"]
     assert store.pointer() is None
 
-    strict = overlay(SETTINGS, {"quality": {"zero_vector_rate_max": 0.0}})
+    strict = with_changes({"quality": {"zero_vector_rate_max": 0.0}}, SETTINGS)
     with pytest.raises(QualityGateFailed, match="word2vec.zero_vector_rate_max"):
         publish_run(films(spark), words.where("token = 'dog'"), store, "2026-01-01", strict, [])
     assert [p.name for p in (tmp_path / "store").iterdir()] == ["quality"]
     with pytest.raises(ValueError, match="default method"):
-        publish_run(films(spark), words, store, "d", overlay(SETTINGS, {"publish": {"default_method": "x"}}), [])
+        publish_run(films(spark), words, store, "d", with_changes({"publish": {"default_method": "x"}}, SETTINGS), [])
+
+
+def test_a_run_written_again_without_rows_is_empty(spark, store):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
+    store.write(rows, "thing", "2026-01-01")
+    store.write(rows, "thing", "2026-01-02")
+    store.write(rows.limit(0), "thing", "2026-01-01")
+    assert store.read("thing", "2026-01-01").count() == 0
+    assert store.read("thing", "2026-01-02").count() == 2
+    store.write(rows.limit(0), "other", "2026-01-01")
+    assert store.read("other", "2026-01-01").columns == ["id", "v"]
+
+
+def test_settings_refuse_unknown_keys():
+    assert with_changes({"index": {"k": 3}})["index"] == {"k": 3}
+    for bad in ({"indx": {}}, {"index": {"kk": 1}}):
+        with pytest.raises(KeyError):
+            with_changes(bad)
 
 
 def test_compare_methods(spark, words, store):
