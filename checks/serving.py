@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.evaluation import dense_edges
-from checks.similarity import K, word_model
+from checks.similarity import WORDS, K, word_model
 from nearfold import adapters as A
 from nearfold.operators import profile as P
 from nearfold.operators import records as R
@@ -182,20 +182,20 @@ t AS (SELECT DISTINCT trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+',
   length({S.clean('lower(title)')}) AS len FROM titles),
 met AS (SELECT query, key, text, tt, len, array_to_string(list_sort(string_split(text, ' ')), ' ') AS sq,
     array_to_string(list_sort(string_split(tt, ' ')), ' ') AS st,
-    list_sort(list_intersect(string_split(text, ' '), string_split(tt, ' '))) AS both,
+    list_sort(list_intersect(string_split(text, ' '), string_split(tt, ' '))) AS common_words,
     list_sort(list_distinct(list_filter(string_split(text, ' '), lambda w: NOT list_contains(string_split(tt, ' '), w)))) AS own_q,
     list_sort(list_distinct(list_filter(string_split(tt, ' '), lambda w: NOT list_contains(string_split(text, ' '), w)))) AS own_t,
     greatest(length(text), length(tt)) / greatest(least(length(text), length(tt)), 1) AS ratio
   FROM q, t WHERE len >= length(key) * 0.4::DOUBLE),
-words AS (SELECT *, array_to_string(both, ' ') AS s0,
-    trim(array_to_string(both, ' ') || ' ' || array_to_string(own_q, ' ')) AS s1,
-    trim(array_to_string(both, ' ') || ' ' || array_to_string(own_t, ' ')) AS s2 FROM met),
+words AS (SELECT *, array_to_string(common_words, ' ') AS s0,
+    trim(array_to_string(common_words, ' ') || ' ' || array_to_string(own_q, ' ')) AS s1,
+    trim(array_to_string(common_words, ' ') || ' ' || array_to_string(own_t, ' ')) AS s2 FROM met),
 scored AS (SELECT query, tt, len, CASE WHEN least(length(text), length(tt)) = 0 THEN 0.0 ELSE round(CASE WHEN ratio < 1.5
     THEN greatest({SIM.format('text', 'tt')}, {SIM.format('sq', 'st')} * 0.95::DOUBLE, {SIM.format('s1', 's2')} * 0.95::DOUBLE,
-      CASE WHEN len(both) > 0 THEN greatest({SIM.format('s0', 's1')}, {SIM.format('s0', 's2')}) * 0.95::DOUBLE ELSE 0.0 END)
+      CASE WHEN len(common_words) > 0 THEN greatest({SIM.format('s0', 's1')}, {SIM.format('s0', 's2')}) * 0.95::DOUBLE ELSE 0.0 END)
     ELSE greatest({SIM.format('text', 'tt')}, {window('text', 'tt')} * (CASE WHEN ratio < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END),
       {window('sq', 'st')} * (CASE WHEN ratio < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) * 0.95::DOUBLE,
-      CASE WHEN len(both) > 0 THEN 100 * (CASE WHEN ratio < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) * 0.95::DOUBLE ELSE 0.0 END) END, 6) END AS score FROM words),
+      CASE WHEN len(common_words) > 0 THEN 100 * (CASE WHEN ratio < 8 THEN 0.9::DOUBLE ELSE 0.6::DOUBLE END) * 0.95::DOUBLE ELSE 0.0 END) END, 6) END AS score FROM words),
 every AS (SELECT query, id, title, year, 0 AS tier, 100.0::DOUBLE AS score, place FROM exact
   UNION ALL SELECT s.query, x.id, x.title, x.year, 1, s.score, x.position FROM scored s JOIN titles x
     ON trim(regexp_replace(lower(x.title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g')) = s.tt
@@ -411,7 +411,12 @@ def rollback_run(spark, sf):
     return job(store, "2026-01-01", job_settings())
 
 
-@query("compare_methods")
+@query(
+    "compare_methods",
+    f"""WITH {WORDS} SELECT 'tfidf' AS method, (SELECT count(*) FROM catalog) AS catalog_size, CAST(NULL AS DOUBLE) AS oov_rate
+    UNION ALL SELECT 'word2vec', (SELECT count(*) FROM catalog), round(sum(CASE WHEN v IS NULL THEN tf ELSE 0 END) / sum(tf), 6)
+    FROM word_counts LEFT JOIN words USING (term)""",
+)
 def compare_methods(spark, sf):
     """Both embedders over one catalog, word vectors weighted by the first's IDF."""
     from nearfold.operators.tfidf import TfidfEmbedder
