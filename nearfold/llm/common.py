@@ -43,6 +43,17 @@ def kept_by_worker() -> dict:
     return sys.__dict__.setdefault("_nearfold_kept", {})
 
 
+def send(spark: SparkSession, value):
+    """Broadcast an object of bounded size with the code of its class, as jobs are sent."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def received(sent):
+    import pickle
+
+    return pickle.loads(sent.value)
+
+
 def portions(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes of text, whatever their number of rows."""
     for batch in batches:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import kept_by_worker, portions, ship
+from nearfold.llm.common import kept_by_worker, portions, received, send, ship
 
 ship(__name__)
 
@@ -248,10 +248,10 @@ def score_quality(
 ) -> DataFrame:
     """Per row: doc_id and score, 0 to 1; higher means label 1 is likelier."""
     layout = Features(len(metadata))
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    sent = send(docs.sparkSession, machine)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = received(sent)
         for batch in portions(batches):
             columns = [c.to_pylist() for c in batch.columns]
             margins = [model.margin(*layout.of(t, list(m))) for t, *m in zip(*columns[1:])]
@@ -272,11 +272,11 @@ def keep_good(
 ) -> DataFrame:
     """The rows, as they are, with a score of at least `least`."""
     layout, schema = Features(len(metadata)), docs.schema
-    sent = docs.sparkSession.sparkContext.broadcast(machine)
+    sent = send(docs.sparkSession, machine)
     at, more = docs.columns.index(text), [docs.columns.index(m) for m in metadata]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
+        model = received(sent)
         for batch in portions(batches, at):
             columns = [batch.column(i).to_pylist() for i in (at, *more)]
             margins = [model.margin(*layout.of(t or "", list(m))) for t, *m in zip(*columns)]

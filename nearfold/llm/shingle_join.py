@@ -20,7 +20,8 @@ following steps, none of which writes out all pairs of a group.
    Of a linked pair the one whose prefix ends first shares a signature with the other.
 4. Each signature's group first compares every member with its most typical one (fewest rare tokens):
    as many pairs as members. Linked classes are merged. Only groups that then still hold
-   different components are looked at again, and only across components: a task holds a group, or
+   different components are looked at again (those of near copies, which share a centre, as one group), and
+   only across components: a task holds a group, or
    two blocks of a long one, as bitmaps of the sets, which bound from below what each of two
    sets has alone, and passes on the pairs that may still reach the threshold.
 5. Pairs are verified on the whole texts.
@@ -50,8 +51,8 @@ WORDS = 5
 OFTEN = 4
 # Shingles counted at a time, and bits of the map of frequent ones: both fixed.
 TURN, MAP_BITS = 2_000_000, 1 << 22
-# Bits of a set's bitmap, and members of a group that are compared in one task.
-BITMAP, BLOCK = 2_048, 4_096
+# Members of a group that are compared in one task, and the least bits of a set's bitmap.
+BLOCK, LEAST_BITS = 4_096, 512
 
 _MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
@@ -102,11 +103,50 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> tuple[np.ndarray, in
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
-    bits = np.zeros(BITMAP, np.uint8)
-    bits[(tokens % np.uint64(BITMAP)).astype(np.int64)] = 1
+    """At least two bits for each token, a power of two of them, so that a wide map can be folded to a narrow one."""
+    width = max(LEAST_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(tokens % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
+class Maps:
+    """Bitmaps and sizes of some sets, compared in pairs.
+
+    Sets whose sizes allow a link have maps of equal width or of twice the width, which is folded.
+    """
+
+    def __init__(self, bits: list[bytes], n: np.ndarray):
+        self.n = n
+        self.width = np.fromiter(map(len, bits), np.int64, len(bits))
+        self.at, self.words = {}, {}
+        for w in np.unique(self.width).tolist():
+            rows = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            flat = [np.frombuffer(bits[r], np.uint64) for r in rows.tolist()]
+            narrow = [x if len(x) * 8 == w else x[: w // 8] | x[w // 8 :] for x in flat]
+            self.at[w] = np.full(len(bits), -1)
+            self.at[w][rows] = np.arange(len(rows))
+            self.words[w] = np.stack(narrow)
+
+    def may_link(self, i: np.ndarray, j: np.ndarray, percent: int) -> np.ndarray:
+        """Whether two sets can reach the threshold: a bit only one of them has is a token only it has."""
+        small, large = np.minimum(self.n[i], self.n[j]), np.maximum(self.n[i], self.n[j])
+        fit = small * 100 >= large * percent
+        narrow = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(narrow[fit]).tolist():
+            words, at = self.words[w], self.at[w]
+            of_width = np.flatnonzero(fit & (narrow == w))
+            step = max(1, 4_000_000 // w)
+            for pairs in (of_width[k : k + step] for k in range(0, len(of_width), step)):
+                x, y = words[at[i[pairs]]], words[at[j[pairs]]]
+                n_x, n_y = self.n[i[pairs]], self.n[j[pairs]]
+                only_x = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64)
+                only_y = np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+                most = np.minimum(n_x - only_x, n_y - only_y)
+                fit[pairs] = 100 * most >= percent * (n_x + n_y - most)
+        return fit
+
+
 def _in_common(a: np.ndarray, b: np.ndarray) -> int:
     return len(np.intersect1d(a, b, assume_unique=True))
 
@@ -262,28 +302,15 @@ def shared_signatures(signed: DataFrame) -> DataFrame:
     )
 
 
-def _may_link(n_i, n_j, words_i, words_j, percent: int) -> np.ndarray:
-    """Whether two sets can reach the threshold, from their sizes and bitmaps.
-
-    A bit that only one of them has is a token, at least, that only it has.
-    """
-    alone_i = np.bitwise_count(words_i & ~words_j).sum(axis=1, dtype=np.int64)
-    alone_j = np.bitwise_count(words_j & ~words_i).sum(axis=1, dtype=np.int64)
-    most = np.minimum(n_i - alone_i, n_j - alone_j)
-    return 100 * most >= percent * (n_i + n_j - most)
-
-
-def _words(bits) -> np.ndarray:
-    return np.frombuffer(b"".join(bits), np.uint64).reshape(-1, BITMAP // 64)
-
-
 def possible(pairs: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose bitmaps do not rule out a link."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, 3, 8_000_000):
-            n_a, n_b = (batch.column(i).to_numpy() for i in (2, 4))
-            fit = _may_link(n_a, n_b, _words(batch.column(3).to_pylist()), _words(batch.column(5).to_pylist()), percent)
+            n = np.concatenate([batch.column(i).to_numpy() for i in (2, 4)])
+            held = Maps(batch.column(3).to_pylist() + batch.column(5).to_pylist(), n)
+            here = np.arange(batch.num_rows)
+            fit = held.may_link(here, here + batch.num_rows, percent)
             yield batch.select(["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
     def side(name: str) -> DataFrame:
@@ -332,6 +359,21 @@ def texts_of(rows: DataFrame, members: DataFrame) -> DataFrame:
     return few.join(members.hint("merge"), "doc_id").select("a", "text").mapInArrow(same, "a long, text string")
 
 
+def regrouped(groups: DataFrame) -> DataFrame:
+    """(sign, a, n): groups with the same centre as one where that makes fewer pairs than they have apart.
+
+    Near copies share most signatures and so most groups; together each pair of them is met once.
+    Members of one group stay in one group, so no pair is lost.
+    """
+    apart = groups.groupBy("centre", "sign").agg(F.count(F.lit(1)).alias("m")).groupBy("centre").agg(
+        F.sum(F.col("m").cast("double") * F.col("m")).alias("apart")
+    )
+    together = groups.select("centre", "a").distinct().groupBy("centre").agg(F.count(F.lit(1)).cast("double").alias("u"))
+    plan = apart.join(together, "centre").select("centre", (F.col("u") * F.col("u") <= F.col("apart")).alias("whole"))
+    key = F.when(F.col("whole"), F.col("centre")).otherwise(F.col("sign"))
+    return groups.join(plan, "centre").select(key.alias("sign"), "a", "n").distinct()
+
+
 def across_parts(left: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of members of one group and different parts that their bitmaps do not rule out.
 
@@ -355,7 +397,7 @@ def across_parts(left: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
     )
 
     def meet(task, a, n, part, side, bits) -> pa.RecordBatch:
-        words = _words(bits)
+        held = Maps(list(bits), n)
         here, found = np.arange(len(a)), set()
         for step in range(1, len(a)):
             here = here[here + step < len(a)]
@@ -365,10 +407,9 @@ def across_parts(left: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
             for at in range(0, len(here), 20_000):
                 i = here[at : at + 20_000]
                 j = i + step
-                small, large = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
-                fit = (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] == 0)) & (small * 100 >= large * percent)
+                fit = (part[i] != part[j]) & ((side[i] != side[j]) | (side[i] == 0))
                 i, j = i[fit], j[fit]
-                fit = _may_link(n[i], n[j], words[i], words[j], percent)
+                fit = held.may_link(i, j, percent)
                 one, two = a[i[fit]], a[j[fit]]
                 found.update(zip(np.minimum(one, two).tolist(), np.maximum(one, two).tolist()))
         one, two = zip(*sorted(found)) if found else ((), ())
@@ -429,7 +470,7 @@ def near_documents(docs: DataFrame, percent: int = 75, key: str = "doc_id", text
     )
     first = stable(verified(written(possible(tried, maps, percent)), classes, rows, percent))
     merged = components(first)
-    parts = groups.join(merged.select(F.col("node").alias("a"), "component"), "a", "left").select(
+    parts = regrouped(groups).join(merged.select(F.col("node").alias("a"), "component"), "a", "left").select(
         "sign", "a", "n", F.coalesce("component", "a").alias("part")
     )
     mixed = parts.groupBy("sign").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")

@@ -85,8 +85,18 @@ def test_signatures_meet_for_every_linked_pair():
         frequent[:10_000] = rng.random(10_000) < rng.choice([0, 0.3, 0.7, 0.95, 1])
         if len(y) and not np.array_equal(x, y) and sj.linked(x, y, 75):
             assert len(np.intersect1d(sj.signatures(x, frequent)[0], sj.signatures(y, frequent)[0]))
-            n_x, n_y = np.array([len(x)]), np.array([len(y)])
-            assert sj._may_link(n_x, n_y, sj._words([sj.bitmap(x)]), sj._words([sj.bitmap(y)]), 75)[0]
+            held = sj.Maps([sj.bitmap(x), sj.bitmap(y)], np.array([len(x), len(y)]))
+            assert held.may_link(np.array([0]), np.array([1]), 75)[0]
+
+
+def test_bitmaps_of_different_widths():
+    rng = np.random.default_rng(8)
+    x = np.unique(rng.integers(0, 2**63, 1100).astype(np.uint64))
+    near, far = x[: 950], np.unique(rng.integers(0, 2**63, 1000).astype(np.uint64))
+    sets = [x, near, far]
+    held = sj.Maps([sj.bitmap(s) for s in sets], np.array([len(s) for s in sets]))
+    assert held.width.tolist() == [512, 256, 256]
+    assert held.may_link(np.array([0, 0, 1]), np.array([1, 2, 2]), 75).tolist() == [True, False, False]
 
 
 def test_awkward_documents(awkward, no_docs):
