@@ -1,6 +1,6 @@
 """Benchmark decontamination: every training passage queries a BM25 index of the test items.
 
-Index. Test items are cut into units of at most UNIT words. A term's contribution to a unit is
+Index. Test items are cut into units of at most UNIT words, and units with the same common words are put side by side. A term's contribution to a unit is
 its BM25 weight over the unit's own score, so a passage that holds all of a unit's
 terms scores 1 and one threshold serves all. Units are put in blocks of BLOCK; for each term and
 block the index keeps the largest contribution, and within a block each unit's.
@@ -25,18 +25,19 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import portions, ship
+from nearfold.llm.common import portions, received, send, ship
 from nearfold.scale import stable
 
 ship(__name__)
 
-UNIT, BLOCK = 64, 16
+UNIT, BLOCK = 64, 8
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
 OVERLAP = 0.6
@@ -92,6 +93,10 @@ class Index:
             for at in range(0, len(words), UNIT):
                 units.append(Counter(words[at : at + UNIT]))
                 owners.append(i)
+        # Units of one language share their most common words; in blocks of like units maxima are tight.
+        common = [sorted(u, key=lambda t: (-frequencies[t], t))[:3] for u in units]
+        order = sorted(range(len(units)), key=lambda u: (common[u], u))
+        units, owners = [units[u] for u in order], [owners[u] for u in order]
         terms = {t: k for k, t in enumerate(sorted({t for u in units for t in u}))}
         n_blocks = -(-len(units) // BLOCK)
         bounds = np.zeros((len(terms), n_blocks), np.float32)
@@ -113,19 +118,23 @@ class Index:
             return
         halves = (len(numbers) - 1) // UNIT + 1
         size = len(self.terms)
-        # Each term once for each half of a passage.
-        pairs = np.unique((known // UNIT) * size + numbers[known])
-        half, term = pairs // size, pairs % size
-        sums = np.zeros((halves + 1, self.bounds.shape[1]), np.float32)
-        first = np.flatnonzero(np.append(True, half[1:] != half[:-1]))
-        sums[half[first]] = np.add.reduceat(self.bounds[term], first, axis=0)
+        # A word is in the passage that begins with its half and in the one before; each term once for each passage.
+        half, held_by = known // UNIT, numbers[known]
+        pairs = np.concatenate([half * size + held_by, (half[half > 0] - 1) * size + held_by[half > 0]])
+        pairs.sort()
+        pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
+        passage, term = pairs // size, pairs % size
+        sums = np.zeros((halves, self.bounds.shape[1]), np.float32)
+        first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
+        sums[passage[first]] = np.add.reduceat(self.bounds[term], first, axis=0)
         # A little less than the threshold: the bounds are rounded.
-        passages, blocks = np.nonzero(sums[:-1] + sums[1:] >= threshold - 1e-4)
-        starts = np.searchsorted(half, np.arange(halves + 2))
+        passages, blocks = np.nonzero(sums >= threshold - 1e-4)
+        if not len(passages):
+            return
+        starts = np.searchsorted(passage, np.arange(halves + 1))
         for p, b in zip(passages.tolist(), blocks.tolist()):
             rows = self.weights[b]
-            held = [rows[t] for t in set(term[starts[p] : starts[p + 2]].tolist()) if t in rows]
-            scores = np.sum(held, axis=0) if held else np.zeros(BLOCK)
+            scores = sum((rows[t] for t in term[starts[p] : starts[p + 1]].tolist() if t in rows), np.zeros(BLOCK))
             for k in np.flatnonzero(scores >= threshold - 1e-9).tolist():
                 yield p, b * BLOCK + k, float(scores[k])
 
@@ -140,7 +149,7 @@ def hits_of(index: Index, text: str, threshold: float, overlap: float) -> list[d
     if not words:
         return []
     get = index.terms.get
-    numbers = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+    numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
     best: dict[int, dict] = {}
     for p, u, score in index.search(numbers, threshold):
         i = index.units[u]
@@ -234,10 +243,10 @@ def find_leaks(
     schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
     found = spark.createDataFrame([], schema)
     for index in indexes(items, answer=answer, most=most_index):
-        sent = spark.sparkContext.broadcast(index)
+        sent = send(spark, index)
 
         def search(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index = received(sent)
             for batch in portions(batches):
                 at, hits = [], []
                 for i, t in enumerate(batch.column(1).to_pylist()):
@@ -258,10 +267,10 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
     """The rows, as they are, that hold no test item."""
     spark, at, schema = docs.sparkSession, docs.columns.index(text), docs.schema
     for index in indexes(items):
-        sent = spark.sparkContext.broadcast(index)
+        sent = send(spark, index)
 
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            index = sent.value
+            index = received(sent)
             for batch in portions(batches, at):
                 clean = [not hits_of(index, t or "", threshold, overlap) for t in batch.column(at).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
