@@ -134,3 +134,34 @@ def near_documents() -> str:
     return f"""WITH RECURSIVE {SHINGLES}
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id
 FROM sets s LEFT JOIN least l ON l.node = s.doc_id"""
+
+
+def crc32(text: str) -> str:
+    """The checksum, bit by bit: -1 stands for a shift."""
+    steps = f"flatten(list_transform(string_split({text}, ''), lambda c: [ascii(c), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {steps}::BIGINT[]), lambda r, x:
+  CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END))"""
+
+
+def conversation_trie() -> str:
+    """Every prefix of every rebuilt conversation as a list, each node against all nodes it begins."""
+    return f"""WITH said AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL),
+lists AS (SELECT conv_id, list(md5(concat(length(role), ':', role, text)) ORDER BY turn NULLS FIRST, md5(concat(length(role), ':', role, text))) AS m,
+  list(length(text) ORDER BY turn NULLS FIRST, md5(concat(length(role), ':', role, text))) AS s FROM said GROUP BY conv_id),
+borrowing AS (SELECT c.conv_id, c.m, c.s, b.m AS bm, b.s AS bs, CAST({crc32("CAST(c.conv_id AS VARCHAR)")} % 6 AS BIGINT) AS h
+  FROM lists c LEFT JOIN lists b ON b.conv_id = c.conv_id - c.conv_id % 100),
+rebuilt AS (SELECT conv_id, list_concat(coalesce(bm, [])[1:h], m[h + 1:]) AS m, list_concat(coalesce(bs, [])[1:h], s[h + 1:]) AS s FROM borrowing),
+passed AS (SELECT conv_id, unnest(range(0, len(m) + 1)) AS d, m, s FROM rebuilt),
+paths AS (SELECT conv_id, d, array_to_string(m[1:d], '') AS node, array_to_string(m[1:d - 1], '') AS above,
+  CASE WHEN d = 0 THEN 0 ELSE s[d] END AS size, d = len(m) AS ends FROM passed),
+nodes AS (SELECT node, any_value(CASE WHEN d > 0 THEN above END) AS above, any_value(d) AS depth, min(conv_id) AS conv_id, count(*) AS n,
+  any_value(size) AS size, sha256(coalesce(string_agg(CASE WHEN ends THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM paths GROUP BY node),
+children AS (SELECT above AS node, count(*) AS c FROM nodes WHERE above IS NOT NULL GROUP BY above),
+counted AS (SELECT n.*, coalesce(c.c, 0) AS c FROM nodes n LEFT JOIN children c USING (node)),
+upwards AS (SELECT left(node, 32 * CAST(unnest(range(0, depth + 1)) AS INTEGER)) AS node, c = 0 AS leaf, (n - 1) * size AS saved FROM counted),
+totals AS (SELECT node, count(*) FILTER (leaf) AS n_leaves, sum(saved) AS saved_tokens FROM upwards GROUP BY node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n AS n_convs, n.c AS n_children, t.n_leaves,
+  CAST(t.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN totals t USING (node) LEFT JOIN nodes p ON p.node = n.above"""
