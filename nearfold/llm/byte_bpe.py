@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nearfold.llm.common import id_and_text, portions, received, send, ship
+from nearfold.llm.common import gathered, id_and_text, portions, received, send, ship
 
 ship(__name__)
 
@@ -197,14 +197,6 @@ def pieces(text: str, cut) -> Iterator[str]:
     yield text[at:] if at else text
 
 
-def gathered(flat: np.ndarray, starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The parts of `flat` with these numbers one after the other, and the size of each."""
-    sizes = starts[numbers + 1] - starts[numbers]
-    ends = np.cumsum(sizes)
-    shift = np.repeat(starts[numbers] - (ends - sizes), sizes)
-    return flat[shift + np.arange(len(shift))], sizes
-
-
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id and `ids ARRAY<INT>`. `pattern` (of the regex library) cuts texts into words.
 

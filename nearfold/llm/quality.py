@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nearfold.llm.common import kept_by_worker, portions, received, send, ship
+from nearfold.llm.common import portions, received, send, ship
 
 ship(__name__)
 
@@ -34,7 +34,6 @@ BUCKETS = 8_192
 RANK = 8
 EPOCHS, BATCH, RATE, DECAY, SEED = 12, 128, 0.02, 1e-5, 11
 WORD_WEIGHT = 0.5  # the length of a document's word vector; each statistic has length 1
-WORD_CACHE = 1 << 19
 
 # Statistics and the bounds of their bins.
 SHARES = (0.001, 0.005, 0.02, 0.05, 0.1, 0.2, 0.3, 0.45, 0.6, 0.8)
@@ -127,14 +126,8 @@ class Features:
     def of(self, text: str, metadata: list) -> tuple[np.ndarray, np.ndarray]:
         raw = text.encode()
         words = raw.lower().split()
-        cache = kept_by_worker().setdefault("word buckets", {})
-        if len(cache) > WORD_CACHE:
-            cache.clear()
         distinct = set(words)
-        for w in distinct:
-            if w not in cache:
-                cache[w] = zlib.crc32(w) % BUCKETS
-        hashed = np.unique(np.fromiter(map(cache.__getitem__, distinct), np.int64, len(distinct)))
+        hashed = np.unique(np.fromiter(map(zlib.crc32, distinct), np.int64, len(distinct)) % BUCKETS)
         values = statistics(raw, raw.split())
         bins = [int(np.searchsorted(b, v, "right")) for b, v in zip(self.bounds, values)]
         for m in metadata:

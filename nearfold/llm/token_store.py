@@ -13,7 +13,7 @@ compares the fingerprint and reads one span of one shard.
 
 Null text is empty and holds the end id alone. Documents with a null key are
 stored first and are not in the index; a key that repeats is indexed by its first
-copy (by text) and the manifest numbers the others. An empty table gives a
+copy (by the text's hash) and the manifest numbers the others. An empty table gives a
 store without shards' ids, in which every lookup misses.
 """
 
@@ -23,16 +23,20 @@ import os
 import re
 import struct
 import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from nearfold.llm.common import id_and_text, kept_by_worker, portions, ship
+from nearfold.llm.common import gathered, id_and_text, portions, ship
+from nearfold.llm.files import file_system
 
 ship(__name__)
 
@@ -42,25 +46,27 @@ HEAD, HEAD_BYTES = "<8sII", 16
 BUCKET_KEYS = 65_536
 # Bits of a level for each key that is left.
 BITS_PER_KEY = 2
-# Words and chunks a worker keeps; both caches start anew when they are full.
-WORD_CACHE, CHUNK_CACHE = 1 << 20, 1 << 18
+# Each level keeps more than half of the keys, so distinct ones never need so many.
+MOST_LEVELS = 200
+# Bytes of text whose distinct words are encoded together, and words whose ids are gathered at once.
+PORTION, PART_WORDS = 8_000_000, 1_000_000
 
 
 # --- encoding -----------------------------------------------------------------
 
 
-class CachedTokenizer:
-    """Ids of texts; the library encodes each distinct word once.
+class WordTokenizer:
+    """Ids of texts; the library encodes each distinct word of a portion once.
 
-    Texts are cut at spaces, line feeds and tabs, which the tokenizer drops. A
-    chunk of plain letters, digits and signs is cut once more as the tokenizer's
-    own pattern does, so that its words are shared by chunks; any other chunk is
-    given to the library as it is.
+    Texts are cut at ASCII white space, which the tokenizer drops. Chunks of plain letters, digits
+    and signs are cut once more as the tokenizer's own pattern does, so that
+    their words are shared by chunks; any other chunk is given to the library as it is.
+    Nothing is kept from one portion to the next.
     """
 
-    PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
-    # Fixed value: the splitting pattern in the tokenizer's file, for plain chunks.
-    WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+    PLAIN = re.compile(r"[ !-~À-ÖØ-öø-ÿ]+")
+    # Fixed value: the splitting pattern in the tokenizer's file, for plain chunks; a space ends a chunk.
+    WORD = re.compile(r" |'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 
     def __init__(self, path: str, width: int):
         from tokenizers import Tokenizer
@@ -73,70 +79,89 @@ class CachedTokenizer:
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         for token, i in vocab.items():
             self.ends[i] = token.endswith("</w>")
-        self.words: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {"": b""}
 
     def _is_word_bpe(self) -> bool:
         """Whether white space is dropped and letters and signs are words of their own."""
-        probe = "It's a Test, of_ 42 (words)! Ça"
+        probe = "It's a\x0bTest,\tof_ 42\x0c\r(words)!\nÇa"
         whole = self.inner.encode(probe, add_special_tokens=False).ids
         apart = [
             i
-            for c in probe.split()
+            for c in re.split("[ \t-\r]+", probe)
             for w in self.WORD.findall(c.lower())
             for i in self.inner.encode(w, add_special_tokens=False).ids
         ]
         return whole == apart
 
-    def _bytes(self, ids) -> bytes:
-        return np.asarray(ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, chunks: set[str]) -> None:
-        parts = {}
-        for c in chunks:
-            if self.PLAIN.fullmatch(c) and "<|" not in c:
-                parts[c] = self.WORD.findall(c.lower())
-            else:
-                self.chunks[c] = self._bytes(self.inner.encode(c, add_special_tokens=False).ids)
-        words = self.words
-        new = list({w for p in parts.values() for w in p if w not in words})
-        groups = [new[i : i + 256] for i in range(0, len(new), 256)]
-        joined = self.inner.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)
-        for group, found in zip(groups, joined):
-            ids = np.asarray(found.ids, dtype=self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(group) and (not len(cuts) or cuts[-1] == len(ids)):
-                raw, at = ids.tobytes(), 0
-                for w, end in zip(group, (cuts * self.dtype.itemsize).tolist()):
-                    words[w] = raw[at:end]
-                    at = end
-            else:
-                for w in group:
-                    words[w] = self._bytes(self.inner.encode(w, add_special_tokens=False).ids)
-        for c, p in parts.items():
-            self.chunks[c] = b"".join([words[w] for w in p])
-
-    def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        end = self._bytes([end_id])
-        if not self.splits:
-            found = self.inner.encode_batch(texts, add_special_tokens=False)
-            return [self._bytes(f.ids) + end for f in found]
-        if len(self.words) > WORD_CACHE:
-            self.words.clear()
-        if len(self.chunks) > CHUNK_CACHE:
-            self.chunks = {"": b""}
-        cut = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        self._learn({c for t in cut for c in t}.difference(self.chunks))
-        at = self.chunks.__getitem__
-        return [b"".join(map(at, t)) + end for t in cut]
-
-
-def _tokenizer(path: str, width: int) -> CachedTokenizer:
-    """One for each worker, kept between its tasks."""
-    kept, key = kept_by_worker(), ("tokenizer", path, width)
-    if key not in kept:
-        kept[key] = CachedTokenizer(path, width)
-    return kept[key]
+    def _encode_each(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids one after the other, and how many each text has."""
+        found = [f.ids for f in self.inner.encode_batch(texts, add_special_tokens=False)]
+        return np.array([i for f in found for i in f], self.dtype), np.fromiter(map(len, found), np.int64, len(found))
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As `_encode_each`, many words in one text where each ends with a token that ends a word."""
+        ids, sizes = [], []
+        for at in range(0, len(words), 65_536):
+            groups = [words[i : i + 256] for i in range(at, min(at + 65_536, len(words)), 256)]
+            for group, found in zip(groups, self.inner.encode_batch(list(map(" ".join, groups)), add_special_tokens=False)):
+                got = np.array(found.ids, self.dtype)
+                cuts = np.flatnonzero(self.ends[got]) + 1
+                if len(cuts) == len(group) and cuts[-1] == len(got):
+                    ids.append(got)
+                    sizes.append(np.diff(cuts, prepend=0))
+                else:
+                    each, n = self._encode_each(group)
+                    ids.append(each)
+                    sizes.append(n)
+        return np.concatenate([np.zeros(0, self.dtype), *ids]), np.concatenate([np.zeros(0, np.int64), *sizes])
+
+    def _encode_plain(self, joined: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and sizes of plain chunks that are joined by spaces."""
+        number: defaultdict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        number[" "]
+        found = self.WORD.findall(f"{joined.lower()} ")
+        codes = np.fromiter(map(number.__getitem__, found), np.int32, len(found))
+        del found
+        ids, sizes = self._encode_words(list(number)[1:])
+        starts = np.concatenate([[0, 0], np.cumsum(sizes)]).astype(np.int64)  # the space is empty
+        out, each = gathered(ids, starts, codes)
+        ends = np.cumsum(each)[codes == 0]
+        return out, np.diff(ends, prepend=0)
+
+    def _encode_chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        joined = " ".join(chunks)
+        if not chunks or (self.PLAIN.fullmatch(joined) and "<|" not in joined):
+            return self._encode_plain(joined) if chunks else (np.zeros(0, self.dtype), np.zeros(0, np.int64))
+        plain = np.array([self.PLAIN.fullmatch(c) is not None and "<|" not in c for c in chunks], bool)
+        parts = [c for c, p in zip(chunks, plain) if p], [c for c, p in zip(chunks, plain) if not p]
+        (a, n), (b, m) = self._encode_chunks(parts[0]), self._encode_each(parts[1])
+        sizes = np.empty(len(chunks), np.int64)
+        sizes[plain], sizes[~plain] = n, m
+        is_plain = np.repeat(plain, sizes)
+        ids = np.empty(len(is_plain), self.dtype)
+        ids[is_plain], ids[~is_plain] = a, b
+        return ids, sizes
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, Iterator[np.ndarray]]:
+        """How many ids each text has with its end, and all those ids in parts of bounded size."""
+        if self.splits:
+            chunks = pc.ascii_split_whitespace(texts)
+            words = chunks.flatten().dictionary_encode()
+            ids, sizes = self._encode_chunks(words.dictionary.to_pylist())
+            ends = np.cumsum(chunks.value_lengths().to_numpy(zero_copy_only=False))
+            codes = words.indices.to_numpy()
+        else:
+            ids, sizes = self._encode_each(texts.to_pylist())
+            codes = np.arange(len(texts), dtype=np.int32)
+            ends = codes + 1
+        # The end is one more word, the last of each text.
+        codes = np.insert(codes, ends, len(sizes))
+        ids, sizes = np.append(ids, self.dtype.type(end_id)), np.append(sizes, 1)
+        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        total = np.concatenate([[0], np.cumsum(sizes[codes])])
+        each = np.diff(total[np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])])
+        parts = (gathered(ids, starts, codes[i : i + PART_WORDS])[0] for i in range(0, len(codes), PART_WORDS))
+        return each, parts
 
 
 # --- minimal perfect hash -----------------------------------------------------
@@ -178,6 +203,8 @@ class PerfectHash:
             words = np.packbits(alone, bitorder="little").view("<u8")
             levels.append(words)
             left = left[~alone[spot.astype(np.int64)]]
+            if len(levels) > MOST_LEVELS:
+                raise ValueError(f"{len(left)} keys share their hashes with others")
         return cls(levels)
 
     def slots(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,14 +260,8 @@ class IndexFile:
 # --- files --------------------------------------------------------------------
 
 
-def _files(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path)
-
-
 def _read(path: str) -> bytes:
-    store, at = _files(path)
+    store, at = file_system(path)
     with store.open_input_file(at) as f:
         return f.read()
 
@@ -249,7 +270,7 @@ class _Replacing:
     """A file that takes its name when it is whole; a repeated task replaces it by the same."""
 
     def __init__(self, path: str):
-        self.store, self.path = _files(path)
+        self.store, self.path = file_system(path)
         self.store.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.draft = f"{self.path}.{uuid.uuid4().hex}"
 
@@ -280,6 +301,23 @@ def _key_hashes(key: Column) -> list[Column]:
     return [F.xxhash64(key).alias("a"), F.xxhash64(F.lit(1).cast("long"), key).alias("b")]
 
 
+def _number_copies(drafts: DataFrame) -> DataFrame:
+    """Copies are numbered in each shard; go on where the shard before ended with the same key."""
+    last = F.max_by(F.struct("key", F.col("copy") + 1), "offset")
+    ends = drafts.groupBy("shard").agg(F.min_by(F.struct("key"), "offset").alias("first"), last.alias("last"))
+    ends = ends.select("shard", F.col("first.key").alias("first"), F.col("last.key").alias("last"), F.col("last.col2").alias("n"))
+    # One row for each shard.
+    held = ends.withColumn("held", F.sum("n").over(Window.partitionBy("last").orderBy("shard")))
+    before = Window.orderBy("shard")
+    carried = held.select(
+        "shard", "first",
+        F.when(F.lag("last").over(before).eqNullSafe(F.col("first")) & (F.row_number().over(before) > 1), F.lag("held").over(before))
+        .otherwise(0).alias("carried"),
+    )
+    more = F.when(F.col("key").eqNullSafe(F.col("first")), F.col("carried")).otherwise(0)
+    return drafts.join(carried, "shard").withColumn("copy", F.col("copy") + more).drop("first", "carried")
+
+
 def write_store(
     docs: DataFrame,
     path: str,
@@ -299,27 +337,27 @@ def write_store(
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = _tokenizer(tokenizer, width), TaskContext.get().partitionId()
+        coder, shard = WordTokenizer(tokenizer, width), TaskContext.get().partitionId()
         if len(coder.ends) > 1 << 8 * width or end_id >= 1 << 8 * width:
             raise ValueError(f"ids do not fit {width} bytes")
-        offset, last, copy = 0, None, 0
+        offset, last, copy = 0, None, -1
         with _Replacing(_shard(path, shard)) as out:
             out.write(struct.pack(HEAD, MAGIC, 1, width))
-            for batch in portions(batches):
-                spans = coder.encode(batch.column(1).to_pylist(), end_id)
-                out.write(b"".join(spans))
-                sizes = np.array([len(s) // width for s in spans], np.int64)
-                starts = offset + np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+            for batch in portions(batches, size=PORTION):
+                sizes, parts = coder.encode(batch.column(1), end_id)
+                for ids in parts:
+                    out.write(ids.tobytes())
+                starts = offset + np.cumsum(sizes) - sizes
                 offset += int(sizes.sum())
                 copies = []
                 for k in batch.column(0).to_pylist():
-                    copy = copy + 1 if k == last and k is not None else 0
+                    copy = copy + 1 if copy >= 0 and (k == last or k != k and last != last) else 0
                     last = k
                     copies.append(copy)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
-                        pa.array(np.full(len(spans), shard, np.int64)),
+                        pa.array(np.full(len(sizes), shard, np.int64)),
                         pa.array(starts),
                         pa.array(sizes),
                         pa.array(copies, pa.int64()),
@@ -327,11 +365,13 @@ def write_store(
                     names=["key", "shard", "offset", "n", "copy"],
                 )
 
-    rows = id_and_text(docs, key, text)
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(encode, f"key {kind}, shard long, offset long, n long, copy long").write.mode(
-        "overwrite"
-    ).parquet(f"{path}/manifest")
+    # A key that many rows hold, null among them, is dealt to shards by the hash of the text.
+    rows = id_and_text(docs, key, text).withColumn("hash", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text")
+    ordered.select("doc_id", "text").mapInArrow(
+        encode, f"key {kind}, shard long, offset long, n long, copy long"
+    ).write.mode("overwrite").parquet(f"{path}/drafts")
+    _number_copies(spark.read.parquet(f"{path}/drafts")).write.mode("overwrite").parquet(f"{path}/manifest")
 
     manifest = spark.read.parquet(f"{path}/manifest")
     keyed = manifest.where("copy = 0 AND key IS NOT NULL")
@@ -393,7 +433,7 @@ def fetch(found: DataFrame, path: str) -> DataFrame:
                 if shard != at:
                     if file is not None:
                         file.close()
-                    store, name = _files(_shard(path, shard))
+                    store, name = file_system(_shard(path, shard))
                     file, at = store.open_input_file(name), shard
                     magic, _, width = struct.unpack(HEAD, file.read_at(HEAD_BYTES, 0))
                     if magic != MAGIC:
@@ -415,8 +455,6 @@ def fetch(found: DataFrame, path: str) -> DataFrame:
 
 def with_starts(found: DataFrame, path: str) -> DataFrame:
     """Add `start`, the ids of all documents stored before. One row for each shard is summed."""
-    from pyspark.sql.window import Window
-
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     sizes = found.sparkSession.read.parquet(f"{path}/shard_sizes")
     bases = sizes.select("shard", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("base"))
@@ -460,17 +498,23 @@ class TokenStore:
     def get(self, key) -> np.ndarray | None:
         import xxhash
 
+        if not self.n_buckets:
+            return None
+
         raw = struct.pack("<q" if self.long_keys else "<i", key) if isinstance(key, int) else key.encode()
         a = xxhash.xxh64_intdigest(raw, 42)
         b = xxhash.xxh64_intdigest(raw, xxhash.xxh64_intdigest(struct.pack("<q", 1), 42))
         signed = a - (1 << 64) if a >> 63 else a
         number = signed % self.n_buckets
         if number not in self.indexes:
-            self.indexes[number] = IndexFile(_read(_bucket(self.path, number)))
+            try:
+                self.indexes[number] = IndexFile(_read(_bucket(self.path, number)))
+            except FileNotFoundError:  # no key has this bucket
+                return None
         there, got = self.indexes[number].find(np.array([a], np.uint64), np.array([b], np.uint64))
         if not there[0]:
             return None
-        store, name = _files(_shard(self.path, int(got["shard"][0])))
+        store, name = file_system(_shard(self.path, int(got["shard"][0])))
         with store.open_input_file(name) as f:
             _, _, width = struct.unpack(HEAD, f.read_at(HEAD_BYTES, 0))
             raw = f.read_at(int(got["n"][0]) * width, HEAD_BYTES + int(got["offset"][0]) * width)

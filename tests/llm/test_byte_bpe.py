@@ -9,6 +9,7 @@ import regex
 import tiktoken
 
 from nearfold.llm import byte_bpe
+from nearfold.llm.common import gathered
 from nearfold.llm.queries import op11_byte_bpe, tokenizer_file
 
 PATTERN = public_tokenizers.PATTERN
@@ -107,6 +108,6 @@ def test_decoding_of_given_ids(spark, ranks):
 
 
 def test_gathering():
-    flat, sizes = byte_bpe.gathered(np.arange(10), np.array([0, 3, 3, 10]), np.array([2, 1, 0, 0]))
+    flat, sizes = gathered(np.arange(10), np.array([0, 3, 3, 10]), np.array([2, 1, 0, 0]))
     assert flat.tolist() == [3, 4, 5, 6, 7, 8, 9, 0, 1, 2, 0, 1, 2] and sizes.tolist() == [7, 0, 3, 3]
     assert pa.array(flat).null_count == 0
