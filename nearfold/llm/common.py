@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import sys
 from collections.abc import Iterator
 
@@ -49,6 +52,14 @@ def received(sent):
     return pickle.loads(sent.value)
 
 
+def give_back_memory() -> None:
+    """What a task has freed goes back to the machine; workers outlive their tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not on every C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def portions(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about `size` bytes of text, whatever their number of rows."""
     for batch in batches:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from nearfold.llm.common import gathered, id_and_text, portions, ship
+from nearfold.llm.common import gathered, give_back_memory, id_and_text, portions, ship
 from nearfold.llm.files import file_system
 
 ship(__name__)
@@ -337,7 +337,14 @@ def write_store(
     kind = docs.schema[key].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, shard = WordTokenizer(tokenizer, width), TaskContext.get().partitionId()
+        shard = TaskContext.get().partitionId()
+        try:
+            yield from encoded(batches, shard)
+        finally:
+            give_back_memory()
+
+    def encoded(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
+        coder = WordTokenizer(tokenizer, width)
         if len(coder.ends) > 1 << 8 * width or end_id >= 1 << 8 * width:
             raise ValueError(f"ids do not fit {width} bytes")
         offset, last, copy = 0, None, -1
@@ -420,37 +427,35 @@ def find(keys: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     return hashed.withColumn("bucket", F.pmod("a", F.lit(n))).groupBy("bucket").applyInPandas(look, schema)
 
 
-def fetch(found: DataFrame, path: str) -> DataFrame:
-    """Add `ids BINARY`, the raw little-endian ids of each position, read from the shards.
+def _with_ids(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    """Rows by shard and offset, with the bytes there; each shard is opened once."""
+    at, file, width = None, None, 0
+    for batch in batches:
+        spans = []
+        for shard, offset, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "n"))):
+            if shard != at:
+                if file is not None:
+                    file.close()
+                store, name = file_system(_shard(path, shard))
+                file, at = store.open_input_file(name), shard
+                magic, _, width = struct.unpack(HEAD, file.read_at(HEAD_BYTES, 0))
+                if magic != MAGIC:
+                    raise ValueError(f"shard {shard} is no file of token ids")
+            spans.append(file.read_at(n * width, HEAD_BYTES + offset * width))
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, pa.array([width] * len(spans), pa.int32()), pa.array(spans, pa.binary())],
+            names=[*batch.schema.names, "width", "ids"],
+        )
+
+
+def _by_shard(found: DataFrame) -> DataFrame:
+    return found.repartition("shard").sortWithinPartitions("shard", "offset")
 
-    Positions are dealt by shard and read in order, so a task opens a shard once.
-    """
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, file, width = None, None, 0
-        for batch in batches:
-            spans = []
-            for shard, offset, n in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "n"))):
-                if shard != at:
-                    if file is not None:
-                        file.close()
-                    store, name = file_system(_shard(path, shard))
-                    file, at = store.open_input_file(name), shard
-                    magic, _, width = struct.unpack(HEAD, file.read_at(HEAD_BYTES, 0))
-                    if magic != MAGIC:
-                        raise ValueError(f"shard {shard} is no file of token ids")
-                spans.append(file.read_at(n * width, HEAD_BYTES + offset * width))
-            widths = pa.array([width] * len(spans), pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, widths, pa.array(spans, pa.binary())],
-                names=[*batch.schema.names, "width", "ids"],
-            )
 
+def fetch(found: DataFrame, path: str) -> DataFrame:
+    """Add `width` and `ids BINARY`, the raw little-endian ids of each position, read from the shards."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields)
-    return (
-        found.repartition("shard")
-        .sortWithinPartitions("shard", "offset")
-        .mapInArrow(read, f"{kinds}, width int, ids binary")
-    )
+    return _by_shard(found).mapInArrow(lambda batches: _with_ids(batches, path), f"{kinds}, width int, ids binary")
 
 
 def with_starts(found: DataFrame, path: str) -> DataFrame:
@@ -472,7 +477,7 @@ def token_digests(found: DataFrame, path: str) -> DataFrame:
     import zlib
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _with_ids(batches, path):
             sums, counts = [], []
             for width, ids in zip(batch.column("width").to_pylist(), batch.column("ids").to_pylist()):
                 wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
@@ -484,8 +489,7 @@ def token_digests(found: DataFrame, path: str) -> DataFrame:
             )
 
     kind = found.schema["key"].dataType.simpleString()
-    read = fetch(with_starts(found, path), path)
-    return read.mapInArrow(digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    return _by_shard(with_starts(found, path)).mapInArrow(digest, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
 
 
 class TokenStore:
