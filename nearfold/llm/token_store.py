@@ -49,7 +49,7 @@ BITS_PER_KEY = 2
 # Each level keeps more than half of the keys, so distinct ones never need so many.
 MOST_LEVELS = 200
 # Bytes of text whose distinct words are encoded together, and words whose ids are gathered at once.
-PORTION, PART_WORDS = 8_000_000, 1_000_000
+PORTION, PART_WORDS = 16_000_000, 1_000_000
 
 
 # --- encoding -----------------------------------------------------------------
