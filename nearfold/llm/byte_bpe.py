@@ -29,12 +29,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from nearfold.llm.common import gathered, id_and_text, portions, received, send, ship
+from nearfold.llm.common import gathered, give_back_memory, id_and_text, portions, received, send, ship
 
 ship(__name__)
 
 # Characters whose distinct words are merged together, and after which a long text may be cut.
-PORTION, PIECE = 16_000_000, 1_000_000
+PORTION, PIECE = 8_000_000, 1_000_000
 # Ids in a batch that leaves a task.
 BATCH_IDS = 1_000_000
 NONE = np.int32(2**31 - 1)
@@ -243,6 +243,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, key: str = "d
                 keys, texts, size = [], [], 0
         if keys:
             yield from merged()
+        give_back_memory()
 
     rows = id_and_text(docs, key, text)
     kind = rows.schema["doc_id"].dataType.simpleString()
