@@ -4,12 +4,15 @@
    with a space on either side, so a rule's match always covers whole words.
 2. The words a text shares with the rules' keywords choose the few rules that run.
 3. A rule marks its matches in the text; marked words give word positions.
-4. Spans are put in order (start, longer first, priority, rule number). A span
-   that lies within an earlier one is suppressed. The labels of the others stay.
+4. Overlapping spans are resolved by priority and containment. A span that contains one of
+   higher priority gives way to it: "released under the ... license" to the license that is named there.
+   Of the others, a span within one of equal or higher priority is suppressed (of equal spans
+   with equal priority the later rule's). The labels of the rest stay.
 
 Base phrases are looked for everywhere and their labels are never suppressed.
 Everything happens within a row: no shuffle, no Python. Work grows with the text's
-length and its matches. Null and empty texts have no words, spans or labels and score 0.
+length and its matches. Null and empty texts have no words, spans or labels and score 0; repeated
+rows and null keys are rows like others; other columns are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -42,6 +45,10 @@ def _pairs(bounds: Column) -> Column:
     return F.arrays_zip(starts.alias("start"), ends.alias("end"))
 
 
+def _updated(ends: Column, priority: Column, choose, end: Column) -> Column:
+    return F.transform(ends, lambda e, i: F.when(i == priority, choose(e, end)).otherwise(e))
+
+
 def scan_licenses(
     docs: DataFrame,
     rules: list[LicenseRule] = RULES,
@@ -113,21 +120,37 @@ def scan_licenses(
     ordered = F.array_sort(F.flatten(F.transform(running, spans_of)))
     ordered = F.when(F.size("keys") > 0, ordered).otherwise(F.array().cast(f"array<{span}>"))
     spread = based.withColumn("ordered", ordered)
-    # Where each span's end is not past all earlier ends, an earlier span contains it.
+    none_yet = F.array().cast(f"array<{span}>")
+    levels = max((r.priority for r in rules), default=0) + 1
+    # From the last start on: the first end seen so far of the spans of each priority. A span is left out
+    # if one of higher priority that starts no earlier ends no later.
+    bare = F.aggregate(
+        F.reverse("ordered"),
+        F.struct(F.array_repeat(F.lit(1 << 62).cast("long"), levels).alias("ends"), none_yet.alias("spans")),
+        lambda a, s: F.struct(
+            _updated(a["ends"], s["priority"], F.least, -s["minus_end"]).alias("ends"),
+            F.when(
+                (s["priority"] > 0) & (F.array_min(F.slice(a["ends"], F.lit(1), F.greatest(s["priority"], F.lit(1)))) <= -s["minus_end"]),
+                a["spans"],
+            ).otherwise(F.concat(a["spans"], F.array(s))).alias("spans"),
+        ),
+    )
+    # From the first start on: the last end so far of each priority. A span is suppressed if one of equal or
+    # higher priority that came before ends no earlier.
     reach = F.aggregate(
-        "ordered",
-        F.struct(F.lit(0).cast("long").alias("end"), F.array().cast("array<string>").alias("labels"),
-                 F.lit(0.0).alias("weight"), F.array().cast(f"array<{span}>").alias("spans")),
-        lambda a, s: F.when(-s["minus_end"] <= a["end"], a).otherwise(
+        F.reverse("bare.spans"),
+        F.struct(F.array_repeat(F.lit(-1).cast("long"), levels).alias("ends"), F.array().cast("array<string>").alias("labels"),
+                 F.lit(0.0).alias("weight"), none_yet.alias("spans")),
+        lambda a, s: F.when(F.array_max(F.slice(a["ends"], F.lit(1), s["priority"] + 1)) >= -s["minus_end"], a).otherwise(
             F.struct(
-                (-s["minus_end"]).alias("end"),
+                _updated(a["ends"], s["priority"], F.greatest, -s["minus_end"]).alias("ends"),
                 F.array_union(a["labels"], F.array(s["label"])).alias("labels"),
                 F.greatest(a["weight"], s["weight"]).alias("weight"),
                 F.concat(a["spans"], F.array(s)).alias("spans"),
             )
         ),
     )
-    kept = spread.withColumn("kept", reach).withColumn(
+    kept = spread.withColumn("bare", bare).withColumn("kept", reach).withColumn(
         "phrase_labels", F.when(F.size("base") > 0, phrase_labels).otherwise(F.array().cast("array<string>"))
     )
     return kept.select(

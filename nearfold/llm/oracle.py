@@ -19,11 +19,12 @@ def url_rules() -> str:
         for r in ur.DOMAIN_RULES + ur.PATTERN_RULES
     )
     return rf"""WITH rules(name, verdict, pattern, kind, weight) AS (VALUES {rules}),
-cut AS (SELECT page_id, url,
-  coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), '') AS h,
-  coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*(/[^?#]*)', 1), '') AS path FROM pages),
-split AS (SELECT page_id, url, path, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host
-  FROM cut),
+rests AS (SELECT page_id, url, string_split_regex(substr(url, strpos(url, '://') + 3), '[?#]')[1] AS rest
+  FROM pages WHERE contains(url, '://')),
+cut AS (SELECT page_id, string_split(rest, '/')[1] AS h, substr(rest, length(string_split(rest, '/')[1]) + 1) AS path FROM rests),
+split AS (SELECT p.page_id, coalesce(c.path, '') AS path,
+  coalesce(translate(c.h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host
+  FROM pages p LEFT JOIN cut c USING (page_id)),
 fits AS (SELECT s.*, r.*, row_number() OVER (PARTITION BY s.page_id ORDER BY r.kind, r.weight, r.name) AS place
   FROM split s JOIN rules r
   ON regexp_matches(CASE WHEN r.kind = 0 THEN s.host || s.path ELSE lower(s.host || s.path) END, r.pattern))
@@ -61,9 +62,11 @@ hits AS (SELECT w.doc_id, r.*, {bounds("r.pattern")} AS b
   FROM wide w JOIN rules r ON contains(w.wide, ' ' || r.keyword || ' ')),
 spans AS (SELECT doc_id, rule, label, priority, weight, b[2 * k + 1] AS s, b[2 * k + 2] AS e
   FROM (SELECT *, unnest(range(0, len(b) // 2)) AS k FROM hits)),
-ranked AS (SELECT *, max(e) OVER (PARTITION BY doc_id ORDER BY s, e DESC, priority, rule
-    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM spans),
-kept AS (SELECT * FROM ranked WHERE reach IS NULL OR e > reach),
+bare AS (SELECT * FROM spans o WHERE NOT EXISTS (SELECT 1 FROM spans i
+  WHERE i.doc_id = o.doc_id AND i.priority < o.priority AND i.s >= o.s AND i.e <= o.e)),
+kept AS (SELECT * FROM bare i WHERE NOT EXISTS (SELECT 1 FROM bare o
+  WHERE o.doc_id = i.doc_id AND o.priority <= i.priority AND o.s <= i.s AND o.e >= i.e
+    AND (o.s < i.s OR o.e > i.e OR o.priority < i.priority OR o.rule < i.rule))),
 labels AS (SELECT doc_id, string_agg(label, ',' ORDER BY label) AS labels FROM
   (SELECT DISTINCT doc_id, label FROM kept UNION SELECT * FROM base_labels) GROUP BY doc_id),
 scores AS (SELECT doc_id, max(weight) AS score FROM kept GROUP BY doc_id),

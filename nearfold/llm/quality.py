@@ -8,9 +8,11 @@ low-rank pairwise terms; by the sum-of-squares identity
 a score takes time linear in the document's features.
 
 It is fitted on at most `MOST_ROWS` labelled rows (those with the least hash of the
-key; the bound is a parameter). Only their sparse vectors reach the driver. Scoring
+key, one row a key; the bound is a parameter). Only their sparse vectors reach the driver. Scoring
 is one pass over all whole texts with no shuffle. Null and empty texts have all-zero
-statistics and are scored like any other. Without labelled rows every score is 0.5.
+statistics and are scored like any other. Without labelled rows every score is 0.5. Repeated rows
+and null keys are scored like others; a key with both labels counts as 1; other columns are
+left out of scores and kept by `keep_good`; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -221,12 +223,20 @@ def train_quality(
 
     kind = docs.schema[key].dataType.simpleString()
     # At most `most_rows` keys with their labels, so the side that is broadcast is bounded.
+    chosen = F.broadcast(chosen)
+    metas = [f"__meta{i}" for i in range(len(metadata))]
     rows = docs.select(
         F.col(key).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"),
-        *[F.col(m).cast("double").alias(f"__meta{i}") for i, m in enumerate(metadata)],
-    ).join(F.broadcast(chosen), "__key")
-    rows = rows.select("__key", "__text", "__label", *[f"__meta{i}" for i in range(len(metadata))])
+        *[F.col(m).cast("double").alias(name) for m, name in zip(metadata, metas)],
+    ).join(chosen, "__key")
+    # Of rows that share a key the one with the least hash stays: a key is a row. Hashes travel, texts do not.
+    hashed = rows.withColumn("__hash", F.xxhash64("__text", *metas))
+    least = hashed.groupBy("__key").agg(F.min("__hash").alias("__hash"))
+    rows = hashed.join(F.broadcast(least), ["__key", "__hash"])
+    rows = rows.select("__key", "__text", "__label", *metas)
     got = rows.mapInArrow(extract, f"key {kind}, label int, at array<int>, words int")
+    # Rows that are wholly the same are one.
+    got = got.groupBy("key", "label").agg(F.min(F.struct("at", "words")).alias("v")).select("key", "label", "v.at", "v.words")
     sample = sorted(((str(r["key"]), list(r["at"]), r["label"], r["words"]) for r in got.toLocalIterator()))
     vectors = []
     for _, at, _, n in sample:

@@ -111,6 +111,17 @@ def test_quality_of_awkward_rows(spark, awkward, no_docs):
     assert quality.score_quality(no_docs, machine).count() == 0
 
 
+def test_one_training_row_for_each_key(spark, monkeypatch):
+    rows = [(1, f"text number {i % 50}") for i in range(2_000)] + [(i, "other words") for i in range(2, 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 200)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels, size: seen.append(len(rows)))
+    quality.train_quality(docs, labels, most_rows=100)
+    quality.train_quality(docs, labels)
+    assert seen == [100, 199]
+
+
 # --- URL rules ----------------------------------------------------------------
 
 
@@ -118,21 +129,39 @@ def test_url_verdicts(spark):
     urls = [
         "http://A.Example.ORG/x", "https://example.org/es/1", "http://sub.example.org/en/12?q", "http://example.com/de/", "ftp://x.com/fr/a#b",
         "http://example.com?x", "no scheme", None, "http://casino-win.example.net/en/", "http://occasino.net/", "://h/p", "http://notexample.org.net/",
-        "http://example.org:80/es/", "http://casino-win.example.org/en/9",
+        "http://example.org:80/es/", "http://casino-win.example.org/en/9", "http://example.org?u=http://b.com/c",
+        "https://example.org#x://y/es/", "http://example.org/" + "long/" * 20_000, "http://a.example.org/x\n/y",
     ]
     df = spark.createDataFrame([(i, u, "z") for i, u in enumerate(urls)], "page_id long, url string, host string")
-    got = {r["page_id"]: r for r in url_rules.judge_urls(df, url_rules.DOMAIN_RULES + url_rules.PATTERN_RULES).collect()}
+    df = df.union(df.where("page_id < 3"))
+    rules = url_rules.DOMAIN_RULES + url_rules.PATTERN_RULES
+    assert len(rules) > 200
+    rows = url_rules.judge_urls(df, rules).collect()
+    assert len(rows) == len(urls) + 3
+    got = {r["page_id"]: r for r in rows}
+    joined = url_rules.judge_urls(df, url_rules.rules_table(spark, rules)).collect()
+    assert sorted(map(str, joined)) == sorted(map(str, rows))
+    assert {r["verdict"] for r in url_rules.judge_urls(df, []).collect()} == {"allow"}
     want = [
         ("a.example.org", "/x", "org/", "allow"), ("example.org", "/es/1", "example.org/es/", "block"),
         ("sub.example.org", "/en/12", "example.org/en/1", "block"), ("example.com", "/de/", "com/de/", "block"),
         ("x.com", "/fr/a", "com/fr/", "allow"), ("example.com", "", None, "allow"), ("", "", None, "allow"), ("", "", None, "allow"),
         ("casino-win.example.net", "/en/", None, "block"), ("occasino.net", "/", None, "allow"), ("h", "/p", None, "allow"),
         ("notexample.org.net", "/", None, "allow"), ("example.org:80", "/es/", None, "allow"), ("casino-win.example.org", "/en/9", "org/", "allow"),
+        ("example.org", "", None, "allow"), ("example.org", "", None, "allow"), ("example.org", "/" + "long/" * 20_000, "org/", "allow"),
+        ("a.example.org", "/x\n/y", "org/", "allow"),
     ]
     assert [(got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) for i in range(len(urls))] == want
     assert url_rules.judge_urls(df.limit(0), url_rules.DOMAIN_RULES).count() == 0
 
 
+def test_more_rules_than_a_plan_holds(spark):
+    rules = [url_rules.domain_rule(f"h{i}.net/", ("allow", "block")[i % 2]) for i in range(url_rules.MOST_RULES + 1)]
+    df = spark.createDataFrame([(i, f"http://www.h{i}.net/x") for i in (3, 4, 5_000, 9_999)], "page_id long, url string")
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in url_rules.judge_urls(df, rules).collect()}
+    assert got == {3: ("h3.net/", "block"), 4: ("h4.net/", "allow"), 5000: ("h5000.net/", "allow"), 9999: (None, "allow")}
+
+
 def test_rules_are_filed_under_their_rarest_token():
     rules = [url_rules.domain_rule("example.org/es/", "block")]
     assert url_rules.file_rules(rules, {"example": 90, "org": 30, "es": 4}) == {"es": [0]}

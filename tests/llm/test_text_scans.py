@@ -1,10 +1,11 @@
 import hashlib
+import random
 import re
 
 import numpy as np
 import pytest
 
-from nearfold.llm import license_scan, pii, secret_scan
+from nearfold.llm import license_scan, pii, secret_samples, secret_scan
 from nearfold.llm.license_rules import RULES, keyword, parse
 
 
@@ -76,6 +77,55 @@ def test_random_strings_stand_out(spark):
     assert secret_scan.secret_spans("identifiers_like_this_one_about_many_things", ratios) == []
 
 
+def plain_judgement(candidate, ratios):
+    """The same sums, one step at a time, over probabilities looked up by character."""
+    place = {c: i for i, c in enumerate(secret_scan.ALPHABET)}
+    best = max(sum(r[place[a]][place[b]] for a, b in zip(candidate, candidate[1:])) for r in ratios)
+    return best, best / (len(candidate) - 1)
+
+
+# Words that the models' own sample lacks.
+HELD_OUT = (
+    "account balance chart driver engine filter gateway history icon journal kernel layout matrix network offset pixel query router "
+    "schema token union vector widget yield zone apple bridge copper dragon eagle forest garden harbor island jacket kitchen ladder"
+).split()
+
+
+@pytest.mark.parametrize("corpus", ["none", "a sentence", "documents"])
+def test_held_out_strings(spark, corpus):
+    texts = {
+        "none": [], "a sentence": ["ordinary words that people write in long texts"] * 50,
+        "documents": [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()],
+    }[corpus]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ratios = secret_scan.train(docs)
+    ordinary = [x for x in secret_samples.identifiers(HELD_OUT, 2400, 99) if secret_scan.CANDIDATE.fullmatch(x)]
+    random_ones = [x for a in secret_samples.ALPHABETS.values() for n in (20, 32, 64) for x in secret_samples.random_sample(a, 100, n, 123)]
+    is_found = lambda x: bool(secret_scan.secret_spans(x, ratios))
+    true, false = sum(map(is_found, random_ones)), sum(map(is_found, ordinary))
+    assert len(ordinary) > 1500
+    assert true / len(random_ones) >= 0.99 and true / (true + false) >= 0.97
+    plain = ["getElementByIdAndClassName", "https/www_example_com_path_index", *(r * 2 for r in secret_samples.RUNS), "=" * 40, secret_scan.ALPHABET]
+    assert not any(map(is_found, plain))
+    for x in ordinary[:200] + random_ones[:200]:
+        assert np.allclose(secret_scan.judged(x, ratios), plain_judgement(x, ratios))
+
+
+def test_spans_equal_plain_version(spark):
+    """Every run of candidate characters that no known form touches, judged step by step."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    ratios = secret_scan.train(docs)
+    for r in secret_scan.find_secrets(docs, ratios).join(docs, "doc_id").collect():
+        text = r["text"] or ""
+        known = [(a, b) for _, a, b, _ in secret_scan.base_matches(text)]
+        want = []
+        for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+            total, mean = plain_judgement(m[0], ratios)
+            if total >= 12 and mean >= 0.6 and not any(a < m.end() and m.start() < b for a, b in known):
+                want.append((m.start(), m.end()))
+        assert [(s["start"], s["end"]) for s in r["spans"] if s["kind"] == "random"] == want
+
+
 def test_secrets_of_awkward_rows(awkward, no_docs):
     assert {len(r["spans"]) for r in secret_scan.find_secrets(awkward).collect()} == {0}
     assert secret_scan.find_secrets(no_docs).count() == 0
@@ -112,6 +162,36 @@ def test_licenses(spark):
     assert got[7]["labels"] == "cc-by-nc"
 
 
+def test_specific_licenses_before_generic_ones(spark):
+    got = scan(spark, [
+        "released under the isc license", "the boost software license", "released under the GNU Lesser General Public License",
+        "released under the very own license", "released under the foo license or the isc license",
+    ])
+    assert got[0]["labels"] == "isc" and got[2]["labels"] == "gpl,lgpl"
+    assert got[1]["labels"] not in ("", "generic")
+    assert got[3]["labels"] == "generic"
+    assert got[4]["labels"] == "isc"
+
+
+def test_spans_are_resolved_as_in_the_plain_version(spark):
+    """Every span against every other, on texts made of the rules' own words."""
+    draw = random.Random(6)
+    plain = [r for r in RULES if not set("(?.[") & set(r.pattern)]
+    texts = [" ".join(" ".join(draw.choice(plain).pattern.split()[draw.randrange(3):][: draw.randrange(3, 9)]) for _ in range(6)) for _ in range(60)]
+    for i, r in scan(spark, texts).items():
+        words, spans = texts[i].split(), []
+        wide = " " + "  ".join(words) + " "
+        starts = np.cumsum([0, *(len(w) + 2 for w in words)]).tolist()
+        for rule in RULES:
+            for m in re.finditer(rule.pattern, wide):
+                spans.append((starts.index(m.start()), starts.index(m.end()), rule.priority, rule.number, rule.label))
+        bare = [o for o in spans if not any(x[2] < o[2] and o[0] <= x[0] and x[1] <= o[1] for x in spans)]
+        kept = [x for x in bare if not any(
+            o[0] <= x[0] and x[1] <= o[1] and o[2] <= x[2] and (o[:2] != x[:2] or o[2:4] < x[2:4]) for o in bare)]
+        want = sorted((s, e, number, label) for s, e, _, number, label in kept)
+        assert sorted((x["start"], x["end"], x["rule"], x["label"]) for x in r["spans"]) == want
+
+
 def test_licenses_of_awkward_rows(awkward, no_docs):
     rows = license_scan.scan_licenses(awkward).collect()
     assert len(rows) == 12 and max(r["n_words"] for r in rows) == 60_000
