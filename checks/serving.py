@@ -59,38 +59,73 @@ def assemble_records(spark, sf):
     )
 
 
-@query(
-    "hydrate_batch",
-    f"""WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {SHOWN},
+HYDRATED = f"""WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {SHOWN},
     asked AS (SELECT CAST(movie_id AS VARCHAR) AS request, list_concat(
       list(CAST(neighbour_id AS VARCHAR) ORDER BY rank), ['none', CAST(movie_id AS VARCHAR), CAST(movie_id AS VARCHAR)]) AS ids
       FROM dense_edges GROUP BY movie_id),
     wanted AS (SELECT request, unnest(ids) AS movie_id, generate_subscripts(ids, 1) - 1 AS pos FROM asked)
-    SELECT request, CAST(pos AS INTEGER) AS pos, movie_id, title, year FROM wanted JOIN shown ON id = movie_id""",
-)
-def hydrate_batch(spark, sf):
+    SELECT request, CAST(pos AS INTEGER) AS pos, movie_id, title, year FROM wanted JOIN shown ON id = movie_id"""
+
+
+def neighbour_requests(spark, sf):
     """Neighbour lists with an unknown id and a repeated one at the end."""
     edges = dense_edges(spark, sf)
     own = F.col("movie_id").cast("string")
     listed = F.array_sort(F.collect_list(F.struct("rank", F.col("neighbour_id").cast("string").alias("id"))))
-    requests = edges.groupBy("movie_id").agg(listed.alias("l")).select(
+    return edges.groupBy("movie_id").agg(listed.alias("l")).select(
         own.alias("request"), F.concat("l.id", F.array(F.lit("none"), own, own)).alias("ids")
     )
+
+
+@query("hydrate_batch", HYDRATED)
+def hydrate_batch(spark, sf):
     records = R.display_columns(A.vector_films(spark, sf)).drop("key")
-    return R.hydrate_batch(requests, records).select("request", "pos", "movie_id", "title", "year")
+    found = R.hydrate_batch(neighbour_requests(spark, sf), records)
+    return found.select("request", "pos", "movie_id", "title", "year")
 
 
-@query(
-    "similar_lookup",
-    f"""WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {SHOWN}, asked AS (SELECT DISTINCT doc_id FROM labels)
+def served_in_loads(spark, records, bucket_rows=200):
+    """The records as a served table that two loads made: first all without titles, then every third as it is."""
+    from nearfold.sources.served import ServedTable
+
+    served = ServedTable(spark, scratch_path(spark, "served"), bucket_rows=bucket_rows)
+    later = F.pmod(F.xxhash64(F.lit(3), "movie_id"), F.lit(3)) == 0
+    served.load(records.withColumn("title", F.when(~later, F.col("title"))), "first")
+    served.load(records.where(later), "second")
+    return served
+
+
+@query("served_hydrate", HYDRATED)
+def served_hydrate(spark, sf):
+    """The same requests from a served table of two loads."""
+    records = R.display_columns(A.vector_films(spark, sf)).drop("key")
+    found = R.served_hydrate(neighbour_requests(spark, sf), served_in_loads(spark, records))
+    return found.select("request", "pos", "movie_id", "title", "year")
+
+
+LOOKED_UP = f"""WITH {S.FILM_EDGES}, {S.VECTOR_FILMS}, {SHOWN}, asked AS (SELECT DISTINCT doc_id FROM labels)
     SELECT CAST(movie_id AS VARCHAR) AS query_id, rank, id, title, year, rating, coalesce(genres, '') AS genres,
       CAST(CAST(round(score, 4) AS DECIMAL(5, 4)) AS VARCHAR) AS score
-    FROM dense_edges JOIN shown ON key = neighbour_id WHERE rank <= 6 AND movie_id IN (SELECT doc_id FROM asked)""",
-)
+    FROM dense_edges JOIN shown ON key = neighbour_id WHERE rank <= 6 AND movie_id IN (SELECT doc_id FROM asked)"""
+
+
+@query("similar_lookup", LOOKED_UP)
 def similar_lookup(spark, sf):
     """Neighbours of every labelled film; ids without a record give nothing."""
-    asked = A.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("movie_id"))
-    found = R.similar_lookup(asked, vector_records(spark, sf), "dense", 6)
+    return shown(R.similar_lookup(labelled(spark, sf), vector_records(spark, sf), "dense", 6))
+
+
+@query("served_similar", LOOKED_UP)
+def served_similar(spark, sf):
+    """The same from a served table of two loads."""
+    return shown(R.served_similar(labelled(spark, sf), served_in_loads(spark, vector_records(spark, sf)), "dense", 6))
+
+
+def labelled(spark, sf):
+    return A.table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("movie_id"))
+
+
+def shown(found):
     return found.select(
         "query_id",
         "rank",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from nearfold.functions import values as V
 from nearfold.functions.labels import genre_list
-from nearfold.scale import skewed_join
+from nearfold.scale import skewed_join, stable
 
 MAX_RESULTS = 20
 
@@ -155,17 +155,18 @@ def missing_ids(requests: DataFrame, records: DataFrame) -> DataFrame:
     return asked.join(records.select("movie_id"), "movie_id", "left_anti")
 
 
-def similar_lookup(asked: DataFrame, records: DataFrame, method: str, n: int = 10) -> DataFrame:
-    """Display fields and score of each asked film's first n neighbours (1..20).
-
-    `asked` is (movie_id); films without a record give no rows.
-    """
+def listed_neighbours(asked: DataFrame, records: DataFrame, method: str, n: int = 10) -> DataFrame:
+    """(query_id, pos, id, score): the first n (1..20) of each asked film's list."""
     n = max(1, min(MAX_RESULTS, n))
     lists = records.join(asked.select("movie_id").distinct(), "movie_id", "left_semi").select(
         F.col("movie_id").alias("query_id"),
         F.posexplode(F.slice(f"similar_{method}", 1, n)).alias("pos", "e"),
     )
-    wanted = lists.select("query_id", "pos", F.col("e.id").alias("id"), F.col("e.score").alias("score"))
+    return lists.select("query_id", "pos", F.col("e.id").alias("id"), F.col("e.score").alias("score"))
+
+
+def shown_neighbours(wanted: DataFrame, records: DataFrame) -> DataFrame:
+    """Listed neighbours with their display fields."""
     # Only records that are listed leave the table.
     listed = records.join(wanted.select(F.col("id").alias("movie_id")).distinct(), "movie_id", "left_semi")
     shown = display_projection(listed)
@@ -175,6 +176,26 @@ def similar_lookup(asked: DataFrame, records: DataFrame, method: str, n: int = 1
     )
 
 
+def similar_lookup(asked: DataFrame, records: DataFrame, method: str, n: int = 10) -> DataFrame:
+    """Display fields and score of each asked film's first n neighbours (1..20).
+
+    `asked` is (movie_id); films without a record give no rows.
+    """
+    return shown_neighbours(listed_neighbours(asked, records, method, n), records)
+
+
+def served_hydrate(requests: DataFrame, served) -> DataFrame:
+    """`hydrate_batch` on a served table; only the buckets of the asked ids are read."""
+    asked = requests.select(F.explode("ids").alias("movie_id"))
+    return hydrate_batch(requests, served.near(asked))
+
+
+def served_similar(asked: DataFrame, served, method: str, n: int = 10) -> DataFrame:
+    """`similar_lookup` on a served table; lists, then what they name, from their buckets alone."""
+    wanted = stable(listed_neighbours(asked, served.near(asked), method, n))
+    return shown_neighbours(wanted, served.near(wanted.select(F.col("id").alias("movie_id"))))
+
+
 def keyed_upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """All rows of `new`, and rows of `old` whose key is not among them."""
     return new.unionByName(old.join(new.select(key), key, "left_anti"))

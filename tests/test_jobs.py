@@ -48,7 +48,7 @@ def test_publish_then_roll_back(spark, words, store):
     assert set(got) == {"tfidf", "word2vec", "random"}
     assert got["tfidf"].artifact_mb > 0 and got["random"].artifact_mb is None
     assert store.pointer() == ("2026-01-01", "tfidf")
-    served = store.read("served", "2026-01-01")
+    served = store.served().read()
     assert served.count() == 12
     assert served.select(F.size("similar_tfidf"), F.size("similar_word2vec")).distinct().collect() == [(3, 3)]
     names = {r.name for r in store.read("quality", "2026-01-01").collect()}
@@ -58,17 +58,17 @@ def test_publish_then_roll_back(spark, words, store):
     # A later run with one more film; the earlier records it lacks stay served.
     publish_run(films(spark, 13, 1), words, store, "2026-01-08", SETTINGS, [])
     assert store.pointer()[0] == "2026-01-08"
-    assert store.read("served", "2026-01-08").count() == 14
+    assert store.served().read().count() == 14
 
     dry = rollback_run(store, "2026-01-01", SETTINGS, dry_run=True).first()
     assert (dry.run_date, dry.records, dry.write_units) == ("2026-01-01", 12, 12)
     assert store.pointer()[0] == "2026-01-08"
     rollback_run(store, "2026-01-01", SETTINGS)
     assert store.pointer()[0] == "2026-01-01"
-    assert store.read("served", "2026-01-01").count() == 14
+    assert store.served().read().count() == 14
     # Publishing the served date again replaces it.
     publish_run(films(spark, 13, 0), words, store, "2026-01-01", SETTINGS, [])
-    assert store.read("served", "2026-01-01").count() == 14
+    assert store.served().read().count() == 14
 
     rows, summary = score_existing_run(store.read("catalog", "2026-01-08"), store, 3, SETTINGS["eval"])
     assert rows.count() == 3 and summary.first().n_queries == 5
