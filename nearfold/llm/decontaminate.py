@@ -2,13 +2,16 @@
 
 Index. Test items are cut into units of at most UNIT words, and units with the same common words are put side by side. A term's contribution to a unit is
 its BM25 weight over the unit's own score, so a passage that holds all of a unit's
-terms scores 1 and one threshold serves all. Units are put in blocks of BLOCK; for each term and
-block the index keeps the largest contribution, and within a block each unit's.
+terms scores 1 and one threshold serves all. Units are put in blocks of BLOCK. A term has a list of the blocks that
+hold it, with its largest contribution in each, and behind each block its contributions to the units; its largest contribution
+of all is known too. All are flat arrays over what occurs, so an index takes some 40 bytes for each word of the items.
 
 Search, block-max WAND over many passages at once. Passages are 2 * UNIT words, one from every
-UNIT words on, so each run of UNIT words is whole in one. The sum of the block maxima
-of a passage's terms bounds the score of all units in the block; blocks under the threshold are
-skipped, in the others every unit is scored. All units that reach the threshold are retrieved.
+UNIT words on, so each run of UNIT words is whole in one. A passage's terms are put in the order of their largest contributions; those before the pivot, where
+their sum reaches the threshold, cannot lift a unit over it by themselves. Only blocks in the lists from the pivot on are met; a
+block goes on if its maxima and all that lies before the pivot could reach the threshold, the lists before the pivot are
+opened for passages that have such blocks, and where the sum of the block's maxima still reaches it, the units are scored. All
+units that reach the threshold are retrieved. Passages go in strips of bounded numbers of list entries and sums.
 
 Check. An item's answer is given in a column of its own, or is its last sentence (with one
 sentence: its last third). A hit stands when the passage and its surroundings hold enough of the word
@@ -16,12 +19,14 @@ triples of both question and answer.
 
 Documents are read once and not shuffled. The index is collected only behind a check of its size: above
 MOST_INDEX bytes of item text it is built and applied in several parts. BM25 counts (documents, frequencies, mean
-length) are over all units. Null and empty texts and items match nothing. Equal items are all reported.
+length) are over all units. Null and empty texts and items match nothing. Equal items are all reported, also
+those without an id. Ids of documents and items may be of any simple type; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -31,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from nearfold.llm.common import portions, received, send, ship
 from nearfold.scale import stable
@@ -44,6 +50,10 @@ OVERLAP = 0.6
 TRIPLE = 3
 # Bytes of item text in one part of the index.
 MOST_INDEX = 8_000_000
+# List entries, and sums of a passage and a block, that a strip of passages may take.
+MOST_ENTRIES = 2_000_000
+# Sums of rounded maxima may lie this much too low.
+SLACK = 1e-4
 
 WORD = re.compile(r"[^\W_]+")
 SENTENCE = re.compile(r"[^.!?\n]+")
@@ -73,14 +83,30 @@ def triples(words: list[str]) -> set[tuple]:
     return set(zip(*(words[i:] for i in range(n))))
 
 
+def spans(starts: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the lists with these numbers one after the other, and the size of each."""
+    sizes = starts[numbers + 1] - starts[numbers]
+    ends = np.cumsum(sizes)
+    return np.repeat(starts[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+
+
 @dataclass
 class Index:
-    """One part: terms are numbered; `bounds` is terms x blocks, `weights` terms x units."""
+    """One part. Terms are numbered by `tops`, their largest contributions.
+
+    Term t's list is at lists[t] to lists[t + 1] of `blocks` and `maxima`; what the list's entry e holds
+    for single units is at inner[e] to inner[e + 1] of `units` and `weights`.
+    """
 
     terms: dict[str, int]
-    bounds: np.ndarray
-    weights: list[dict[int, np.ndarray]]
-    units: list[int]
+    tops: np.ndarray
+    lists: np.ndarray
+    blocks: np.ndarray
+    maxima: np.ndarray
+    inner: np.ndarray
+    units: np.ndarray
+    weights: np.ndarray
+    owners: list[int]
     items: list[tuple]
 
     @classmethod
@@ -96,27 +122,43 @@ class Index:
         # Units of one language share their most common words; in blocks of like units maxima are tight.
         common = [sorted(u, key=lambda t: (-frequencies[t], t))[:3] for u in units]
         order = sorted(range(len(units)), key=lambda u: (common[u], u))
-        units, owners = [units[u] for u in order], [owners[u] for u in order]
-        terms = {t: k for k, t in enumerate(sorted({t for u in units for t in u}))}
-        n_blocks = -(-len(units) // BLOCK)
-        bounds = np.zeros((len(terms), n_blocks), np.float32)
-        weights: list[dict[int, np.ndarray]] = [{} for _ in range(n_blocks)]
-        for u, counts in enumerate(units):
-            size = K1 * (1 - B + B * sum(counts.values()) / mean)
-            share = {t: _idf(frequencies[t], n_units) * f * (K1 + 1) / (f + size) for t, f in counts.items()}
+        names = {t: k for k, t in enumerate(sorted({t for u in units for t in u}))}
+        term, weight = array("q"), array("d")
+        for u in order:
+            size = K1 * (1 - B + B * sum(units[u].values()) / mean)
+            share = {t: _idf(frequencies[t], n_units) * f * (K1 + 1) / (f + size) for t, f in units[u].items()}
             whole = sum(share.values())
-            for t, s in share.items():
-                row = weights[u // BLOCK].setdefault(terms[t], np.zeros(BLOCK))
-                row[u % BLOCK] = s / whole
-                bounds[terms[t], u // BLOCK] = max(bounds[terms[t], u // BLOCK], s / whole)
-        return cls(terms, bounds, weights, owners, items)
+            term.extend(names[t] for t in share)
+            weight.extend(s / whole for s in share.values())
+        term, weight = np.array(term, np.int64), np.array(weight, np.float64)
+        unit = np.repeat(np.arange(len(order)), [len(units[u]) for u in order])
+        tops = np.zeros(len(names))
+        np.maximum.at(tops, term, weight)
+        by_top = np.argsort(tops, kind="stable")
+        number = np.empty_like(by_top)
+        number[by_top] = np.arange(len(by_top))
+        placed = np.lexsort((unit, number[term]))
+        term, unit, weight = number[term][placed], unit[placed], weight[placed]
+        block = unit // BLOCK
+        entry = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (block[1:] != block[:-1])))
+        return cls(
+            {t: int(number[k]) for t, k in names.items()},
+            tops[by_top],
+            np.searchsorted(term[entry], np.arange(len(names) + 1)),
+            block[entry].astype(np.int32),
+            np.maximum.reduceat(weight, entry).astype(np.float32),
+            np.append(entry, len(term)).astype(np.int64),
+            unit.astype(np.int32),
+            weight,
+            [owners[u] for u in order],
+            items,
+        )
 
     def search(self, numbers: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
         """(passage, unit, score) of all that reach the threshold; -1 is a word of no item."""
         known = np.flatnonzero(numbers >= 0)
         if not len(known):
             return
-        halves = (len(numbers) - 1) // UNIT + 1
         size = len(self.terms)
         # A word is in the passage that begins with its half and in the one before; each term once for each passage.
         half, held_by = known // UNIT, numbers[known]
@@ -124,19 +166,50 @@ class Index:
         pairs.sort()
         pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
         passage, term = pairs // size, pairs % size
-        sums = np.zeros((halves, self.bounds.shape[1]), np.float32)
-        first = np.flatnonzero(np.append(True, passage[1:] != passage[:-1]))
-        sums[passage[first]] = np.add.reduceat(self.bounds[term], first, axis=0)
-        # A little less than the threshold: the bounds are rounded.
-        passages, blocks = np.nonzero(sums >= threshold - 1e-4)
-        if not len(passages):
+        starts = np.append(np.flatnonzero(np.append(True, passage[1:] != passage[:-1])), len(passage))
+        # Terms ascend by their largest contribution, so a running sum finds the pivot.
+        reach = np.append(0.0, np.cumsum(self.tops[term]))
+        past = reach[1:] - np.repeat(reach[starts[:-1]], np.diff(starts)) >= threshold - SLACK
+        n_blocks = -(-len(self.owners) // BLOCK)
+        work = np.append(0, np.cumsum(self.lists[term + 1] - self.lists[term]))[starts]
+        at, last = 0, len(starts) - 1
+        while at < last:
+            by_work = int(np.searchsorted(work, work[at] + MOST_ENTRIES, "right")) - 1
+            end = min(last, max(at + 1, min(by_work, at + MOST_ENTRIES // n_blocks)))
+            mine = slice(starts[at], starts[end])
+            sizes = np.diff(starts[at : end + 1])
+            for p, unit, score in self._strip(term[mine], past[mine], sizes, n_blocks, threshold):
+                yield int(passage[starts[at + p]]), unit, score
+            at = end
+
+    def _strip(self, term: np.ndarray, past: np.ndarray, sizes: np.ndarray, n_blocks: int, threshold: float):
+        """Hits of some passages, whose terms follow one another; `past` tells those from the pivot on."""
+        if not past.any():
+            return
+        n, owner = len(sizes), np.repeat(np.arange(len(sizes)), sizes)
+
+        def sums(chosen: np.ndarray) -> np.ndarray:
+            entries, lengths = spans(self.lists, term[chosen])
+            at = np.repeat(owner[chosen] * n_blocks, lengths) + self.blocks[entries]
+            return np.bincount(at, self.maxima[entries], n * n_blocks).reshape(n, n_blocks)
+
+        found = sums(past)
+        before = np.bincount(owner[~past], self.tops[term[~past]], n)
+        live = (found > 0) & (found + before[:, None] >= threshold - SLACK)
+        going = live.any(axis=1)
+        if not going.any():
             return
-        starts = np.searchsorted(passage, np.arange(halves + 1))
-        for p, b in zip(passages.tolist(), blocks.tolist()):
-            rows = self.weights[b]
-            scores = sum((rows[t] for t in term[starts[p] : starts[p + 1]].tolist() if t in rows), np.zeros(BLOCK))
+        early = ~past & going[owner]
+        if early.any():
+            live &= found + sums(early) >= threshold - SLACK
+        ends = np.cumsum(sizes)
+        for p in np.flatnonzero(live.any(axis=1)).tolist():
+            entries, _ = spans(self.lists, term[ends[p] - sizes[p] : ends[p]])
+            inside, _ = spans(self.inner, entries[live[p, self.blocks[entries]]])
+            units, at = np.unique(self.units[inside], return_inverse=True)
+            scores = np.bincount(at, self.weights[inside])
             for k in np.flatnonzero(scores >= threshold - 1e-9).tolist():
-                yield p, b * BLOCK + k, float(scores[k])
+                yield p, int(units[k]), float(scores[k])
 
 
 def _idf(frequency: int, n: int) -> float:
@@ -152,7 +225,7 @@ def hits_of(index: Index, text: str, threshold: float, overlap: float) -> list[d
     numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
     best: dict[int, dict] = {}
     for p, u, score in index.search(numbers, threshold):
-        i = index.units[u]
+        i = index.owners[u]
         if i in best and best[i]["score"] >= score:
             continue
         name, item, answer = index.items[i]
@@ -177,9 +250,9 @@ def hits_of(index: Index, text: str, threshold: float, overlap: float) -> list[d
 def indexes(items: DataFrame, item: str = "item_id", text: str = "text", answer: str | None = None, most: int = MOST_INDEX) -> Iterator[Index]:
     """The index, in as many parts as its size asks for; the counts behind it are over all items."""
     given = items.select(
-        F.col(item).cast("long").alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.col(item).alias("item"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         (F.col(answer).cast("string") if answer else F.lit(None).cast("string")).alias("answer"),
-    ).where(F.col("item").isNotNull())
+    )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,18 +287,12 @@ def indexes(items: DataFrame, item: str = "item_id", text: str = "text", answer:
         mine = given.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == k).orderBy("item", "text")
         rows = [(r["item"], r["text"], r["answer"]) for r in mine.collect()]  # bounded by `most`
         terms = {t for _, x, a in rows for t in words_of(x) + words_of(a or "")}
-        known = counted.where("term <> ''").select("term", "units").toLocalIterator()
-        frequencies = {r["term"]: r["units"] for r in known if r["term"] in terms}
         if terms:
+            asked = items.sparkSession.createDataFrame(pa.table({"term": sorted(terms)}))
+            frequencies = {r["term"]: r["units"] for r in counted.join(asked, "term").collect()}
             yield Index.build(rows, frequencies, whole["units"], whole["words"] / whole["units"])
 
 
-HIT = pa.struct(
-    [("item", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()),
-     ("answer_overlap", pa.float64()), ("first_word", pa.int64())]
-)
-
-
 def find_leaks(
     docs: DataFrame,
     items: DataFrame,
@@ -237,10 +304,14 @@ def find_leaks(
     most_index: int = MOST_INDEX,
 ) -> DataFrame:
     """A row for each document and test item it holds: doc_id, item_id, score, overlaps, first_word."""
-    spark = docs.sparkSession
+    spark, named = docs.sparkSession, items.schema["item_id"].dataType
+    hit = pa.struct(
+        [("item", to_arrow_type(named)), ("score", pa.float64()), ("question_overlap", pa.float64()),
+         ("answer_overlap", pa.float64()), ("first_word", pa.int64())]
+    )
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
+    schema = f"doc_id {kind}, item_id {named.simpleString()}, score double, question_overlap double, answer_overlap double, first_word long"
     found = spark.createDataFrame([], schema)
     for index in indexes(items, answer=answer, most=most_index):
         sent = send(spark, index)
@@ -253,7 +324,7 @@ def find_leaks(
                     mine = hits_of(index, t, threshold, overlap)
                     hits += mine
                     at += [i] * len(mine)
-                flat = pa.array(hits, HIT).flatten()
+                flat = pa.array(hits, hit).flatten()
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).take(pa.array(at, pa.int64())), *flat],
                     names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap", "first_word"],

@@ -1,4 +1,5 @@
 import random
+import sys
 from collections import Counter
 
 import numpy as np
@@ -232,6 +233,43 @@ def test_leaks_are_found_and_nothing_else(spark, leaky, most):
     assert {r["doc_id"] for r in kept.collect()} == set(flat) - {d for d, _ in want}
 
 
+@pytest.mark.parametrize("most", [2_000_000, 200])
+def test_strips_of_passages_change_nothing(leaky, monkeypatch, most):
+    docs, items = leaky
+    known = [(i, t, None) for i, t in items if t]
+    frequencies = Counter(w for _, t, _ in known for w in dc.words_of(t))
+    index = dc.Index.build(known, frequencies, len(known), 40.0)
+    words = [w for _, t in docs for w in dc.words_of(t)]
+    numbers = np.array([index.terms.get(w, -1) for w in words], np.int64)
+    whole = list(index.search(numbers, 0.4))
+    monkeypatch.setattr(dc, "MOST_ENTRIES", most)
+    assert list(index.search(numbers, 0.4)) == whole and whole
+
+
+def test_an_index_grows_with_its_text_only():
+    rng = random.Random(3)
+    vocabulary = [f"word{i}" for i in range(150_000)]
+    cuts = [int(150_000 * rng.random() ** 3) for _ in range(1_000_000)]
+    items = [(i, " ".join(vocabulary[c] for c in cuts[i * 500 : i * 500 + 500]), None) for i in range(2000)]
+    assert sum(len(t) for _, t, _ in items) > 8_000_000
+    index = dc.Index.build(items, Counter(vocabulary[c] for c in cuts), 1_000_000, 62.5)
+    arrays = [v for v in vars(index).values() if isinstance(v, np.ndarray)]
+    names = sum(map(sys.getsizeof, index.terms)) + sys.getsizeof(index.terms)
+    assert sum(a.nbytes for a in arrays) + names + sys.getsizeof(index.owners) < 100_000_000
+    numbers = np.array([index.terms[w] for w in dc.words_of(items[7][1])])
+    assert {index.owners[u] for _, u, s in index.search(numbers, 0.95)} == {7}
+
+
+def test_leaks_with_ids_of_text_and_without_ids(spark):
+    passage = "the quick brown fox jumps over the lazy dog. and it lands on soft ground"
+    docs = spark.createDataFrame([("a", f"first {passage} last"), (None, passage), ("c", "nothing of it")], "doc_id string, text string")
+    tests = spark.createDataFrame([("q1", passage), (None, passage)], "item_id string, text string")
+    got = dc.find_leaks(docs, tests)
+    assert dict(got.dtypes)["item_id"] == "string"
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(d, i) for d in ("a", None) for i in ("q1", None)}
+    assert [r["doc_id"] for r in dc.drop_leaks(docs, tests).collect()] == ["c"]
+
+
 def test_leaks_of_awkward_rows(spark, awkward, no_docs):
     tests = spark.createDataFrame([(1, "one two three four. five six seven"), (2, "it")], "item_id long, text string")
     hits = dc.find_leaks(awkward, tests).collect()
