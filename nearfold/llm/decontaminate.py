@@ -154,15 +154,20 @@ class Index:
             items,
         )
 
-    def search(self, numbers: np.ndarray, threshold: float) -> Iterator[tuple[int, int, float]]:
-        """(passage, unit, score) of all that reach the threshold; -1 is a word of no item."""
+    def search(self, numbers: np.ndarray, threshold: float, opens: np.ndarray | None = None) -> Iterator[tuple[int, int, float]]:
+        """(passage, unit, score) of all that reach the threshold; -1 is a word of no item.
+
+        `numbers` may hold several texts, each filled up to a multiple of UNIT; `opens` then tells
+        of each UNIT words whether a text begins there.
+        """
         known = np.flatnonzero(numbers >= 0)
         if not len(known):
             return
         size = len(self.terms)
         # A word is in the passage that begins with its half and in the one before; each term once for each passage.
         half, held_by = known // UNIT, numbers[known]
-        pairs = np.concatenate([half * size + held_by, (half[half > 0] - 1) * size + held_by[half > 0]])
+        second = half > 0 if opens is None else ~opens[half]
+        pairs = np.concatenate([half * size + held_by, (half[second] - 1) * size + held_by[second]])
         pairs.sort()
         pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])]
         passage, term = pairs // size, pairs % size
@@ -216,28 +221,40 @@ def _idf(frequency: int, n: int) -> float:
     return float(np.log(1 + (n - frequency + 0.5) / (frequency + 0.5)))
 
 
-def hits_of(index: Index, text: str, threshold: float, overlap: float) -> list[dict]:
-    """Confirmed hits of one document, the best passage for each item."""
-    words = words_of(text)
-    if not words:
-        return []
+def hits_of(index: Index, texts: list[str], threshold: float, overlap: float) -> list[list[dict]]:
+    """Confirmed hits of each text, the best passage for each item."""
+    words = [words_of(t) for t in texts]
+    firsts = np.append(0, np.cumsum([-(-len(w) // UNIT) for w in words]))
+    numbers = np.full(firsts[-1] * UNIT, -1, np.int64)
     get = index.terms.get
-    numbers = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+    for at, w in zip(firsts.tolist(), words):
+        numbers[at * UNIT : at * UNIT + len(w)] = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
+    opens = np.zeros(firsts[-1], bool)
+    opens[firsts[:-1][np.diff(firsts) > 0]] = True
+    found: list[list[tuple]] = [[] for _ in texts]
+    for p, u, score in index.search(numbers, threshold, opens):
+        i = int(np.searchsorted(firsts, p, "right")) - 1
+        found[i].append((p - int(firsts[i]), u, score))
+    return [confirmed(index, w, f, overlap) if f else [] for w, f in zip(words, found)]
+
+
+def confirmed(index: Index, words: list[str], found: list[tuple], overlap: float) -> list[dict]:
+    """Of one text's (passage, unit, score) those whose question and answer are there, the best for each item."""
     best: dict[int, dict] = {}
-    for p, u, score in index.search(numbers, threshold):
+    for p, u, score in found:
         i = index.owners[u]
         if i in best and best[i]["score"] >= score:
             continue
         name, item, answer = index.items[i]
         question, reply = question_and_answer(item, answer)
         reach = len(question) + len(reply)
-        around = triples(words[max(0, p * UNIT - reach) : (p + 2) * UNIT + reach])
+        near = words[max(0, p * UNIT - reach) : (p + 2) * UNIT + reach]
+        around = triples(near)
         shares = []
         for part in (question, reply):
             wanted = triples(part)
             if 0 < len(part) < TRIPLE:
                 n = len(part)
-                near = words[max(0, p * UNIT - reach) : (p + 2) * UNIT + reach]
                 shares.append(float(any(near[k : k + n] == part for k in range(len(near)))))
             else:
                 shares.append(len(wanted & around) / len(wanted) if wanted else 1.0)
@@ -320,8 +337,7 @@ def find_leaks(
             index = received(sent)
             for batch in portions(batches):
                 at, hits = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    mine = hits_of(index, t, threshold, overlap)
+                for i, mine in enumerate(hits_of(index, batch.column(1).to_pylist(), threshold, overlap)):
                     hits += mine
                     at += [i] * len(mine)
                 flat = pa.array(hits, hit).flatten()
@@ -343,7 +359,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD,
         def keep(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = received(sent)
             for batch in portions(batches, at):
-                clean = [not hits_of(index, t or "", threshold, overlap) for t in batch.column(at).to_pylist()]
+                texts = [t or "" for t in batch.column(at).to_pylist()]
+                clean = [not hits for hits in hits_of(index, texts, threshold, overlap)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         docs = docs.mapInArrow(keep, schema)
