@@ -33,6 +33,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LEAST_BLOCKS = 16
 # Blocks that one task compares with the block it holds.
 STRIPE = 8
+# Partitions of the comparisons, at most.
+MOST_TASKS = 10_000
 # Rows of a block that are scored at a time.
 STRIP_ROWS = 256
 # Half a rounding step and floating-point noise.
@@ -55,13 +57,28 @@ def number_blocks(rows: DataFrame, order: list[str], entries, most_rows: int, mo
     return blocked, -(-total // share)
 
 
-def best_of(scores: np.ndarray, ids: np.ndarray, k: int, floor: float):
-    """Ids and scores of the k best at or above `floor`; ids ascend, so ties do too."""
-    if len(scores) > k:
-        floor = max(floor, np.partition(scores, len(scores) - k)[len(scores) - k])
-    at = np.flatnonzero((scores >= floor) & np.isfinite(scores))
-    at = at[np.argsort(-scores[at], kind="stable")[:k]]
-    return ids[at], scores[at]
+def best_of(scores: np.ndarray, ids: np.ndarray, k: int, floors: np.ndarray):
+    """Of each row of `scores` the k best at or above its floor, the smaller id first among equals.
+
+    Returns row numbers, ids, scores, and each row's floor raised to its k-th best, if it has so
+    many. `ids` ascend.
+    """
+    reached = (scores >= floors[:, None]) & np.isfinite(scores)
+    counts = np.count_nonzero(reached, axis=1)
+    raised = floors.copy()
+    full = np.flatnonzero(counts >= k)
+    if len(full):
+        inside = np.where(reached[full], scores[full], -np.inf)
+        kth = -np.partition(-inside, k - 1, axis=1)[:, k - 1]
+        raised[full] = np.maximum(floors[full], kth - 2 * SLACK)
+        reached[full] = inside >= kth[:, None]
+        # Too many only where others equal the k-th; the last of them go.
+        tied = np.count_nonzero(reached[full], axis=1) > k
+        for i, least in zip(full[tied], kth[tied]):
+            equal = np.flatnonzero(reached[i] & (scores[i] == least))
+            reached[i, equal[k - (np.count_nonzero(reached[i]) - len(equal)) :]] = False
+    rows, at = np.nonzero(reached)
+    return rows, ids[at], scores[rows, at], raised
 
 
 class Block:
@@ -101,10 +118,10 @@ class Found:
     def __init__(self):
         self.a, self.b, self.score = [], [], []
 
-    def add(self, a: int, ids: np.ndarray, scores: np.ndarray) -> None:
-        if len(ids):
-            self.a.append(np.full(len(ids), a))
-            self.b.append(ids)
+    def add(self, a: np.ndarray, b: np.ndarray, scores: np.ndarray) -> None:
+        if len(a):
+            self.a.append(a)
+            self.b.append(b)
             self.score.append(scores)
 
     def frame(self) -> pd.DataFrame:
@@ -129,11 +146,9 @@ def block_neighbours(rows: DataFrame, n_blocks: int, columns: list[str], index,
             scores = held.scores(values)
             rows = np.arange(len(scores))
             scores[rows, part.start + rows] = -np.inf
-            for i in rows:
-                others, best = best_of(scores[i], block.ids, k, lowest)
-                found.add(block.ids[part.start + i], others, best)
-                if len(best) == k:
-                    block.floors[part.start + i] = max(lowest, best[-1] - 2 * SLACK)
+            own, others, best, raised = best_of(scores, block.ids, k, block.floors[part])
+            found.add(block.ids[part][own], others, best)
+            block.floors[part] = raised
         near = found.frame()
         row = block.packed(int(pdf["block"].iloc[0]))
         row |= {f"near_{n}": near[c].to_numpy().tobytes() for n, c in (("a", "a"), ("b", "b"), ("s", "score"))}
@@ -172,15 +187,14 @@ def block_neighbours(rows: DataFrame, n_blocks: int, columns: list[str], index,
         for _, row in pdf[~home].iterrows():
             guest = Block.unpacked(row, len(names))
             scores = np.concatenate([held.scores(values) for _, values in guest.strips()])
-            for i in np.flatnonzero((scores >= guest.floors[:, None]).any(axis=1)):
-                found.add(guest.ids[i], *best_of(scores[i], mine.ids, k, guest.floors[i]))
-            turned = np.ascontiguousarray(scores.T)
-            for i in np.flatnonzero((turned >= mine.floors[:, None]).any(axis=1)):
-                others, best = best_of(turned[i], guest.ids, k, mine.floors[i])
-                found.add(mine.ids[i], others, best)
-                if len(best) == k:
-                    mine.floors[i] = max(mine.floors[i], best[-1] - 2 * SLACK)
+            own, others, best, _ = best_of(scores, mine.ids, k, guest.floors)
+            found.add(guest.ids[own], others, best)
+            own, others, best, mine.floors = best_of(np.ascontiguousarray(scores.T), guest.ids, k, mine.floors)
+            found.add(mine.ids[own], others, best)
         return found.frame()
 
-    met = holders.unionByName(guests).groupBy("holder", "stripe").applyInPandas(together, PAIR_SCHEMA)
+    # Groups weigh alike and are few: a partition for each keeps them from meeting in one by chance.
+    n_groups = sum(-(-(n_blocks - 1 - i) // STRIPE) for i in range(min(n_blocks - 1, MOST_TASKS)))
+    dealt = holders.unionByName(guests).repartition(min(4 * n_groups, MOST_TASKS), "holder", "stripe")
+    met = dealt.groupBy("holder", "stripe").applyInPandas(together, PAIR_SCHEMA)
     return near.unionByName(met)

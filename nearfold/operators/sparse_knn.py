@@ -37,7 +37,9 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 BLOCK_ROWS = 2048
 BLOCK_ENTRIES = 1_000_000
 # Terms in more than one of this many rows of a block are multiplied densely.
-HEAVY_SHARE = 8
+HEAVY_SHARE = 24
+# Products of light terms that are made at a time.
+PORTION = 2_000_000
 
 
 class BlockIndex:
@@ -51,10 +53,13 @@ class BlockIndex:
         weight = np.concatenate(weights).astype(np.float64)
         row = np.repeat(np.arange(len(ids)), sizes)
         by_term = np.argsort(flat, kind="stable")
-        self.row, self.weight = row[by_term], weight[by_term]
+        self.row, self.weight = row[by_term].astype(np.int32), weight[by_term]
         self.terms, self.start, self.count = np.unique(
             flat[by_term], return_index=True, return_counts=True
         )
+        # Where each term stands among the block's; -1 for others.
+        self.place = np.full(self.terms[-1] + 2, -1, np.int32)
+        self.place[self.terms] = np.arange(len(self.terms))
         # Terms in many rows of the block go through one dense product.
         self.heavy = np.flatnonzero(self.count * HEAVY_SHARE > len(ids))
         self.slot = np.full(len(self.terms), -1)
@@ -67,27 +72,30 @@ class BlockIndex:
     def scores(self, columns: list) -> np.ndarray:
         """Rounded scores of some query rows against every row of the block."""
         terms, weights = columns
+        flat, weight = np.concatenate(terms).astype(np.int64), np.concatenate(weights)
+        row = np.repeat(np.arange(len(terms)), [len(t) for t in terms])
+        at = self.place[np.minimum(flat, len(self.place) - 1)]
+        known = at >= 0
+        at, weight, row = at[known], weight[known], row[known]
+        slot = self.slot[at]
+        heavy = slot >= 0
         head = np.zeros((len(terms), len(self.heavy)))
-        light = []
-        for i, (t, w) in enumerate(zip(terms, weights)):
-            t, w = np.asarray(t).astype(np.int64), np.asarray(w)
-            at = np.searchsorted(self.terms, t)
-            at[at == len(self.terms)] = 0
-            found = self.terms[at] == t
-            at, w = at[found], w[found]
-            slot = self.slot[at]
-            head[i, slot[slot >= 0]] = w[slot >= 0]
-            light.append((at[slot < 0], w[slot < 0]))
+        head[row[heavy], slot[heavy]] = weight[heavy]
         out = head @ self.dense
-        for i, (at, w) in enumerate(light):
-            if len(at) == 0:
-                continue
-            count = self.count[at]
-            ends = np.cumsum(count)
-            span = np.arange(ends[-1]) + np.repeat(self.start[at] - (ends - count), count)
-            out[i] += np.bincount(
-                self.row[span], self.weight[span] * np.repeat(w, count), len(self.ids)
-            )
+        at, weight, row = at[~heavy], weight[~heavy], row[~heavy]
+        count = self.count[at]
+        ends = np.cumsum(count)
+        # Light terms in portions of bounded size.
+        first = 0
+        while first < len(at):
+            before = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, before + PORTION, "right")))
+            part = slice(first, last)
+            span = np.arange(before, ends[last - 1]) + np.repeat(self.start[at[part]] - (ends[part] - count[part]), count[part])
+            cell = np.repeat(row[part] * len(self.ids), count[part]) + self.row[span]
+            product = self.weight[span] * np.repeat(weight[part], count[part])
+            out += np.bincount(cell, product, out.size).reshape(out.shape)
+            first = last
         return np.round(out, PLACES)
 
 

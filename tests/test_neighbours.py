@@ -229,3 +229,37 @@ def test_blocks_are_bounded_and_many(spark):
         assert LEAST_BLOCKS <= len(sizes) <= n_blocks
         assert max(r["rows"] for r in sizes) <= most_rows + 1
         assert max(r["entries"] for r in sizes) <= most_entries + 50
+
+
+@pytest.mark.parametrize("k", [1, 3, 40])
+def test_best_of_rows_equals_sorting(k):
+    from nearfold.operators.blocks import best_of
+
+    rng = np.random.default_rng(k)
+    scores = rng.integers(-3, 4, (60, 40)) / 10.0
+    scores[rng.random(scores.shape) < 0.1] = -np.inf
+    scores[5], scores[6, 3], scores[7, 2] = np.nan, np.inf, np.nan
+    ids = np.sort(rng.choice(1000, 40, replace=False))
+    floors = np.where(rng.random(60) < 0.5, -np.inf, 0.1)
+    rows, others, best, raised = best_of(scores, ids, k, floors)
+    for i in range(60):
+        able = [(-s, j) for s, j in zip(scores[i], ids) if np.isfinite(s) and s >= floors[i]]
+        want = sorted(able)[:k]
+        assert sorted(zip(-best[rows == i], others[rows == i])) == want
+        assert raised[i] == (max(floors[i], -want[-1][0] - 2e-6) if len(want) == k else floors[i])
+
+
+def test_portions_of_light_terms_change_nothing(monkeypatch):
+    from nearfold.operators import sparse_knn
+
+    rng = np.random.default_rng(1)
+    terms = [np.sort(rng.choice(300, rng.integers(1, 30), replace=False)) for _ in range(90)]
+    weights = [rng.random(len(t)) for t in terms]
+    whole = np.zeros((90, 300))
+    for i, (t, w) in enumerate(zip(terms, weights)):
+        whole[i, t] = w
+    beyond = [np.append(t, 999) for t in terms], [np.append(w, 1.0) for w in weights]
+    for portion in (1, 50, 2_000_000):
+        monkeypatch.setattr(sparse_knn, "PORTION", portion)
+        index = sparse_knn.BlockIndex(np.arange(90), [terms, weights])
+        assert np.allclose(index.scores(list(beyond)), whole @ whole.T, atol=1e-6)
