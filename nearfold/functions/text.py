@@ -17,6 +17,13 @@ def collapse_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), WHITESPACE, " "))
 
 
+def collapsed_length_at_least(c: Column, n: int) -> Column:
+    """Whether `collapse_whitespace` leaves n characters. A long text mostly shows it in its head,
+    as more text never makes the result shorter; only where the head is too short the whole is read."""
+    head = F.length(collapse_whitespace(F.substring(c, 1, 4 * n))) >= n
+    return head | (F.length(collapse_whitespace(c)) >= n)
+
+
 def strip_space(c: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(c, f"^{WHITESPACE}|{WHITESPACE}$", "")
@@ -38,15 +45,17 @@ def document_text(*cleaned: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0))
+    # Possessive: nothing follows a token, so the matcher need not keep ways back.
+    return F.regexp_extract_all(F.lower(c), F.lit(TOKEN + "+"), F.lit(0))
 
 
 def drop_stop_words(tokens: Column, stop_words: list[str]) -> Column:
     """Tokens not in the list; repeats and order kept."""
     if not stop_words:
         return tokens
-    words = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-    return F.filter(tokens, lambda t: ~F.array_contains(words, t))
+    # A long list of literals becomes a hash set, looked up once for each token.
+    words = sorted(set(stop_words))
+    return F.filter(tokens, lambda t: ~t.isin(words))
 
 
 def ngrams(tokens: Column, longest: int = 2) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from nearfold.functions.text import collapse_whitespace, document_text
+from nearfold.functions.text import collapse_whitespace, collapsed_length_at_least, document_text
 from nearfold.settings import DEFAULTS
 
 DOCUMENT_FIELDS = ("title", "tagline", "overview", "genres")
@@ -25,9 +25,7 @@ def filter_conditions(settings: dict | None = None) -> dict[str, Column]:
         rules["status"] = F.coalesce(F.col("status").isin(s["status"]), F.lit(False))
     if s["exclude_adult"]:
         rules["adult"] = ~F.coalesce(F.col("adult"), F.lit(False))
-    rules["overview"] = (
-        F.length(collapse_whitespace(F.col("overview"))) >= s["min_overview_chars"]
-    )
+    rules["overview"] = collapsed_length_at_least(F.col("overview"), s["min_overview_chars"])
     return rules
 
 
