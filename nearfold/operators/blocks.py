@@ -6,7 +6,9 @@ one row of binary columns. It first searches itself, which gives each of its
 rows a floor, the score its K-th neighbour must reach. Then each unordered pair of
 blocks is compared once and yields neighbours for both: a task holds one
 block and meets a few others in turn, so what is moved are whole packed blocks, and
-no table of (row, block) exists.
+no table of (row, block) exists. A block meets all others, so what is moved falls as blocks
+grow; they are scored in strips of bounded size, and of the held rows only the K best are kept
+while strips go by.
 
 The comparison is exhaustive, as an exact answer needs on data without structure: work
 and moved blocks grow with the square of the number of blocks, in tasks of equal, bounded size.
@@ -31,12 +33,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Fewer blocks would leave cores idle; small tables are cut as well.
 LEAST_BLOCKS = 16
-# Blocks that one task compares with the block it holds.
+# Blocks that one task compares with the block it holds, at most, and about how many bytes of them.
 STRIPE = 8
+STRIPE_BYTES = 64 * 1024 * 1024
 # Partitions of the comparisons, at most.
 MOST_TASKS = 10_000
-# Rows of a block that are scored at a time.
-STRIP_ROWS = 256
+# Scores that are made at a time, and candidates that wait for being cut to the K best.
+STRIP_CELLS = 1_000_000
+WAITING = 500_000
 # Half a rounding step and floating-point noise.
 SLACK = 1e-6
 PACKED = "block int, ids binary, sizes binary, floors binary"
@@ -89,10 +93,10 @@ class Block:
         self.ids, self.floors = ids[order], floors[order]
         self.columns = [[c[i] for i in order] for c in columns]
 
-    def packed(self, number: int) -> dict:
+    def packed(self, number: int, kinds: list[str]) -> dict:
         flat = {
-            f"c{i}": np.concatenate([np.asarray(x, np.float64) for x in c]).tobytes()
-            for i, c in enumerate(self.columns)
+            f"c{i}": np.concatenate([np.asarray(x, kind) for x in c]).tobytes()
+            for i, (c, kind) in enumerate(zip(self.columns, kinds))
         }
         sizes = np.array([len(x) for x in self.columns[0]], np.int64)
         return {
@@ -101,14 +105,16 @@ class Block:
         }
 
     @classmethod
-    def unpacked(cls, row, n_columns: int) -> Block:
+    def unpacked(cls, row, kinds: list[str]) -> Block:
         ends = np.cumsum(np.frombuffer(row["sizes"], np.int64))[:-1]
-        columns = [np.split(np.frombuffer(row[f"c{i}"], np.float64), ends) for i in range(n_columns)]
+        columns = [np.split(np.frombuffer(row[f"c{i}"], kind), ends) for i, kind in enumerate(kinds)]
         return cls(np.frombuffer(row["ids"], np.int64), columns, np.frombuffer(row["floors"], np.float64))
 
-    def strips(self):
-        for at in range(0, len(self.ids), STRIP_ROWS):
-            part = slice(at, at + STRIP_ROWS)
+    def strips(self, against: int):
+        """Its rows, as many at a time as make a bounded number of scores with `against` rows."""
+        step = max(16, STRIP_CELLS // max(1, against))
+        for at in range(0, len(self.ids), step):
+            part = slice(at, at + step)
             yield part, [c[part] for c in self.columns]
 
 
@@ -130,11 +136,46 @@ class Found:
         return pd.DataFrame({c: np.concatenate(getattr(self, c)) for c in ("a", "b", "score")})
 
 
-def block_neighbours(rows: DataFrame, n_blocks: int, columns: list[str], index, k: int, lowest: float) -> DataFrame:
+class Held:
+    """The K best of each row of the held block, over all that it has met."""
+
+    def __init__(self, floors: np.ndarray, k: int):
+        self.floors, self.k, self.n = floors.copy(), k, 0
+        self.parts: list[tuple] = []
+
+    def add(self, scores: np.ndarray, ids: np.ndarray) -> None:
+        """`scores` has a row for each of `ids` and a column for each held row."""
+        others, rows = np.nonzero(scores >= self.floors)
+        found = scores[others, rows]
+        finite = np.isfinite(found)
+        self.parts.append((rows[finite], ids[others[finite]], found[finite]))
+        self.n += len(self.parts[-1][0])
+        if self.n > WAITING:
+            self.cut()
+
+    def cut(self) -> tuple:
+        """Keep the K best, the smaller id first among equals; raise the floors of rows that have so many."""
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows, ids, scores = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((ids, -scores, rows))
+        rows, ids, scores = rows[order], ids[order], scores[order]
+        place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+        last = place == self.k - 1
+        self.floors[rows[last]] = np.maximum(self.floors[rows[last]], scores[last] - 2 * SLACK)
+        best = place < self.k
+        self.parts = [(rows[best], ids[best], scores[best])]
+        # What is kept does not wait.
+        self.n = 0
+        return self.parts[0]
+
+
+def block_neighbours(rows: DataFrame, n_blocks: int, columns: dict[str, str], index, k: int, lowest: float) -> DataFrame:
     """(a, b, score): among them each row's K best others; scores below `lowest` do not count.
 
-    `rows` is (id, block, columns); columns are arrays of numbers.
+    `rows` is (id, block, columns); `columns` names arrays of numbers and their numpy kinds.
     """
+    kinds = list(columns.values())
     names = [f"c{i}" for i in range(len(columns))]
     schema = f"{PACKED}, {', '.join(f'{c} binary' for c in names)}, near_a binary, near_b binary, near_s binary"
 
@@ -142,7 +183,7 @@ def block_neighbours(rows: DataFrame, n_blocks: int, columns: list[str], index,
         ids = pdf["id"].to_numpy()
         block = Block(ids, [pdf[c].tolist() for c in columns], np.full(len(ids), lowest))
         held, found = index(block.ids, block.columns), Found()
-        for part, values in block.strips():
+        for part, values in block.strips(len(ids)):
             scores = held.scores(values)
             rows = np.arange(len(scores))
             scores[rows, part.start + rows] = -np.inf
@@ -150,7 +191,7 @@ def block_neighbours(rows: DataFrame, n_blocks: int, columns: list[str], index,
             found.add(block.ids[part][own], others, best)
             block.floors[part] = raised
         near = found.frame()
-        row = block.packed(int(pdf["block"].iloc[0]))
+        row = block.packed(int(pdf["block"].iloc[0]), kinds)
         row |= {f"near_{n}": near[c].to_numpy().tobytes() for n, c in (("a", "a"), ("b", "b"), ("s", "score"))}
         return pd.DataFrame([row])
 
@@ -167,34 +208,38 @@ def block_neighbours(rows: DataFrame, n_blocks: int, columns: list[str], index,
     if n_blocks < 2:
         return near
     travel = packed.drop("near_a", "near_b", "near_s")
-    # Block i meets the blocks after it, STRIPE of them in a task.
+    # Block i meets the blocks after it, a few of them in a task.
+    largest = travel.select(F.max(sum(F.length(c) for c in ["ids", *names]))).first()[0]
+    stripe = max(1, min(STRIPE, STRIPE_BYTES // max(1, largest)))
     holders = travel.where(F.col("block") < n_blocks - 1).select(
         F.col("block").alias("holder"),
-        F.explode(F.sequence(F.lit(0), ((F.lit(n_blocks - 2) - F.col("block")) / STRIPE).cast("int"))).alias("stripe"),
+        F.explode(F.sequence(F.lit(0), ((F.lit(n_blocks - 2) - F.col("block")) / stripe).cast("int"))).alias("stripe"),
         *[F.col(c) for c in travel.columns],
     )
     guests = travel.where("block > 0").select(
         F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("holder"), *[F.col(c) for c in travel.columns]
-    ).withColumn("stripe", ((F.col("block") - F.col("holder") - 1) / STRIPE).cast("int"))
+    ).withColumn("stripe", ((F.col("block") - F.col("holder") - 1) / stripe).cast("int"))
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
         found = Found()
         home = pdf["block"] == pdf["holder"]
         if not home.any():
             return found.frame()
-        mine = Block.unpacked(pdf[home].iloc[0], len(names))
-        held = index(mine.ids, mine.columns)
+        mine = Block.unpacked(pdf[home].iloc[0], kinds)
+        held, kept = index(mine.ids, mine.columns), Held(mine.floors, k)
         for _, row in pdf[~home].iterrows():
-            guest = Block.unpacked(row, len(names))
-            scores = np.concatenate([held.scores(values) for _, values in guest.strips()])
-            own, others, best, _ = best_of(scores, mine.ids, k, guest.floors)
-            found.add(guest.ids[own], others, best)
-            own, others, best, mine.floors = best_of(np.ascontiguousarray(scores.T), guest.ids, k, mine.floors)
-            found.add(mine.ids[own], others, best)
+            guest = Block.unpacked(row, kinds)
+            for part, values in guest.strips(len(mine.ids)):
+                scores = held.scores(values)
+                own, others, best, _ = best_of(scores, mine.ids, k, guest.floors[part])
+                found.add(guest.ids[part][own], others, best)
+                kept.add(scores, guest.ids[part])
+        own, others, best = kept.cut()
+        found.add(mine.ids[own], others, best)
         return found.frame()
 
     # Groups weigh alike and are few: a partition for each keeps them from meeting in one by chance.
-    n_groups = sum(-(-(n_blocks - 1 - i) // STRIPE) for i in range(min(n_blocks - 1, MOST_TASKS)))
+    n_groups = sum(-(-(n_blocks - 1 - i) // stripe) for i in range(min(n_blocks - 1, MOST_TASKS)))
     dealt = holders.unionByName(guests).repartition(min(4 * n_groups, MOST_TASKS), "holder", "stripe")
     met = dealt.groupBy("holder", "stripe").applyInPandas(together, PAIR_SCHEMA)
     return near.unionByName(met)

@@ -28,8 +28,8 @@ from nearfold.scale import stable
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 # Rows and numbers of one block, at most.
-BLOCK_ROWS = 2048
-BLOCK_CELLS = 1_000_000
+BLOCK_ROWS = 16_384
+BLOCK_CELLS = 1_048_576
 
 
 def unit_vector(vec: Column) -> Column:
@@ -52,7 +52,7 @@ class VectorBlock:
 def vector_edges(rows: DataFrame, k: int, block_rows: int) -> DataFrame:
     """(a, b, score): among them the K best other rows of every non-zero row."""
     blocked, n_blocks = number_blocks(rows, ["id"], F.size("vec"), block_rows, BLOCK_CELLS)
-    return block_neighbours(blocked, n_blocks, ["vec"], VectorBlock, k, -np.inf)
+    return block_neighbours(blocked, n_blocks, {"vec": "<f8"}, VectorBlock, k, -np.inf)
 
 
 def zero_edges(reps: DataFrame, zeros: DataFrame, k: int) -> DataFrame:
@@ -86,7 +86,8 @@ def knn_dense(
     zeros = reps.where(is_zero).select("id")
     pairs = vector_edges(reps.where(~is_zero).select("id", "vec"), k, block_rows)
     pairs = pairs.unionByName(zero_edges(reps, zeros, k))
-    pairs = top_k_per_group(pairs, "a", k, ranked(neighbour="b")).drop("rank")
+    # Kept: a reader that asks for the edges twice does not compare all vectors twice.
+    pairs = stable(top_k_per_group(pairs, "a", k, ranked(neighbour="b")).drop("rank"))
     own = F.when(F.col("zero"), F.lit(0.0)).otherwise(F.lit(1.0))
     flags = reps.select("group", is_zero.alias("zero"))
     return expand_groups(pairs, members.join(flags, "group"), grouped, k, own)

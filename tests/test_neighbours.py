@@ -263,3 +263,39 @@ def test_portions_of_light_terms_change_nothing(monkeypatch):
         monkeypatch.setattr(sparse_knn, "PORTION", portion)
         index = sparse_knn.BlockIndex(np.arange(90), [terms, weights])
         assert np.allclose(index.scores(list(beyond)), whole @ whole.T, atol=1e-6)
+
+
+def test_vectors_are_compared_once_for_all_readers(spark):
+    """Edges are read from what was kept; each reader compared all blocks again."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "id long, vec array<double>")
+    plan = knn_dense(df, 3, 10)._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan
+
+
+def test_held_rows_keep_their_best_while_strips_go_by(monkeypatch):
+    from nearfold.operators import blocks
+
+    monkeypatch.setattr(blocks, "WAITING", 50)
+    rng = np.random.default_rng(5)
+    scores = np.round(rng.random((400, 7)), 1)
+    scores[3, 2] = np.nan
+    ids = rng.permutation(400)
+    held = blocks.Held(np.full(7, 0.2), 4)
+    for at in range(0, 400, 16):
+        held.add(scores[at : at + 16], ids[at : at + 16])
+        assert sum(len(p[0]) for p in held.parts) <= 7 * 4 + 50 + 16 * 7
+    got = sorted(zip(*(c.tolist() for c in held.cut())))
+    want = []
+    for row in range(7):
+        best = sorted((-s, i) for s, i in zip(scores[:, row], ids) if s >= 0.2)[:4]
+        want += [(row, int(i), -s) for s, i in best]
+    assert got == sorted(want)
+
+
+def test_vectors_travel_in_large_blocks():
+    """What is moved falls with the rows of a block: 50,000 vectors of 64 numbers are few blocks."""
+    from nearfold.operators import dense_knn, sparse_knn
+
+    assert dense_knn.BLOCK_CELLS // max(64, dense_knn.BLOCK_CELLS // dense_knn.BLOCK_ROWS) >= 16_000
+    assert sparse_knn.BLOCK_ENTRIES // max(200, sparse_knn.BLOCK_ENTRIES // sparse_knn.BLOCK_ROWS) >= 8_000
