@@ -349,6 +349,8 @@ def quality_report(spark, sf):
     """All gates of a run, written before the failing one stops it, read back."""
     raw = A.films(spark, sf)
     model, docs = fitted(spark, sf)
+    # Read by several gates.
+    model.rows = model.rows.persist()
     dense = A.dense_vectors(spark, sf)
     report = Q.quality_report(
         [

@@ -32,7 +32,7 @@ def corpus(spark, sf):
 
 def fitted(spark, sf):
     docs = corpus(spark, sf).persist()
-    return tfidf.TfidfEmbedder(stop_words=S.STOP).fit(docs), docs
+    return tfidf.TfidfEmbedder(stop_words=S.STOP).fit(docs, clustered=True), docs
 
 
 def places(c, n=6):
@@ -41,7 +41,7 @@ def places(c, n=6):
 
 @query("term_doc_freq", f"WITH {S.VOCAB} SELECT term, df, cf FROM freq")
 def term_doc_freq(spark, sf):
-    return tfidf.term_doc_freq(tfidf.term_counts(corpus(spark, sf), S.STOP))
+    return tfidf.term_doc_freq(tfidf.term_counts(corpus(spark, sf), S.STOP, clustered=True, unique=True))
 
 
 @query("vocabulary", f"WITH {S.VOCAB} SELECT term, CAST(term_no AS INTEGER) AS term_no, df, cf FROM vocab")
@@ -111,9 +111,14 @@ uni AS (SELECT term, idf FROM vocab WHERE term NOT LIKE '% %'),
 med AS (SELECT median(idf) AS m FROM uni)"""
 
 
+def word_counts(docs):
+    """(id, term, tf) of single words; `docs` are as `prepare` leaves them, cached or not."""
+    return tfidf.term_counts(docs, S.STOP, 1, clustered=True, unique=True)
+
+
 def word_table(spark, sf, docs):
     """(token, vec): words numbered by frequency, joined to the embeddings."""
-    freq = tfidf.term_doc_freq(tfidf.term_counts(docs, S.STOP, 1))
+    freq = tfidf.term_doc_freq(word_counts(docs))
     ordered = freq.select((-F.col("cf")).alias("order"), F.col("term").alias("token"))
     numbered = with_offsets(ordered, ["order", "token"], name="id")
     vectors_ = A.dense_vectors(spark, sf)
@@ -133,7 +138,7 @@ def word_model(spark, sf):
 )
 def tokens_x_idf(spark, sf):
     model, docs = fitted(spark, sf)
-    counts = tfidf.term_counts(docs, S.STOP, 1)
+    counts = word_counts(docs)
     idf = tfidf.unigram_idf(model.vocab)
     return vectors.tokens_x_idf(counts, idf, CAP).select("id", "term", "tf", places("idf"))
 
@@ -145,7 +150,7 @@ def tokens_x_idf(spark, sf):
 )
 def tokens_x_vectors(spark, sf):
     _, docs, words, n = word_model(spark, sf)
-    joined = vectors.tokens_x_vectors(tfidf.term_counts(docs, S.STOP, 1), words, n)
+    joined = vectors.tokens_x_vectors(word_counts(docs), words, n)
     return joined.select(
         "id",
         "term",
@@ -187,7 +192,7 @@ def doc_vectors(spark, sf):
 )
 def coverage_stats(spark, sf):
     model, docs, words, n = word_model(spark, sf)
-    counts = tfidf.term_counts(docs, S.STOP, 1)
+    counts = word_counts(docs)
     stats = vectors.coverage_stats(counts, words, tfidf.unigram_idf(model.vocab), n, CAP)
     return stats.select(places("oov_rate"), places("median_idf_fallback_rate"))
 

@@ -30,17 +30,45 @@ def token_table(docs: DataFrame, stop_words: list[str], clustered: bool = False)
 
 
 def term_counts(
-    docs: DataFrame, stop_words: list[str], ngram_max: int = 2, clustered: bool = False
+    docs: DataFrame, stop_words: list[str], ngram_max: int = 2, clustered: bool = False, unique: bool = False
 ) -> DataFrame:
-    """(id, term, tf) of (id, document)."""
+    """(id, term, tf) of (id, document).
+
+    Pass `unique` for documents of one row an id, as `prepare` leaves them: each is
+    counted in its row, without a table of all (id, term).
+    """
     tokens = token_table(docs, stop_words, clustered)
+    if unique:
+        return counts_in_rows(tokens.select("id", F.sort_array(ngrams(F.col("tokens"), ngram_max)).alias("grams")))
     return (
-        tokens.select("id", F.explode(ngrams(F.col("tokens"), ngram_max)).alias("term"))
+        exploded(tokens, ngrams(F.col("tokens"), ngram_max), "term")
         .groupBy("id", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
 
 
+def exploded(df: DataFrame, array: Column, name: str) -> DataFrame:
+    """(id, `name`): a row for each element, none of which is null.
+
+    An inner explode would be planned behind a filter on the array's size, which makes the array once more
+    and its parts as often as they are named in it, tokens of whole texts among them.
+    """
+    return df.select("id", F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
+def counts_in_rows(grams: DataFrame) -> DataFrame:
+    """(id, term, tf) of (id, grams), a sorted array: the lengths of its runs."""
+    places = F.slice(F.sequence(F.lit(0), F.size("grams")), 1, F.size("grams"))
+    first = F.filter(
+        places, lambda i: (i == 0) | (F.get("grams", i) != F.get("grams", i - 1))
+    )
+    runs = grams.select("id", "grams", first.alias("first"))
+    after = lambda n: F.coalesce(F.get("first", n + 1), F.size("grams"))
+    run = F.transform("first", lambda at, n: F.struct(F.get("grams", at).alias("term"), (after(n) - at).alias("tf")))
+    rows = exploded(runs, run, "run")
+    return rows.select("id", F.col("run.term").alias("term"), F.col("run.tf").cast("long").alias("tf"))
+
+
 def term_doc_freq(counts: DataFrame) -> DataFrame:
     """(term, df, cf): documents holding the term, and its total count."""
     return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
@@ -145,17 +173,20 @@ class TfidfEmbedder:
         self.ids: DataFrame | None = None
         self.held: list[DataFrame] = []
 
-    def counts(self, docs: DataFrame, clustered: bool = False) -> DataFrame:
-        return term_counts(docs, self.stop_words, self.settings["ngram_max"], clustered)
+    def counts(self, docs: DataFrame, clustered: bool = False, unique: bool = False) -> DataFrame:
+        return term_counts(docs, self.stop_words, self.settings["ngram_max"], clustered, unique)
 
     def fit(self, docs: DataFrame, clustered: bool = False) -> "TfidfEmbedder":
-        """`docs` holds (id, document), one row per id; see `token_table`."""
-        counts = self.counts(docs, clustered).persist()
+        """`docs` holds (id, document), one row per id; see `token_table`.
+
+        Counts are made anew for the rows: kept, they are many times the texts.
+        """
+        counts = self.counts(docs, clustered, unique=True)
         n_docs = docs.select(F.count(F.lit(1))).scalar()
         self.vocab = vocabulary(counts, n_docs, self.settings).persist()
         self.rows = packed_rows(counts, self.vocab, self.settings["max_features"])
         self.ids = docs.select("id")
-        self.held = [counts, self.vocab]
+        self.held = [self.vocab]
         return self
 
     def release(self) -> None:

@@ -299,3 +299,19 @@ def test_vectors_travel_in_large_blocks():
 
     assert dense_knn.BLOCK_CELLS // max(64, dense_knn.BLOCK_CELLS // dense_knn.BLOCK_ROWS) >= 16_000
     assert sparse_knn.BLOCK_ENTRIES // max(200, sparse_knn.BLOCK_ENTRIES // sparse_knn.BLOCK_ROWS) >= 8_000
+
+
+def test_rows_of_one_id_are_counted_without_an_aggregate(spark, docs):
+    """Counting all (id, term) in one hash table spilled; a unique document is counted in its row."""
+    from nearfold.operators.tfidf import term_counts
+
+    more = docs.unionByName(spark.createDataFrame([(60, "a1 a1 a1 b2 a1 b2"), (None, "zz zz"), (70, None)], docs.schema))
+    fast, slow = (term_counts(more, ["in"], 3, unique=u) for u in (True, False))
+    assert fast.schema == slow.schema or [f.dataType for f in fast.schema] == [f.dataType for f in slow.schema]
+    assert sorted(map(tuple, fast.collect()), key=str) == sorted(map(tuple, slow.collect()), key=str)
+    assert "Aggregate" not in fast._jdf.queryExecution().toString()
+
+
+def test_fit_keeps_no_counts(spark, docs):
+    model = TfidfEmbedder(SETTINGS, ["in"]).fit(docs)
+    assert model.held == [model.vocab]
