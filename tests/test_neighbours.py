@@ -315,3 +315,36 @@ def test_rows_of_one_id_are_counted_without_an_aggregate(spark, docs):
 def test_fit_keeps_no_counts(spark, docs):
     model = TfidfEmbedder(SETTINGS, ["in"]).fit(docs)
     assert model.held == [model.vocab]
+
+
+def test_vectors_are_not_joined_to_tokens(spark, monkeypatch):
+    """A vector for each token was shuffled and spilled; numbers of words are joined, and vectors read in parts."""
+    from nearfold.operators import vectors
+
+    monkeypatch.setattr(vectors, "PART_CELLS", 12)
+    monkeypatch.setattr(vectors, "KEPT_CELLS", 24)
+    monkeypatch.setattr(vectors, "STRIP_CELLS", 16)
+    rng = np.random.default_rng(11)
+    table = [(f"w{i % 37}", rng.normal(size=4).tolist()) for i in range(40)] + [(None, [1.0] * 4)]
+    words = spark.createDataFrame(table, "token string, vec array<double>")
+    idf = spark.createDataFrame([(f"w{i}", 1.0 + i % 5) for i in range(0, 37, 2)], "term string, idf double")
+    median = float(np.median([1.0 + i % 5 for i in range(0, 37, 2)]))
+    texts = {i: [f"w{j}" for j in rng.integers(0, 45, 30)] for i in range(60)}
+    # A repeated id counts both texts, on both of its rows.
+    rows = [(i, " ".join(t)) for i, t in texts.items()] + [(70, None), (71, "other"), (5, "w1 w1 w2"), (72, " ".join(texts[3]))]
+    texts[5] = texts[5] + ["w1", "w1", "w2"]
+    made = WordVectorEmbedder(idf, words, []).transform(spark.createDataFrame(rows, "id long, document string"))
+    got = made.collect()
+    assert sorted(r.id for r in got) == sorted(r[0] for r in rows)
+    vec = {r.id: r.vec for r in got}
+    for i, text in texts.items():
+        total = np.zeros(4)
+        for token, v in table[:40]:
+            n = int(token[1:])
+            total += text.count(token) * (1.0 + n % 5 if n % 2 == 0 else median) * np.array(v)
+        assert np.allclose(vec[i], total / np.linalg.norm(total))
+    assert vec[70] == vec[71] == [0.0] * 4
+    # Bit-equal, as `knn_dense` groups equal vectors.
+    assert vec[72] == vec[3]
+    plan = made._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not [x for x in plan if ("Aggregate" in x or "Join" in x or "Exchange" in x) and "vec" in x]
