@@ -348,3 +348,32 @@ def test_vectors_are_not_joined_to_tokens(spark, monkeypatch):
     assert vec[72] == vec[3]
     plan = made._jdf.queryExecution().executedPlan().toString().splitlines()
     assert not [x for x in plan if ("Aggregate" in x or "Join" in x or "Exchange" in x) and "vec" in x]
+
+
+@pytest.mark.parametrize("groups", [2, 5, 16])
+def test_blocks_are_read_not_copied(spark, monkeypatch, groups):
+    """Each block was shuffled once for every stripe of others; now it is written once and read by number."""
+    from nearfold.operators import blocks
+
+    monkeypatch.setattr(blocks, "GROUPS", groups)
+    monkeypatch.setattr(blocks, "STRIP_CELLS", 40)
+    monkeypatch.setattr(blocks, "WAITING", 10)
+    rng = np.random.default_rng(groups)
+    matrix = np.round(rng.normal(size=(160, 5)), 1)
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, i // 8, v.tolist()) for i, v in enumerate(matrix)], "id long, block int, vec array<double>")
+    # One number is left out.
+    rows = rows.where("block != 7")
+    from nearfold.operators.dense_knn import VectorBlock
+
+    found = blocks.block_neighbours(rows, 20, {"vec": "<f8"}, VectorBlock, 3, -np.inf)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = found.toPandas().drop_duplicates()
+    # Each row has candidates from its own block and from one task for each group at most.
+    assert len(got) <= 160 * 3 * (1 + 20) and got.groupby("a").size().max() <= 3 * (2 + min(groups, 20))
+    scores = np.round(matrix @ matrix.T, 6)
+    keep = [i for i in range(160) if i // 8 != 7]
+    for i in keep:
+        want = sorted((-scores[i, j], j) for j in keep if j != i)[:3]
+        mine = got[got["a"] == i]
+        assert sorted(zip(-mine["score"], mine["b"]))[:3] == want
