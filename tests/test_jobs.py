@@ -156,3 +156,48 @@ def test_command_line(spark, words, tmp_path):
     with open(settings, "w") as f:
         json.dump({"quality": {"row_count_min": 10**9}}, f)
     assert main(["publish", *common, "--words", vectors, "--run-date", "2026-01-08"], spark) == 1
+
+
+def shuffle_files(spark):
+    manager = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for f in manager.getAllFiles().mkString("|").split("|") if "shuffle_" in f}
+
+
+def test_shuffles_are_released(spark, tmp_path):
+    """They stayed until the driver collected its garbage, all those of a run at once."""
+    import time
+
+    from nearfold.scale import RELEASE, shuffles_released
+
+    setting = spark.conf.get(RELEASE)
+    before = shuffle_files(spark)
+    with pytest.raises(KeyError), shuffles_released(spark):
+        spark.range(1000).groupBy(F.col("id") % 10).count().write.parquet(str(tmp_path / "t"))
+        raise KeyError
+    for _ in range(40):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.25)
+    assert shuffle_files(spark) <= before
+    assert spark.conf.get(RELEASE) == setting
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 10
+
+
+def test_a_run_leaves_only_its_store(spark, words, store, tmp_path):
+    """Blocks of both searches stayed; drafts go whether the run passes its gates or not."""
+    from pathlib import Path
+
+    from nearfold.scale import shared_dir
+
+    def left():
+        names = Path(shared_dir(spark).removeprefix("file:")).iterdir()
+        return {p.name for p in names if p.name.startswith(("blocks-", "catalog-", "gates-", "tfidf-", "word2vec-"))}
+
+    before = left()
+    publish_run(films(spark), words, store, "2026-01-01", SETTINGS, [])
+    assert left() == before
+    strict = with_changes({"quality": {"zero_vector_rate_max": 0.0}}, SETTINGS)
+    with pytest.raises(QualityGateFailed):
+        publish_run(films(spark), words.where("token = 'dog'"), store, "2026-01-08", strict, [])
+    assert left() == before
+    assert store.read("rows", "2026-01-01", "tfidf").inputFiles()[0].endswith(".zstd.parquet")

@@ -377,3 +377,72 @@ def test_blocks_are_read_not_copied(spark, monkeypatch, groups):
         want = sorted((-scores[i, j], j) for j in keep if j != i)[:3]
         mine = got[got["a"] == i]
         assert sorted(zip(-mine["score"], mine["b"]))[:3] == want
+
+
+def shared(spark):
+    from pathlib import Path
+
+    from nearfold.scale import shared_dir
+
+    return Path(shared_dir(spark).removeprefix("file:"))
+
+
+def test_numbering_blocks_copies_no_rows(spark):
+    """Whole rows were sorted and kept for it."""
+    from pyspark.sql import functions as F
+
+    from nearfold.operators.blocks import number_blocks
+
+    size = lambda: sum(p.stat().st_size for p in shared(spark).rglob("*") if p.is_file())
+    wide = F.expr("transform(sequence(1, 512), x -> rand(7))")
+    rows = spark.range(2000).select("id", F.lit(1).alias("anchor"), wide.alias("w"))
+    before = size()
+    blocked, n_blocks = number_blocks(rows, ["anchor", "id"], F.size("w"), 100, 10**6)
+    assert size() - before < 1_000_000
+    got = [r.block for r in blocked.select("id", "block").orderBy("id").collect()]
+    assert got == sorted(got) and got[0] == 0 and got[-1] == n_blocks - 1
+
+
+def test_searches_remove_their_blocks(spark):
+    ids, matrix = sparse_case()
+    frame = spark.createDataFrame([(i,) for i in ids], "id long")
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, matrix)], "id long, vec array<double>")
+    before = set(shared(spark).glob("blocks-*"))
+    assert knn_sparse(packed(spark, ids, matrix), frame, 3).count() == 160 * 3
+    assert knn_dense(vectors, 3).count() == 160 * 3
+    assert set(shared(spark).glob("blocks-*")) == before
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_stored_rows_and_many_copies(spark, monkeypatch, few):
+    """A third of the rows are copies, left out with and without moving the others."""
+    from nearfold.operators import sparse_knn
+
+    monkeypatch.setattr(sparse_knn, "fits_broadcast", lambda n: few)
+    ids, matrix = sparse_case()
+    frame = spark.createDataFrame([(i,) for i in ids], "id long")
+    rows = packed(spark, ids, matrix).persist()
+    want = brute(ids, matrix, 7).sort_values(["movie_id", "rank"]).reset_index(drop=True)
+    same(sorted_edges(knn_sparse(rows, frame, 7, 30, stored=True)), want)
+
+
+def test_stored_vectors(spark):
+    ids, matrix = sparse_case()
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, matrix)], "id long, vec array<double>").persist()
+    want = brute(ids, matrix, 7).sort_values(["movie_id", "rank"]).reset_index(drop=True)
+    same(sorted_edges(knn_dense(rows, 7, 30, stored=True)), want)
+
+
+def test_vocabulary_in_portions(spark):
+    from pyspark.sql import functions as F
+
+    from nearfold.operators.tfidf import vocabulary
+
+    counts = spark.range(4000).select(
+        (F.col("id") % 97).alias("id"), F.concat(F.lit("t"), F.col("id") % 301).alias("term"), (F.col("id") % 5 + 1).alias("tf")
+    ).groupBy("id", "term").agg(F.sum("tf").alias("tf"))
+    settings = {"max_features": 40, "ngram_max": 1, "min_df": 3, "max_df": 0.9}
+    whole = vocabulary(counts, F.lit(97), settings).orderBy("term_no").collect()
+    assert len(whole) == 40
+    for portions in (2, 7):
+        assert vocabulary(counts, F.lit(97), settings, portions).orderBy("term_no").collect() == whole
