@@ -183,6 +183,20 @@ def test_shuffles_are_released(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 10
 
 
+def test_roll_back_releases_its_shuffles(spark, words, store):
+    import time
+
+    publish_run(films(spark), words, store, "2026-01-01", SETTINGS, [])
+    before = shuffle_files(spark)
+    totals = rollback_run(store, "2026-01-01", SETTINGS)
+    for _ in range(40):
+        if shuffle_files(spark) <= before:
+            break
+        time.sleep(0.25)
+    assert shuffle_files(spark) <= before
+    assert (totals.first().records, store.served().read().count()) == (12, 12)
+
+
 def test_a_run_leaves_only_its_store(spark, words, store, tmp_path):
     """Blocks of both searches stayed; drafts go whether the run passes its gates or not."""
     from pathlib import Path
