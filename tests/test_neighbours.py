@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from nearfold.operators.dense_knn import knn_dense
 from nearfold.operators.sparse_knn import knn_sparse
@@ -446,3 +447,59 @@ def test_vocabulary_in_portions(spark):
     assert len(whole) == 40
     for portions in (2, 7):
         assert vocabulary(counts, F.lit(97), settings, portions).orderBy("term_no").collect() == whole
+
+
+def searched(kind, rng, n, signed=False):
+    """A block's index over rows of a kind, the rows as columns, and as a matrix."""
+    from nearfold.operators import dense_knn, sparse_knn
+
+    matrix = rng.normal(size=(n, 40)) if signed else rng.random((n, 40))
+    if kind == "sparse":
+        matrix *= rng.random((n, 40)) < np.linspace(0.05, 0.8, 40)
+        matrix[:, 7] = 0.5
+        columns = [np.flatnonzero(row) for row in matrix], [row[row != 0] for row in matrix]
+        matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+        columns = columns[0], [row[row != 0] for row in matrix]
+        return sparse_knn.BlockIndex(np.arange(n), columns), columns, matrix
+    matrix /= np.linalg.norm(matrix, axis=1)[:, None]
+    return dense_knn.VectorBlock(np.arange(n), [list(matrix)]), [list(matrix)], matrix
+
+
+@pytest.mark.parametrize("kind", ["sparse", "dense"])
+@pytest.mark.parametrize("signed", [False, True])
+@pytest.mark.parametrize("many", [1, 10**6])
+def test_pairs_that_reach_a_floor_are_found_and_few_worked_out(monkeypatch, kind, signed, many):
+    """Every score was made in 64 bits; now 32 tell which pairs can count, and only these are."""
+    from nearfold.operators import blocks, sparse_knn
+
+    monkeypatch.setattr(blocks, "MANY", many)
+    monkeypatch.setattr(sparse_knn, "PORTION", 60)
+    monkeypatch.setattr(sparse_knn, "LIGHT_COST", 3)
+    rng = np.random.default_rng(8)
+    index, _, matrix = searched(kind, rng, 150, signed)
+    _, columns, others = searched(kind, rng, 70, signed)
+    # Rows and queries that are equal, and more ties.
+    others[3], others[4] = matrix[5], matrix[6]
+    for at, c in enumerate(columns):
+        for i in (3, 4):
+            row = others[i]
+            c[i] = row if kind == "dense" else [np.flatnonzero(row), row[row != 0]][at]
+    true = np.round(others @ matrix.T, 6)
+    floors, own = np.sort(true, axis=1)[:, -6] - 2e-6, np.sort(true, axis=0)[-4] - 2e-6
+    found = index.reaching(columns, floors, own, 5)
+    cells = {(q, r): s for q, r, s in zip(*(c.tolist() for c in found))}
+    need = np.argwhere((true >= floors[:, None]) | (true >= own))
+    if many > 1:
+        assert set(map(tuple, need.tolist())) <= set(cells)
+    assert all(abs(cells[q, r] - true[q, r]) < 1.1e-6 for q, r in cells)
+    assert len(cells) < len(need) + 50 < true.size / 4
+    # Without floors the K best of each query are there nonetheless, and no more than that where floors are raised.
+    found = index.reaching(columns, np.full(70, -np.inf if signed or kind == "dense" else 5e-7), None, 5)
+    queries, rows, scores = found
+    for q in range(70):
+        got = sorted(zip(-scores[queries == q], rows[queries == q].tolist()))[:5]
+        want = sorted(zip(-true[q], range(150)))[:5]
+        assert np.allclose([s for s, _ in got], [s for s, _ in want], atol=1.1e-6)
+    if many == 1:
+        assert len(rows) < 70 * 5 + 70
+
