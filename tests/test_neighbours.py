@@ -503,3 +503,23 @@ def test_pairs_that_reach_a_floor_are_found_and_few_worked_out(monkeypatch, kind
     if many == 1:
         assert len(rows) < 70 * 5 + 70
 
+
+def test_rows_are_weighed_without_joining_terms(spark, docs):
+    """Every (id, term) was joined with the vocabulary and gathered again; a unique document is weighed in its row."""
+    from nearfold.operators.tfidf import packed_rows, term_counts
+
+    texts = ["a1 a1 a1 b2 a1 b2", "zz zz", None, "", "nowhere", "a1 a1 a1 b2 a1 b2"]
+    more = docs.unionByName(spark.createDataFrame([(60 + i, t) for i, t in enumerate(texts)], docs.schema))
+    more = more.unionByName(more.select((F.col("id") + 100).alias("id"), "document")).unionByName(
+        spark.createDataFrame([(None, "b2 zz")], docs.schema)
+    )
+    model = TfidfEmbedder({**SETTINGS, "min_df": 2, "max_df": 0.9}, ["in"]).fit(more)
+    assert not [x for x in ("Join", "Aggregate", "Exchange") if x in model.rows._jdf.queryExecution().executedPlan().toString()]
+    want = packed_rows(term_counts(more, ["in"], 2), model.vocab, 100)
+    assert [f.dataType for f in model.rows.schema] == [f.dataType for f in want.schema]
+    got, want = ({r.id: r for r in rows.collect()} for rows in (model.rows, want))
+    assert set(got) == set(want) and None in got and 62 not in got and len(got) > 8
+    for i, row in got.items():
+        assert row.terms == want[i].terms and np.allclose(row.weights, want[i].weights, rtol=1e-12)
+    # Bit-equal, as `knn_sparse` groups equal rows.
+    assert got[60][1:] == got[65][1:] == got[160][1:]
